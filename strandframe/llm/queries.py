@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from strandframe.llm import heavy_hitters as L, shared_spans as S, splitting as X
+from strandframe.llm import heavy_hitters as L, leakage as K, mixing as M, residue as R, shared_spans as S, splitting as X
 from strandframe.session import table
 
 
@@ -47,7 +47,43 @@ def p6_counts(spark: SparkSession, base: str) -> DataFrame:
     return L.above_share(_frequent(spark, base), 0.005).select("kind", "val", "low", "high", "total")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p2_found, p2_bisected, p6_found, p6_counts)}
+def _leaks(spark: SparkSession, base: str) -> DataFrame:
+    docs, items = table(spark, base, "documents", "doc_id", "text"), table(spark, base, "eval_items", "item_id", "text")
+    return K.leaked_items(docs, "doc_id", "text", items, "item_id", "text", passage=12)
+
+
+def p8_found(spark: SparkSession, base: str) -> DataFrame:
+    """Seeds and alignment give the candidates; the exact run decides: 12 words, or the whole item if it has fewer."""
+    size = F.udf(lambda t: len(K.words(t)), "int")
+    items = table(spark, base, "eval_items", "item_id", "text").select("item_id", F.least(F.lit(12), size("text")).alias("needed")).distinct()
+    found = _leaks(spark, base).where(F.col("score") >= K.MATCH)
+    return found.join(items, "item_id").where("run >= needed").select("doc_id", "item_id")
+
+
+def p8_edited(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with at least half of an item in alignment, however edited."""
+    return _leaks(spark, base).where("share >= 0.5").select("doc_id", "item_id", "run", "score", F.round("share", 4).alias("share"))
+
+
+def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+    docs = table(spark, base, "documents", "doc_id", "text", "source", "lang", "tags")
+    lang, topic = F.lower(F.trim("lang")), F.lower(F.trim(F.split("tags", ",")[0]))
+    return M.mix_sources(docs, table(spark, base, "mix_targets"), "doc_id", "text", "source", lang, topic)
+
+
+def p9_mix(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base)[0]
+
+
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    return _mix(spark, base)[1]
+
+
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    return R.find_residue(table(spark, base, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p2_found, p2_bisected, p6_found, p6_counts, p8_found, p8_edited, p9_mix, p9_shares, p10_found)}
 
 _SPANS = """WITH s AS (SELECT DISTINCT sid, upper(seq) AS seq FROM sequences WHERE seq IS NOT NULL AND length(seq) >= 100),
 w AS (SELECT sid, i, substr(seq, CAST(i AS INTEGER) + 1, 100) AS t FROM s, LATERAL (SELECT unnest(range(length(s.seq) - 99)) AS i)),
@@ -69,7 +105,7 @@ i AS (SELECT big.sid, size, coalesce(ats, []) AS ats FROM big LEFT JOIN e USING
 p AS (
   SELECT sid, size, ats, 0::BIGINT AS bgn, CASE WHEN size <= 2000 THEN size ELSE coalesce(list_max(list_filter(ats, lambda x: x > 0 AND x <= 2000)), 2000) END::BIGINT AS end_pos FROM i
   UNION ALL
-  SELECT sid, size, ats, end_pos - 100, CASE WHEN size <= end_pos + 1900 THEN size ELSE coalesce(list_max(list_filter(ats, lambda x: x > end_pos AND x <= end_pos + 1900)), end_pos + 1900) END::BIGINT FROM p WHERE end_pos < size)
+  SELECT sid, size, ats, nxt, CASE WHEN size <= nxt + 2000 THEN size ELSE coalesce(list_max(list_filter(ats, lambda x: x > end_pos AND x <= nxt + 2000)), nxt + 2000) END::BIGINT FROM (SELECT *, greatest(end_pos - 100, 0) AS nxt FROM p WHERE end_pos < size))
 SELECT sid, bgn, end_pos FROM p""",
     "p6_found": """
 WITH r AS (SELECT (CAST(x AS HUGEINT) + CASE WHEN x < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 256 AS hash, (y & 4294967295) >> 1 AS pos

@@ -25,7 +25,7 @@ class FurthestCut:
     def _cut(self) -> None:
         end = self.bgn + self.limit if self.best is None else self.best
         self.out.append((self.bgn, end))
-        self.last, self.bgn, self.best = end, max(end - self.overlap, self.bgn + 1), None
+        self.last, self.bgn, self.best = end, max(end - self.overlap, 0), None
 
     def boundary(self, at: int, strength: int) -> None:
         if at <= self.size:
@@ -86,6 +86,8 @@ def split_oversized(items: DataFrame, parts: DataFrame, limit: int, overlap: int
     without a range of parts the pieces are cut by size alone. Items with a null id or size are ignored, rows repeated
     with the same values count once, further columns aren't read. 0 <= overlap < limit is required.
 
+    A piece never begins before 0, even if the one before it ends within the overlap.
+
     Boundaries are joined by part, placed by item, and scanned in order, so no item's parts are gathered in a row.
     """
     if not 0 <= overlap < limit:
