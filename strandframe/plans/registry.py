@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandframe.plans import general
+from strandframe.plans import general, relational
 
-QUERIES = {**general.QUERIES}
-ORACLES = {**general.ORACLES}
-ENTRY = general.p5_found
+QUERIES = {**general.QUERIES, **relational.QUERIES}
+ORACLES = {**general.ORACLES, **relational.ORACLES}
+ENTRY = relational.pair_source_counts
