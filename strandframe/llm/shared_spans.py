@@ -3,8 +3,8 @@
 Every window of ``length`` tokens gets a Rabin-Karp hash. So that the windows needn't be shuffled one by one, runs
 of neighbouring windows with the same minimizer travel together as a piece of sequence, packed at two bits a base:
 equal windows have equal minimizers, so they meet in the same place. Equal pieces are combined before and during
-the shuffle; then each distinct piece is hashed window by window, the windows are counted per hash, and the shared
-ones are merged into maximal intervals.
+the shuffle; then each distinct piece is hashed window by window where the pieces of its minimizer have met, the
+records are counted per hash, and the shared windows are merged into maximal intervals.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandframe.operators.intervals_merge import merge_intervals
 from strandframe.session import cut
@@ -109,36 +109,86 @@ def _powers(base: int, p: int, n: int) -> np.ndarray:
     return out[:n]
 
 
-def _hash_pieces(length: int):
-    """Arrow UDF: for each packed piece with its number of windows, the hashes of the windows."""
+def window_hashes(pieces: list[bytes], windows: np.ndarray, length: int) -> np.ndarray:
+    """The Rabin-Karp hashes of all windows of packed pieces, piece after piece.
+
+    Each is a difference of prefix sums of (code + 1) times a power of the base; sums that begin at different places
+    are made comparable by lifting all to the same power.
+    """
     span = MOST_WINDOWS + length - 1
+    powers = [_powers(b, p, span) for p, b in PRIMES]
+    out = []
+    for bgn in range(0, len(pieces), 4096):
+        some, w = pieces[bgn : bgn + 4096], windows[bgn : bgn + 4096]
+        grid = np.zeros((len(some), (span + 3) // 4), np.uint8)
+        for i, x in enumerate(some):
+            grid[i, : len(x)] = np.frombuffer(x, np.uint8)
+        most = int(w.max())
+        codes = np.stack((grid >> 6, grid >> 4 & 3, grid >> 2 & 3, grid & 3), axis=2).reshape(len(some), -1)[:, : most + length - 1]
+        total = np.zeros((len(some), most), np.uint64)
+        for (p, _), power in zip(PRIMES, powers):
+            prefix = np.zeros((len(some), most + length), np.uint64)
+            np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: most + length - 1], axis=1, out=prefix[:, 1:])
+            window = (prefix[:, length:] - prefix[:, :most]) % np.uint64(p)
+            total = (total << np.uint64(31)) | (window * power[MOST_WINDOWS - most : MOST_WINDOWS][::-1] % np.uint64(p))
+        out.append(total[np.arange(most)[None, :] < w[:, None]])
+    return np.concatenate(out).astype(np.int64) if out else np.zeros(0, np.int64)
+
+
+def _places(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For the windows of pieces taken one after another: the piece, and the place within it."""
+    piece = np.repeat(np.arange(len(windows)), windows)
+    return piece, np.arange(len(piece)) - np.repeat(np.cumsum(windows) - windows, windows)
+
+
+def shared_runs(pieces: list[bytes], windows: np.ndarray, lo: np.ndarray, hi: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(piece, begin, end) of the stretches covered by windows that two records have; lo and hi are ranks of record ids."""
+    hashes = window_hashes(pieces, windows, length)
+    piece, at = _places(windows)
+    if not len(hashes):
+        return piece, at, at
+    order = np.argsort(hashes, kind="stable")
+    ranked = hashes[order]
+    first = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
+    least, most = np.minimum.reduceat(lo[piece[order]], first), np.maximum.reduceat(hi[piece[order]], first)
+    shared = np.zeros(len(hashes), bool)
+    shared[order] = np.repeat(least != most, np.diff(np.concatenate((first, [len(ranked)]))))
+    piece, at = piece[shared], at[shared]
+    fresh = np.concatenate(([True], (piece[1:] != piece[:-1]) | (at[1:] - at[:-1] > length)))[: len(piece)]
+    bgn = np.flatnonzero(fresh)
+    end = np.concatenate((bgn[1:], [len(piece)]))[: len(bgn)] - 1
+    return piece[bgn], at[bgn], at[end] + length
+
+
+def _count_together(length: int):
+    """Counts the windows of a partition that holds all pieces of its minimizers; gives (m, code, bgn, end)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if held:
+            t = pa.Table.from_batches(held).combine_chunks()
+            lo, hi = (t.column(c).to_numpy() for c in ("lo", "hi"))
+            ranks = np.unique(np.concatenate((lo, hi)), return_inverse=True)[1]
+            piece, bgn, end = shared_runs(t.column("piece").to_pylist(), t.column("windows").to_numpy().astype(np.int64), ranks[: len(lo)], ranks[len(lo) :], length)
+            own = pa.array(piece)
+            yield from pa.Table.from_arrays([t.column("m").take(own), t.column("code").take(own), pa.array(bgn.astype(np.int32)), pa.array(end.astype(np.int32))], ["m", "code", "r_bgn", "r_end"]).combine_chunks().to_batches()
+
+    return run
 
-    @F.arrow_udf(T.ArrayType(T.LongType()))
-    def hashes(piece: pa.Array, windows: pa.Array) -> pa.Array:
-        n = windows.to_numpy(zero_copy_only=False).astype(np.int64)
-        powers = [_powers(b, p, span) for p, b in PRIMES]
-        flat, counts = [], []
-        raw = piece.to_pylist()
-        for bgn in range(0, len(raw), 4096):
-            some, w = raw[bgn : bgn + 4096], n[bgn : bgn + 4096]
-            grid = np.zeros((len(some), (span + 3) // 4), np.uint8)
-            for i, x in enumerate(some):
-                grid[i, : len(x)] = np.frombuffer(x, np.uint8)
-            codes = np.stack((grid >> 6, grid >> 4 & 3, grid >> 2 & 3, grid & 3), axis=2).reshape(len(some), -1)[:, :span]
-            most = int(w.max()) if len(w) else 0
-            total = np.zeros((len(some), most), np.uint64)
-            for (p, _), power in zip(PRIMES, powers):
-                prefix = np.zeros((len(some), most + length), np.uint64)
-                np.cumsum((codes[:, : most + length - 1].astype(np.uint64) + np.uint64(1)) * power[: most + length - 1], axis=1, out=prefix[:, 1:])
-                window = (prefix[:, length:] - prefix[:, :most]) % np.uint64(p)
-                total = (total << np.uint64(31)) | (window * power[MOST_WINDOWS - most : MOST_WINDOWS][::-1] % np.uint64(p))
-            flat.append(total[np.arange(most)[None, :] < w[:, None]])
-            counts.append(w)
-        values = np.concatenate(flat).astype(np.int64) if flat else np.zeros(0, np.int64)
-        offsets = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int32) if counts else np.zeros(1, np.int32)
-        return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))
-
-    return hashes
+
+def _explode_windows(length: int):
+    """The windows of pieces as rows (m, code, lo, hi, at, hash), for minimizers with too many pieces for one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                windows = b.column(3).to_numpy().astype(np.int64)
+                hashes = window_hashes(b.column(2).to_pylist(), windows, length)
+                piece, at = _places(windows)
+                own = pa.array(piece)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(own), b.column(1).take(own), b.column(4).take(own), b.column(5).take(own), pa.array(at.astype(np.int32)), pa.array(hashes)], ["m", "code", "lo", "hi", "at", "hash"])
+
+    return run
 
 
 def _pieces(records: DataFrame, length: int, k: int) -> DataFrame:
@@ -181,7 +231,6 @@ def shared_spans(df: DataFrame, key: str, seq: str, length: int = 100, k: int =
     """
     records = df.select(F.col(key).alias("id"), F.col(seq).alias("seq")).where("id IS NOT NULL AND seq IS NOT NULL")
     placed = _pieces(records, length, k).withColumn("code", F.xxhash64("piece", "windows"))
-    hashes = _hash_pieces(length)
     # equal pieces are combined on both sides of the shuffle, however many records have them
     distinct = placed.groupBy("m", "piece", "windows", "code").agg(F.min("id").alias("lo"), F.max("id").alias("hi"))
     distinct = cut(distinct)
@@ -190,28 +239,26 @@ def shared_spans(df: DataFrame, key: str, seq: str, length: int = 100, k: int =
     windows = distinct.agg(F.sum("windows")).first()[0] or 0
     parts = min(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), windows // WINDOWS_A_TASK), MOST_TASKS)
 
-    def windows_of(some: DataFrame) -> DataFrame:
-        return some.withColumn("h", hashes("piece", "windows")).select("m", "code", "lo", "hi", F.posexplode("h").alias("at", "hash"))
-
-    # pieces of one minimizer are in one task, so counting and collecting by (m, ...) needs no further shuffle
-    same = Window.partitionBy("m", "hash")
-    together = windows_of(marked.where("spread IS NULL").drop("spread").repartition(parts, "m"))
-    together = together.withColumn("lo", F.min("lo").over(same)).withColumn("hi", F.max("hi").over(same)).where("lo <> hi").select("m", "code", "at")
-    apart = windows_of(marked.where("spread").drop("spread"))
+    columns = ["m", "code", "piece", "windows", "lo", "hi"]
+    kind = records.schema["id"].dataType.simpleString()
+    found = "m long, code long, r_bgn int, r_end int"
+    together = marked.where("spread IS NULL").select(*columns).repartition(parts, "m").mapInArrow(_count_together(length), found)
+    apart = marked.where("spread").select(*columns).mapInArrow(_explode_windows(length), f"m long, code long, lo {kind}, hi {kind}, at int, hash long")
     counted = apart.groupBy("m", "hash").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi").select("m", "hash")
-    apart = apart.join(counted, ["m", "hash"]).select("m", "code", "at")
-    runs = _runs(together, length).unionByName(_runs(apart, length))
-    spans = placed.select("id", "first", "m", "code").join(runs, ["m", "code"]).select("id", "first", F.explode("runs").alias("r"))
-    spans = spans.select("id", (F.col("first") + F.col("r.bgn")).alias("bgn"), (F.col("first") + F.col("r.end")).alias("end_pos"))
+    runs = together.unionByName(_runs(apart.join(counted, ["m", "hash"]), length))
+    spans = placed.select("id", "first", "m", "code").join(runs, ["m", "code"])
+    spans = spans.select("id", (F.col("first") + F.col("r_bgn")).alias("bgn"), (F.col("first") + F.col("r_end")).alias("end_pos"))
     return merge_intervals(spans, "id", "bgn", "end_pos", gaps=False).select(F.col("entity").alias(key), "bgn", "end_pos")
 
 
 def _runs(hits: DataFrame, length: int) -> DataFrame:
-    """(m, code, runs): the stretches of each piece that its shared windows cover. A piece has at most MOST_WINDOWS."""
-    found = hits.groupBy("m", "code").agg(F.sort_array(F.collect_list("at")).alias("at"))
+    """(m, code, r_bgn, r_end): the stretches of each piece that its shared windows cover; a piece has at most MOST_WINDOWS."""
+    at = F.sort_array(F.collect_list("at"))
+    found = hits.groupBy("m", "code").agg(at.alias("at"))
     bgn = F.filter("at", lambda x, i: (i == 0) | (x - F.get("at", i - 1) > length))
     end = F.filter("at", lambda x, i: (i == F.size("at") - 1) | (F.get("at", i + 1) - x > length))
-    return found.select("m", "code", F.zip_with(bgn, end, lambda b, e: F.struct(b.alias("bgn"), (e + length).alias("end"))).alias("runs"))
+    runs = found.select("m", "code", F.explode(F.arrays_zip(bgn.alias("b"), end.alias("e"))).alias("r"))
+    return runs.select("m", "code", F.col("r.b").alias("r_bgn"), (F.col("r.e") + length).alias("r_end"))
 
 
 def shared_sizes(spans: DataFrame, key: str) -> DataFrame:
