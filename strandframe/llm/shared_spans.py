@@ -22,7 +22,7 @@ from strandframe.session import cut
 PRIMES = ((2147483647, 1103515245), (2147483629, 69069))
 MERGE_K = 20
 MOST_WINDOWS = 256
-CHUNK = 1 << 22
+CHUNK = 1 << 20
 WINDOWS_A_TASK = 1 << 20
 MOST_TASKS = 100_000
 
