@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
 def greedy_overlap(a: bytes, b: bytes, tolerance: float = 0.1, band: int = 32, min_start: int = 0) -> dict | None:
@@ -191,8 +192,7 @@ def aligned(pairs: DataFrame, most: int | None = 384, left: bool = True) -> Data
             yield pa.RecordBatch.from_arrays([*b.columns, *extra], [*b.schema.names, "aligned_t", "aligned_q", "cost"])
 
     form = pairs.schema
-    for name, kind in (("aligned_t", "string"), ("aligned_q", "string"), ("cost", "int")):
-        form = form.add(name, kind)
+    form = StructType([*form.fields, StructField("aligned_t", StringType()), StructField("aligned_q", StringType()), StructField("cost", IntegerType())])
     return pairs.mapInArrow(run, form)
 
 

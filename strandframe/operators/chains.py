@@ -119,22 +119,21 @@ def largest_block(ranges: DataFrame) -> DataFrame:
     return ranges.groupBy("q_sid").agg(best).select("q_sid", (-F.col("m.a")).alias("sid"), (-F.col("m.b")).alias("q_bgn"), (F.col("m.s") - F.col("m.b")).alias("q_end"))
 
 
-def monotone(rows: DataFrame, by: list[str], reverse: bool = False) -> DataFrame:
-    """Keeps, in order of q_bgn, the anchors (by, q_bgn, q_end, bgn, end_pos) that go on along the target.
+def forward_steps(anchors: list[tuple[int, int, int, int, bool]], reverse: bool) -> list[tuple[int, int, int, int]]:
+    """(ts, te, qs, qe): steps that tile a chain from end to end. anchors: (q_bgn, q_end, bgn, end, agrees), in order of the query.
 
-    Forward, an anchor must begin on both axes behind the last kept one's begin and not end before it (strictly behind on
-    the target); in reverse it must end on the target at or before the last kept one's begin does.
+    The first anchor is a step. Then each anchor in the orientation of the chain that begins on the target behind the last
+    step's end (in reverse also at it) ends a step that goes on from there; in reverse the query is walked backward.
     """
-
-    def work(key: tuple, group: list[dict]):
-        last = None
-        for r in group:
-            if last is None or (r["q_bgn"] >= last["q_bgn"] and (r["bgn"] > last["bgn"] and r["end_pos"] > last["end_pos"] if not reverse else r["end_pos"] <= last["end_pos"] and r["bgn"] <= last["bgn"])):
-                last = r
-                yield (*key, r["q_bgn"], r["q_end"], r["bgn"], r["end_pos"])
-
-    ids = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in by)
-    return grouped_scan(rows.select(*by, "q_bgn", "q_end", "bgn", "end_pos"), by, ["q_bgn", "q_end", "bgn", "end_pos"], work, f"{ids}, q_bgn int, q_end int, bgn int, end_pos int")
+    rows = anchors[::-1] if reverse else anchors
+    qs, qe, ts, te, _ = rows[0]
+    out = [(ts, te, qs, qe)]
+    for qb, qend, b, e, agrees in rows:
+        if e >= b and agrees != reverse and (b >= te if reverse else b > te) and e != te:
+            qs, qe = (qb, qs) if reverse else (qe, qend)
+            out.append((te, e, qs, qe))
+            te = e
+    return out
 
 
 def mapped_intervals(positions: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandframe.plans import general, relational
+from strandframe.plans import general, kernels, relational
 
-QUERIES = {**general.QUERIES, **relational.QUERIES}
+QUERIES = {**general.QUERIES, **relational.QUERIES, **kernels.QUERIES}
 ORACLES = {**general.ORACLES, **relational.ORACLES}
-ENTRY = relational.pair_source_counts
+ENTRY = kernels.sketch_pair_sources
