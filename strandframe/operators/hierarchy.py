@@ -39,24 +39,48 @@ def peel_leaves(links: DataFrame) -> DataFrame:
     return left
 
 
-def caught_in_cycles(links: DataFrame) -> DataFrame:
-    """Nodes (child) that no chain of the given single-parent links leads to a root: on a cycle or below one.
+def _tops(single: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """For nodes (child) with one parent each: (child, top) where the chain of such nodes ends, and the nodes whose chain never ends.
 
-    Each round doubles the reach of the pointers of the nodes that haven't met a root. A node with a root that is
-    still active after round t has more than 2^t active nodes around it, so with at most 2^t active nodes one more
-    round decides.
+    Each round doubles the reach of all pointers. A node whose chain ends, but hasn't after round t, has more than 2^t nodes like it
+    above it; so once no more than 2^t nodes are under way, one more round decides.
     """
-    heads = links.select(F.col("child").alias("up"), F.col("parent").alias("up2"))
-    active, reach, t = links.select("child", F.col("parent").alias("up")), None, 0
-    size = active.count()
+    inside = single.select(F.col("child").alias("up"), F.lit(True).alias("inside"))
+    all_ = cut(single.join(inside, "up", "left").select("child", "up", F.col("inside").isNull().alias("ended")))
+    ended, live, t = all_.where("ended"), all_.where("NOT ended"), 0
+    size = live.count()
     while size:
-        decided = size <= 2**t
-        heads = active.select(F.col("child").alias("up"), F.col("up").alias("up2"))
-        active = cut(active.join(heads, "up").select("child", F.col("up2").alias("up")))
-        size, t = active.count(), t + 1
-        if decided:
+        heads = _unite(live, ended).select(F.col("child").alias("up"), F.col("up").alias("up2"), F.col("ended").alias("ended2"))
+        moved = cut(live.join(heads, "up").select("child", F.col("up2").alias("up"), F.col("ended2").alias("ended")))
+        ended, live = _unite(ended, moved.where("ended")), moved.where("NOT ended")
+        if size <= 2**t:
             break
-    return active.select("child")
+        size, t = live.count(), t + 1
+    return ended.select("child", F.col("up").alias("top")), live.select("child")
+
+
+def caught_in_cycles(links: DataFrame) -> DataFrame:
+    """(child): the nodes that are on a cycle of parent links or below one; a node may have several parents.
+
+    Links to roots are taken off. If none were, every way up goes on for ever, so all nodes are caught. Else chains of nodes with
+    one parent are contracted by pointer doubling, and the links between the nodes with several parents that remain are treated the
+    same way; a link to a chain that never ends is kept as a loop.
+    """
+    size = links.count()
+    kept = cut(links.join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"))
+    rest = kept.count()
+    if rest in (0, size):
+        return kept.select("child").distinct()
+    degree = cut(kept.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("up")))
+    ended, endless = _tops(degree.where("n = 1").select("child", "up"))
+    ended, endless = cut(ended), cut(endless)
+    forks = kept.join(degree.where("n > 1").select("child"), "child", "left_semi")
+    top, loop = ended.withColumnRenamed("child", "parent"), endless.select(F.col("child").alias("parent"), F.lit(True).alias("loop"))
+    lifted = forks.join(top, "parent", "left").join(loop, "parent", "left")
+    lifted = cut(lifted.select("child", F.when(F.col("loop"), F.col("child")).otherwise(F.coalesce("top", "parent")).alias("parent")).distinct())
+    caught = cut(caught_in_cycles(lifted)) if lifted.count() else lifted.select("child")
+    below = ended.join(caught.withColumnRenamed("child", "top"), "top", "left_semi").select("child")
+    return _unite(_unite(endless, caught), below)
 
 
 def _next_sibling(links: DataFrame) -> DataFrame:
@@ -170,8 +194,10 @@ def hierarchy(nodes: DataFrame, links: DataFrame) -> DataFrame:
     nodes = cut(nodes.select("node").where("node IS NOT NULL").distinct())
     known = lambda c: nodes.withColumnRenamed("node", c)
     every = cut(links.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct().join(known("child"), "child", "left_semi").join(known("parent"), "parent", "left_semi"))
-    single = cut(every.groupBy("child").agg(F.min("parent").alias("parent")))
-    loose = caught_in_cycles(peel_leaves(single)).withColumn("caught", F.lit(True))
+    loose = cut(caught_in_cycles(peel_leaves(every)).distinct().withColumn("caught", F.lit(True)))
+    # a parent that is caught is followed rather than another
+    led = every.join(loose.withColumnRenamed("child", "parent"), "parent", "left").withColumn("rank", F.when(F.col("caught"), 0).otherwise(1))
+    single = cut(led.groupBy("child").agg(F.min(F.struct("rank", "parent")).alias("m")).select("child", F.col("m.parent").alias("parent")))
     while True:
         forest = single.join(loose, "child", "left_anti")
         laid = euler_forest(nodes, cut(forest))
