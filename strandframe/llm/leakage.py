@@ -58,13 +58,13 @@ class Seeds:
         self.sizes = sorted({min(n, len(t)) for t in self.items.values()})
 
     def keep_rare(self, df: dict[str, int]) -> None:
-        """Keeps, of each passage of each item, the gram with the fewest occurrences in the corpus."""
+        """Keeps, of each passage of each item, the gram with the fewest occurrences in the corpus, of those that occur."""
         kept: dict[str, set[tuple[int, int]]] = {}
         for i, t in self.items.items():
             own = grams(t, self.n)
             span = max(1, min(self.passage, len(t)) - self.n + 1)
             for at in range(max(1, len(own) - span + 1)):
-                best = min(range(at, min(at + span, len(own))), key=lambda p: (df.get(own[p], 0), p))
+                best = min(range(at, min(at + span, len(own))), key=lambda p: (own[p] not in df, df.get(own[p], 0), p))
                 kept.setdefault(own[best], set()).add((i, best))
         self.where = {g: sorted(s) for g, s in kept.items()}
 

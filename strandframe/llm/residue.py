@@ -40,7 +40,7 @@ ERRORS = (
     r"(?:the )?(?:page|thread|post|topic|question|answer|file|document)s?(?: (?:that )?you (?:asked|were looking|are looking|requested)(?: for)?)? (?:does not exist|doesn't exist|could not be found|cannot be found|was not found|not found|is gone|has been (?:deleted|removed|moved))(?: or .*)?",
     r"(?:please )?(?:go back|return) to the (?:start|home|front) ?page", r"(?:the )?upstream \S+ did not answer in time", r"at [a-z_.]+\(\S*", r"(?:incident|trace|request id|reference|ray id)[ :#]*0",
     r"(?:the )?request could not be (?:completed|processed|served)", r"status ?: ?0", r"(?:fatal|parse|uncaught|php fatal|php)(?: error)? ?: .*", r"uncaught (?:exception|error).*", r"traceback \(most recent call last\):?",
-    r"(?:the |this )?(?:service|server|site|board|page) is (?:currently |temporarily )?(?:unavailable|down|offline|overloaded)(?: at the moment| for maintenance| right now)?", r"please try again (?:in|later|after).*", r"(?:try again|come back) (?:later|in 0 \w+)",
+    r"(?:the |this )?(?:service|server|site|board|page) is (?:currently |temporarily )?(?:unavailable|down|offline|overloaded)(?: at the moment| for maintenance| right now)?", r"please try again (?:in 0 \w+|later|after 0 \w+|at a later time).*", r"(?:try again|come back) (?:later|in 0 \w+)",
     r"access (?:is )?denied", r"(?:you do not|you don't) have (?:the )?permission to (?:see|view|read|access) .*", r"too many requests", r"your (?:ip )?address has been (?:slowed down|blocked|banned).*",
     r"your session (?:has )?(?:expired|timed out)", r"(?:please )?log ?in again to .*", r"we (?:could not|couldn't|cannot|were unable to) (?:connect|reach|find|load) (?:to )?(?:the |your )?(?:database|server|page).*", r"(?:could not|unable to) connect to (?:the )?(?:database|server).*",
     r"the administrators? (?:have|has) been (?:told|notified|informed).*", r"\(?(?:code|number|ref) 0\)?", r"(?:oops|ooops|uh-oh|sorry|whoops)", r"something went wrong(?: on our side)?(?:[,;] .*)?", r"(?:please )?(?:reload|refresh) (?:the|this) page.*", r"(?:please )?contact the (?:help ?desk|administrator|support).*", r"database (?:error|connection failed).*",
@@ -51,7 +51,7 @@ ERRORS = (
 SCRIPT = r"(?:javascript|java script|js|scripts?|scripting|skripte?)"
 SCRIPTS = (
     rf"(?:please |you (?:need|have|must) (?:to )?)?(?:enable|activate|allow|turn on|switch on) {SCRIPT}\b.*", rf"{SCRIPT} (?:is|are|has been|have been)? ?(?:disabled|blocked|turned off|switched off|required|needed|not enabled|must be .*)(?: .*)?!?",
-    rf"(?:some|parts|this|the) .*(?:cannot|can't|can not|does not|doesn't|won't) (?:be shown|be displayed|work|load)(?: .*)?", r"checking your browser .*", rf"{SCRIPT} and cookies must be allowed", rf"your browser (?:does not|doesn't) (?:run|support|allow|execute) {SCRIPT}.*",
+    r"(?:some |all )?(?:parts? of )?(?:the |this )?(?:board|page|site|forum|thread|content|answers?|posts?)\b.{0,30}(?:cannot|can't|can not|does not|doesn't|won't) (?:be shown|be displayed|work|load)(?: .*)?", r"checking your browser .*", rf"{SCRIPT} and cookies must be allowed", rf"your browser (?:does not|doesn't) (?:run|support|allow|execute) {SCRIPT}.*",
     r"noscript ?:.*", rf"(?:this|the) \w+ requires? (?:a browser with |that )?{SCRIPT}.*", rf"this (?:page|site|board|forum|thread) (?:does not|doesn't|will not|won't) work without {SCRIPT}", r"(?:turn|switch) it on and reload.*", rf"allow them for this (?:site|page|board).*",
     rf"(?:bitte )?(?:aktivieren|erlauben|schalten) sie {SCRIPT}.*", rf"{SCRIPT} (?:ist|sind) (?:deaktiviert|ausgeschaltet|blockiert|nicht aktiviert|erforderlich).*", rf"(?:diese|dieses|die|das) (?:seite|forum) (?:benötigt|braucht) {SCRIPT}.*",
     rf"(?:veuillez |merci d['’])?(?:activer|activez|autoriser|autorisez) (?:le |les )?{SCRIPT}.*", rf"(?:le |les )?{SCRIPT} (?:est|sont) (?:désactivés?|bloqués?|requis|nécessaires?).*", rf"(?:por favor,? )?(?:active|activa|habilite|habilita|permita) (?:el |los )?{SCRIPT}.*", rf"(?:el |los )?{SCRIPT} (?:está|están|es|son) (?:desactivados?|bloqueados?|necesarios?).*",
@@ -73,7 +73,7 @@ _ERRORS, _SCRIPTS, _STUBS, _CHROME = _ANY(ERRORS), _ANY(SCRIPTS), _ANY(STUBS), _
 #: What a template says around its placeholders; a message with a placeholder and no more words than these is residue.
 _FRAME_WORDS = 6
 #: People use these too, for example when they quote; they count if the message recurs widely.
-_WEAK = re.compile(rf"\b(?:placeholder|{SCRIPT}|cookies?|browser|error|errors|fehler|erreur|unavailable|not found|session|log ?in|permission|denied|expired|database|maintenance|content blocker|ad ?block\w*)\b")
+_WEAK = re.compile(rf"\b(?:placeholder|{SCRIPT}|cookies?|browsers?|error|errors|fehler|erreur|unavailable|not found|session|log ?in|permission|denied|expired|database|maintenance|content blocker|ad ?block\w*)\b")
 
 _MASKS = (
     (re.compile(r"https?://\S+|www\.\S+|\b[\w.+-]+@[\w-]+\.[\w.]+\b|(?:/[\w.-]+){2,}"), " addr "),

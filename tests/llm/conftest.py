@@ -1,0 +1,8 @@
+"""Makes the package and the shared helpers importable from here."""
+
+from __future__ import annotations
+
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
