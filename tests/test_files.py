@@ -5,7 +5,7 @@ from __future__ import annotations
 import gzip
 import struct
 
-from conftest import rows
+from helpers import rows
 from pyspark.sql import functions as F
 
 import __spark_entry__

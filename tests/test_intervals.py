@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from conftest import rows
+from helpers import rows
 from hypothesis import given, settings, strategies as st
 import numpy as np
 import pytest
