@@ -39,24 +39,45 @@ def peel_leaves(links: DataFrame) -> DataFrame:
     return left
 
 
-def _tops(single: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """For nodes (child) with one parent each: (child, top) where the chain of such nodes ends, and the nodes whose chain never ends.
+def _tops(single: DataFrame) -> DataFrame:
+    """(child, top, loop) for nodes with one parent each: where the chain of such nodes ends, or that it never does (loop).
 
-    Each round doubles the reach of all pointers. A node whose chain ends, but hasn't after round t, has more than 2^t nodes like it
-    above it; so once no more than 2^t nodes are under way, one more round decides.
+    Each round doubles the reach of all pointers that are under way. A node whose chain ends, but hasn't after round t, has more than
+    2^t nodes like it above it; so once no more than 2^t nodes are under way, one more round decides.
     """
     inside = single.select(F.col("child").alias("up"), F.lit(True).alias("inside"))
-    all_ = cut(single.join(inside, "up", "left").select("child", "up", F.col("inside").isNull().alias("ended")))
-    ended, live, t = all_.where("ended"), all_.where("NOT ended"), 0
-    size = live.count()
+    state = cut(single.join(inside, "up", "left").select("child", "up", F.col("inside").isNull().alias("ended")))
+    size, t = state.where("NOT ended").count(), 0
     while size:
-        heads = _unite(live, ended).select(F.col("child").alias("up"), F.col("up").alias("up2"), F.col("ended").alias("ended2"))
-        moved = cut(live.join(heads, "up").select("child", F.col("up2").alias("up"), F.col("ended2").alias("ended")))
-        ended, live = _unite(ended, moved.where("ended")), moved.where("NOT ended")
+        heads = state.select(F.col("child").alias("up"), F.col("up").alias("up2"), F.col("ended").alias("ended2"))
+        moved = state.where("NOT ended").join(heads, "up").select("child", F.col("up2").alias("up"), F.col("ended2").alias("ended"))
+        state = cut(_unite(state.where("ended"), moved))
         if size <= 2**t:
             break
-        size, t = live.count(), t + 1
-    return ended.select("child", F.col("up").alias("top")), live.select("child")
+        size, t = state.where("NOT ended").count(), t + 1
+    return state.select("child", F.col("up").alias("top"), (~F.col("ended")).alias("loop"))
+
+
+#: So many links that are left after peeling are resolved by one task; more by doubling over all tasks, with the same result.
+ONE_TASK = 100_000
+
+
+def _caught_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nodes that remain when nodes without parents are taken off one after another."""
+    below: dict[int, list[int]] = {}
+    waiting: dict[int, int] = {}
+    for batch in batches:
+        for c, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            below.setdefault(p, []).append(c)
+            waiting[c] = waiting.get(c, 0) + 1
+    ready = [p for p in below if p not in waiting]
+    while ready:
+        for c in below.get(ready.pop(), ()):
+            waiting[c] -= 1
+            if not waiting[c]:
+                del waiting[c]
+                ready.append(c)
+    yield pa.RecordBatch.from_arrays([pa.array(list(waiting), pa.int64())], ["child"])
 
 
 def caught_in_cycles(links: DataFrame) -> DataFrame:
@@ -67,18 +88,20 @@ def caught_in_cycles(links: DataFrame) -> DataFrame:
     same way; a link to a chain that never ends is kept as a loop.
     """
     size = links.count()
+    if size <= ONE_TASK:
+        return links.select("child", "parent").distinct().coalesce(1).mapInArrow(_caught_here, "child long")
     kept = cut(links.join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"))
     rest = kept.count()
     if rest in (0, size):
         return kept.select("child").distinct()
     degree = cut(kept.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("up")))
-    ended, endless = _tops(degree.where("n = 1").select("child", "up"))
-    ended, endless = cut(ended), cut(endless)
+    tops = _tops(degree.where("n = 1").select("child", "up"))
+    ended, endless = tops.where("NOT loop").select("child", "top"), tops.where("loop").select("child")
     forks = kept.join(degree.where("n > 1").select("child"), "child", "left_semi")
     top, loop = ended.withColumnRenamed("child", "parent"), endless.select(F.col("child").alias("parent"), F.lit(True).alias("loop"))
     lifted = forks.join(top, "parent", "left").join(loop, "parent", "left")
     lifted = cut(lifted.select("child", F.when(F.col("loop"), F.col("child")).otherwise(F.coalesce("top", "parent")).alias("parent")).distinct())
-    caught = cut(caught_in_cycles(lifted)) if lifted.count() else lifted.select("child")
+    caught = caught_in_cycles(lifted)
     below = ended.join(caught.withColumnRenamed("child", "top"), "top", "left_semi").select("child")
     return _unite(_unite(endless, caught), below)
 

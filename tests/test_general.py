@@ -5,7 +5,8 @@ from __future__ import annotations
 import random
 import re
 
-from conftest import rows
+from helpers import rows
+import pytest
 from hypothesis import given, settings, strategies as st
 from strandframe.operators import hierarchy as H, packed as P, rejects as R
 
@@ -35,7 +36,9 @@ def run(spark, nodes, links):
     return H.hierarchy(n, e)
 
 
-def test_hierarchies_with_cycles_second_parents_and_dirt(spark):
+@pytest.mark.parametrize("one_task", [0, 100_000])
+def test_hierarchies_with_cycles_second_parents_and_dirt(spark, monkeypatch, one_task):
+    monkeypatch.setattr(H, "ONE_TASK", one_task)
     rnd = random.Random(5)
     nodes = list(range(0, 160, 2))
     single = [(c, rnd.choice(nodes[:i])) for i, c in enumerate(nodes) if i and rnd.random() < 0.9]
