@@ -128,8 +128,6 @@ def align(seeds: Seeds, tokens: list[str]) -> list[tuple[int, int, int, int]]:
 
 def _item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[int, list[str]]]]:
     """The items, block by block; a block has at most BLOCK_WORDS words or one item."""
-    from pyspark.sql import Window
-
     sized = items.select(F.col(key).cast("long").alias("id"), F.col(text).alias("text")).where("id IS NOT NULL AND length(text) > 0").distinct()
     letters = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-letters // (2 * BLOCK_WORDS)))

@@ -10,7 +10,6 @@ the documents are taken in the order of a seeded hash over their probability, un
 from __future__ import annotations
 
 import base64
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
