@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandframe.functions import dna
 from strandframe.operators import bundles as B, overlap as V, pairs as P
 from strandframe.plans import catalog as C
-from strandframe.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
