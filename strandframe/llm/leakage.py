@@ -1,16 +1,17 @@
 """Passages of held-out test items inside a large corpus.
 
-Word n-grams of the items are counted over the whole corpus; of the n-grams of every passage the rarest is its seed,
-so each passage of an item keeps a seed and common phrases don't trigger alignments. A second pass looks the seeds
-up in every document and aligns item and document around each seed (Smith-Waterman over words), which scores edited
-and paraphrased copies as well. The item set is the side of fixed size: it is broadcast in blocks of bounded size,
-and the corpus isn't shuffled.
+The seeds are word n-grams of the items, looked up in every document; item and document are aligned around each seed
+(Smith-Waterman over words), which scores edited copies as well. Either every n-gram is a seed, so that whatever shares
+one with an item is aligned, or only the rarest of each passage, counted over the whole corpus: that is enough for exact
+passages and spares the alignments of common phrases, but an edited copy may lack it. The item set is the side of fixed
+size: it is broadcast in blocks of bounded size, and the corpus isn't shuffled.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -56,6 +57,13 @@ class Seeds:
             for at, g in enumerate(grams(t, n)):
                 self.where.setdefault(g, []).append((i, at))
         self.sizes = sorted({min(n, len(t)) for t in self.items.values()})
+        self.bags: dict[int, Counter[str]] = {}
+
+    def bag(self, i: int) -> Counter[str]:
+        """The words of an item with their counts."""
+        if i not in self.bags:
+            self.bags[i] = Counter(self.items[i])
+        return self.bags[i]
 
     def keep_rare(self, df: dict[str, int]) -> None:
         """Keeps, of each passage of each item, the gram with the fewest occurrences in the corpus, of those that occur."""
@@ -79,6 +87,7 @@ class Seeds:
 
 def smith_waterman(a: list[str], b: list[str]) -> int:
     """The best local alignment score of two word lists."""
+    a, b = sorted((a, b), key=len)  # the score is symmetric; one step a word of the shorter list
     code: dict[str, int] = {}
     x = np.array([code.setdefault(w, len(code)) for w in a])
     y = np.array([code.setdefault(w, len(code)) for w in b])
@@ -103,8 +112,16 @@ def longest_run(a: list[str], b: list[str], at: int, p: int, n: int) -> int:
     return k - i
 
 
-def align(seeds: Seeds, tokens: list[str]) -> list[tuple[int, int, int, int]]:
-    """(item, words in the longest exact run, alignment score, best possible score) of each item seeded in a text."""
+def _reachable(seeds: Seeds, i: int, stretch: list[str]) -> float:
+    """No alignment of the item with the stretch has a larger share: each word they have in common is matched once."""
+    return MATCH * sum(min(k, c) for w, k in seeds.bag(i).items() if (c := stretch.count(w))) / (MATCH * len(seeds.items[i]))
+
+
+def align(seeds: Seeds, tokens: list[str], least: float = 0.0) -> list[tuple[int, int, int, int]]:
+    """(item, words in the longest exact run, alignment score, best possible score) of each item seeded in a text.
+
+    Stretches in which no alignment can reach the share ``least`` aren't aligned, and items with no other stretch are left out.
+    """
     found: dict[int, list[tuple[int, int]]] = {}
     for i, at, p in seeds.hits(tokens):
         found.setdefault(i, []).append((at, p))
@@ -112,7 +129,6 @@ def align(seeds: Seeds, tokens: list[str]) -> list[tuple[int, int, int, int]]:
     for i, hits in found.items():
         item = seeds.items[i]
         n = min(seeds.n, len(item))
-        run = max(longest_run(item, tokens, at, p, n) for at, p in hits)
         # the stretch of the text that an alignment through a seed can reach; stretches that touch are one
         reach: list[list[int]] = []
         for at, p in sorted(hits, key=lambda h: h[1] - h[0]):
@@ -121,6 +137,11 @@ def align(seeds: Seeds, tokens: list[str]) -> list[tuple[int, int, int, int]]:
                 reach[-1][1] = max(reach[-1][1], end)
             else:
                 reach.append([bgn, end])
+        if least > 0:
+            reach = [r for r in reach if _reachable(seeds, i, tokens[r[0] : r[1]]) >= least]
+        if not reach:
+            continue
+        run = max(longest_run(item, tokens, at, p, n) for at, p in hits)
         score = max(smith_waterman(tokens[b:e], item) for b, e in reach)
         out.append((i, run, score, MATCH * len(item)))
     return out
@@ -135,12 +156,14 @@ def _item_blocks(items: DataFrame, key: str, text: str) -> Iterator[list[tuple[i
         yield [(r.id, words(r.text)) for r in sized.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b).collect()]
 
 
-def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, passage: int = 12, n: int = SEED_WORDS, least: float = 0.0) -> DataFrame:
+def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_key: str, item_text: str, passage: int = 12, n: int = SEED_WORDS, least: float = 0.0, rare: bool = True) -> DataFrame:
     """(doc_key, item_key, run, score, share): items of which a document has a passage, whole, in part or edited.
 
     ``run`` is the longest exact run of words through a seed, ``score`` the Smith-Waterman score (2 for an equal word, -1
     for another, a missing or an added one) and ``share`` the score over that of the whole item; rows below ``least``
-    are left out. Any exact passage of ``passage`` words, and any item shorter than that, is found: each has a seed.
+    are left out. With ``rare`` the seed of each passage is its rarest n-gram: any exact passage of ``passage`` words, and
+    any item shorter than that, is found, but edited copies only by chance. Without it every n-gram is a seed: any document
+    that shares ``n`` successive words with an item is aligned with it, whatever other copies the corpus holds.
     Null and empty texts give no rows; an item or document repeated with the same key and text counts once.
     """
     from functools import reduce
@@ -151,30 +174,31 @@ def leaked_items(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame,
     parts = []
     for block in _item_blocks(items, item_key, item_text):
         seeds = Seeds(block, n, passage)
-        all_grams = sc.broadcast(seeds)  # at most BLOCK_WORDS words
-
-        def count(batches: Iterator[pa.RecordBatch], held=all_grams) -> Iterator[pa.RecordBatch]:
-            known, seen = held.value, {}
-            for batch in batches:
-                for t in batch.column(0).to_pylist():
-                    tokens = words(t)
-                    for size in known.sizes:
-                        for p in range(len(tokens) - size + 1):
-                            g = " ".join(tokens[p : p + size])
-                            if g in known.where:
-                                seen[g] = seen.get(g, 0) + 1
-            yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
-
-        counted = corpus.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-        seeds.keep_rare({r.gram: r.n for r in counted.collect()})  # at most the grams of one block
-        rare = sc.broadcast(seeds)
-
-        def find(batches: Iterator[pa.RecordBatch], held=rare) -> Iterator[pa.RecordBatch]:
+        if rare:
+            all_grams = sc.broadcast(seeds)  # at most BLOCK_WORDS words
+
+            def count(batches: Iterator[pa.RecordBatch], held=all_grams) -> Iterator[pa.RecordBatch]:
+                known, seen = held.value, {}
+                for batch in batches:
+                    for t in batch.column(0).to_pylist():
+                        tokens = words(t)
+                        for size in known.sizes:
+                            for p in range(len(tokens) - size + 1):
+                                g = " ".join(tokens[p : p + size])
+                                if g in known.where:
+                                    seen[g] = seen.get(g, 0) + 1
+                yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], ["gram", "n"])
+
+            counted = corpus.select("text").mapInArrow(count, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+            seeds.keep_rare({r.gram: r.n for r in counted.collect()})  # at most the grams of one block
+        sown = sc.broadcast(seeds)  # at most BLOCK_WORDS words
+
+        def find(batches: Iterator[pa.RecordBatch], held=sown) -> Iterator[pa.RecordBatch]:
             own = held.value
             for batch in batches:
                 rows = []
                 for doc, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                    rows += [(doc, *x) for x in align(own, words(t))]
+                    rows += [(doc, *x) for x in align(own, words(t), least)]
                 cols = list(zip(*rows)) or [[]] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), *(pa.array(cols[k], t) for k, t in ((1, pa.int64()), (2, pa.int32()), (3, pa.int32()), (4, pa.int32())))], ["doc", "item", "run", "score", "whole"])
 

@@ -47,9 +47,9 @@ def p6_counts(spark: SparkSession, base: str) -> DataFrame:
     return L.above_share(_frequent(spark, base), 0.005).select("kind", "val", "low", "high", "total")
 
 
-def _leaks(spark: SparkSession, base: str) -> DataFrame:
+def _leaks(spark: SparkSession, base: str, **how) -> DataFrame:
     docs, items = table(spark, base, "documents", "doc_id", "text"), table(spark, base, "eval_items", "item_id", "text")
-    return K.leaked_items(docs, "doc_id", "text", items, "item_id", "text", passage=12)
+    return K.leaked_items(docs, "doc_id", "text", items, "item_id", "text", passage=12, **how)
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
@@ -61,8 +61,8 @@ def p8_found(spark: SparkSession, base: str) -> DataFrame:
 
 
 def p8_edited(spark: SparkSession, base: str) -> DataFrame:
-    """Documents with at least half of an item in alignment, however edited."""
-    return _leaks(spark, base).where("share >= 0.5").select("doc_id", "item_id", "run", "score", F.round("share", 4).alias("share"))
+    """Documents with at least half of an item in alignment, however edited, as long as five successive words are left."""
+    return _leaks(spark, base, least=0.5, rare=False).select("doc_id", "item_id", "run", "score", F.round("share", 4).alias("share"))
 
 
 def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:

@@ -200,6 +200,17 @@ def test_edited_copies_score_high_and_blocks_agree(spark, monkeypatch):
     assert rows(K.leaked_items(docs, "doc_id", "text", items, "item_id", "text")) == one
 
 
+def test_edited_copy_beside_an_exact_one(spark):
+    item = [f"q{i}" for i in range(40)]
+    edited = [("z" if i % 9 == 4 else w) for i, w in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(["x"] * 20 + edited + ["y"] * 20)), (2, " ".join(item)), (3, " ".join(item[:6] + ["n"] * 40))], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    found = K.leaked_items(docs, "doc_id", "text", items, "item_id", "text", least=0.5, rare=False)
+    assert [(r[0], r[2]) for r in rows(found, "doc_id", "item_id", "run")] == [(1, 8), (2, 40)]
+    every = rows(K.leaked_items(docs, "doc_id", "text", items, "item_id", "text", rare=False))
+    assert [r for r in every if r[4] >= 0.5] == rows(found) and len(every) == 3
+
+
 def test_smith_waterman():
     assert K.smith_waterman("a b c".split(), "x a b c y".split()) == 6
     assert K.smith_waterman("a b c d".split(), "a c d".split()) == 5
