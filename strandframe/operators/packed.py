@@ -3,11 +3,13 @@
 A multi-pattern automaton marks, in one pass over a record, the delimiters, the quotes and every known whole
 value. Dynamic programming over the marks then picks the cover of the text with the highest score: a segment that
 is a known whole value or a quoted literal scores and protects the delimiters inside it, all else is split at its
-delimiters. The dictionary is a broadcast of bounded size; it never decides alone where quoting already does.
+delimiters. The dictionary is either a list of bounded size or a table of any size, of which each record gets the values
+that stand in it; it never decides alone where quoting already does.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -124,27 +126,98 @@ def segment(text: str | None, marks) -> list[tuple[str | None, int, str]]:
     return out
 
 
+def candidates(text: str, longest: int) -> set[str]:
+    """The parts of a text, up to ``longest`` letters, that ``cover`` would protect if they were known values.
+
+    These are the closed quoted literals, and what lies between two edges (blanks beside an edge may belong to it or not), in
+    so far as it holds a delimiter.
+    """
+    inner = FIELD_END + VALUE_END
+    delimiters = [i for i, c in enumerate(text) if c in inner]
+    out = {text[i + 1 : to - 1].replace('""', '"') for i, c in enumerate(text) if c == '"' and (to := _literal_end(text, i)) > 0}
+    out = {v for v in out if len(v) <= longest and any(c in v for c in inner)}
+    ends = set()
+    for e in (*delimiters, len(text)):
+        ends.add(e)
+        while e and text[e - 1] == " ":
+            e -= 1
+            ends.add(e)
+    stops, begins = sorted(ends), set()
+    for b in (0, *(i + 1 for i, c in enumerate(text) if c in "=" + inner)):
+        while b < len(text):
+            begins.add(b)
+            if text[b] != " ":
+                break
+            b += 1
+    for b in begins:
+        k = bisect_left(delimiters, b)
+        if k < len(delimiters) and text[b] not in '"' + inner:
+            out.update(text[b:e] for e in stops[bisect_right(stops, delimiters[k]) : bisect_right(stops, b + longest)])
+    return out
+
+
+def _quoted(df: DataFrame, field: str) -> DataFrame:
+    """(v): every quoted value that holds a delimiter, as it is spelled."""
+    literal = F.explode(F.regexp_extract_all(F.col(field), F.lit('"((?:[^"]|"")*)"'), F.lit(1)))
+    return df.select(literal.alias("v")).where("v rlike '[;,|]'")
+
+
+def learned_values(df: DataFrame, field: str) -> DataFrame:
+    """(v): all quoted values that hold a delimiter, each once."""
+    return _quoted(df, field).select(F.replace("v", F.lit('""'), F.lit('"')).alias("v")).distinct()
+
+
 def learn_dictionary(df: DataFrame, field: str, size: int = 10_000) -> list[str]:
     """The ``size`` most frequent quoted values that hold a delimiter, counted over all rows (ties by value)."""
-    literal = F.explode(F.regexp_extract_all(F.col(field), F.lit('"((?:[^"]|"")*)"'), F.lit(1)))
-    counted = df.select(literal.alias("v")).where("v rlike '[;,|]'").groupBy("v").count()
+    counted = _quoted(df, field).groupBy("v").count()
     return [r.v.replace('""', '"') for r in counted.orderBy(F.desc("count"), "v").limit(size).select("v").collect()]
 
 
-def split_packed(df: DataFrame, key: str, field: str, known: list[str] | None = None, protect: bool = False) -> DataFrame:
+def _with_known(src: DataFrame, known: DataFrame) -> DataFrame:
+    """Adds to (key, field) the values of ``known`` that may stand in the field.
+
+    Parts and values meet by their hashes, and records by theirs: a clash adds a value that doesn't stand in the field or
+    is found there anyway, so it changes nothing.
+    """
+    longest = known.agg(F.max(F.length("v"))).first()[0] or 0
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(ids, found) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.string())], ["rec", "part"])
+
+        for batch in batches:
+            ids, found = [], []
+            for rec, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                for part in candidates(text, longest):
+                    ids.append(rec), found.append(part)
+                    if len(ids) >= 50_000:
+                        yield made(ids, found)
+                        ids, found = [], []
+            yield made(ids, found)
+
+    marked = src.withColumn("rec", F.xxhash64("key", "field"))
+    own = marked.select("rec", "field").mapInArrow(parts, "rec long, part string").select("rec", F.xxhash64("part").alias("h"))
+    met = own.join(known.select(F.xxhash64("v").alias("h"), "v"), "h").groupBy("rec").agg(F.collect_set("v").alias("known"))
+    return marked.join(met, "rec", "left").select("key", "field", "known")
+
+
+def split_packed(df: DataFrame, key: str, field: str, known: list[str] | DataFrame | None = None, protect: bool = False) -> DataFrame:
     """One row (key, tag, pos, val) per value packed in ``field``.
 
     Outside protected segments ``;`` ends a field, ``,`` and ``|`` end a value, and a field without a tag continues
-    the tag before it. ``known`` is the dictionary of whole values (its size is the caller's bound); with
-    ``protect`` its values are kept whole even where they aren't quoted. A null or empty field gives no rows; rows
+    the tag before it. ``known`` is the dictionary of whole values: a list (its size is the caller's bound) or a table (v)
+    of any size; with ``protect`` its values are kept whole even where they aren't quoted. A null or empty field gives no rows; rows
     repeated with the same key and field give one case; values in front of the first tag have a null tag; an
     unclosed quote is an ordinary letter; further columns aren't read.
     """
-    words = list(known or [])
+    listed = not isinstance(known, DataFrame)
+    words = list(known or []) if listed else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = automaton(words, protect)
         for batch in batches:
+            if not listed:  # the values of a batch only protect what the whole dictionary would
+                marks = automaton(sorted({v for vs in batch.column(2).to_pylist() for v in vs or ()}), protect)
             keys, tags, places, values = [], [], [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 for tag, pos, val in segment(text, marks):
@@ -159,4 +232,6 @@ def split_packed(df: DataFrame, key: str, field: str, known: list[str] | None =
 
     src = df.select(F.col(key).alias("key"), F.col(field).alias("field")).where("field IS NOT NULL").distinct()
     kind = df.schema[key].dataType.simpleString()
+    if not listed:
+        src = _with_known(src, known)
     return src.mapInArrow(run, f"key {kind}, {VALUES}").withColumnRenamed("key", key)

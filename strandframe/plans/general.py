@@ -65,7 +65,7 @@ def p4_found(spark: SparkSession, base: str) -> DataFrame:
 def p4_protected(spark: SparkSession, base: str) -> DataFrame:
     """As p4_found, but values known from quoted places stay whole where their quotes are missing."""
     records = table(spark, base, "gff_records", "rec_id", "attributes")
-    return P.split_packed(records, "rec_id", "attributes", P.learn_dictionary(records, "attributes"), protect=True)
+    return P.split_packed(records, "rec_id", "attributes", P.learned_values(records, "attributes"), protect=True)
 
 
 def p5_found(spark: SparkSession, base: str) -> DataFrame:

@@ -108,6 +108,27 @@ def test_dictionary_protects_unquoted_values():
     assert P.segment("Note=xalpha, beta form", marks) == [("Note", 1, "xalpha"), ("Note", 2, "beta form")]
 
 
+blank_value = st.from_regex(r'[a-b ;,|="]{2,7}', fullmatch=True)
+
+
+@given(st.lists(st.one_of(blank_value, st.sampled_from(["=", ";", " , ", '"a;b"', "|", "a;b", "a ,b", '"x""a;b"'])), max_size=8), st.lists(blank_value, max_size=4))
+@settings(max_examples=300, deadline=None)
+def test_candidates_hold_every_known_value_that_counts(pieces, known):
+    text, known = "".join(pieces), [v for v in ["a;b", "a ,b", *known, *pieces] if any(c in v for c in ";,|")]
+    found = P.candidates(text, max(map(len, known)))
+    assert P.segment(text, P.automaton([v for v in known if v in found], True)) == P.segment(text, P.automaton(known, True))
+
+
+def test_every_quoted_value_is_protected_elsewhere(spark):
+    n = 10_500  # more than a dictionary of stated size holds
+    quoted = spark.range(n).selectExpr("id AS rec_id", """concat('N="v', id, ',w', id, '"') AS attributes""")
+    bare = spark.range(n).selectExpr(f"id + {n} AS rec_id", "concat('N=v', id, ',w', id, ' ; K=v', id, ',w') AS attributes")
+    df = quoted.unionByName(bare)
+    got = P.split_packed(df, "rec_id", "attributes", P.learned_values(df, "attributes"), protect=True)
+    assert got.where("tag = 'N' AND pos = 1 AND val = concat('v', rec_id % 10500, ',w', rec_id % 10500)").count() == 2 * n
+    assert got.count() == 2 * n + 2 * n and got.where("tag = 'K'").count() == 2 * n
+
+
 def test_split_packed_with_dirty_rows(spark):
     data = [(1, 'ID=a;Note="x;y",z', 9), (1, 'ID=a;Note="x;y",z', 8), (2, None, 1), (3, "", 1), (4, "no tag", 1), (5, 'A="open', 1), (6, "K=" + ",".join("v" * 3 for _ in range(20_000)), 1), (None, "A=1", 1)]
     df = spark.createDataFrame(data, "rec_id long, attributes string, val int")
