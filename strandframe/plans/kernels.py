@@ -104,13 +104,14 @@ def graph_entropy(spark, base):
 
 
 def _listed(spark, base) -> DataFrame:
-    """The contigs to compare with one another: those of the sequences whose id is divisible by 50."""
+    """The contigs that are compared with all: those of the sequences whose id is divisible by 50."""
     return C.catalog(spark, base).where("sid % 50 = 0").select(F.col("name").alias("ctg"))
 
 
 @query
 def bundle_distance(spark, base):
-    return B.bundle_distances(C.stretches(spark, base), _listed(spark, base))
+    segments = C.stretches(spark, base)
+    return B.bundle_distances(segments, _listed(spark, base), segments.select("ctg"))
 
 
 @query

@@ -259,6 +259,20 @@ def test_bundle_distance_and_linkage(spark):
     assert rows(B.bundle_offsets(seg, "a"), "ctg", "offset")[:2] == [("a", 0), ("b", 0)]
 
 
+def test_distances_of_many_and_of_queries_to_all(spark):
+    import random
+
+    rnd = random.Random(3)
+    lists = [[(p * 100, p * 100 + rnd.randint(1, 90), rnd.randint(1, 4), rnd.randint(0, 1)) for p in range(rnd.randint(1, 9))] for _ in range(60)]
+    got = B.block_distances(lists[:20], lists)
+    assert all(got[i, j] == max(B.align_bundles(q, t)[0], B.align_bundles(t, q)[0]) for i, q in enumerate(lists[:20]) for j, t in enumerate(lists))
+    seg = spark.createDataFrame([(f"c{k}", *x) for k, own in enumerate(lists) for x in own], "ctg string, bgn int, end_pos int, b_id int, b_direction int")
+    asked = seg.where("ctg IN ('c3', 'c7')").select("ctg")
+    d = {(r.a, r.b): r.distance for r in B.bundle_distances(seg, asked, seg.select("ctg")).collect()}
+    assert len(d) == 2 * 60 and all(d[f"c{i}", f"c{j}"] == got[i, j] for i in (3, 7) for j in range(60))
+    assert B.bundle_distances(seg, seg.select("ctg")).count() == 60 * 61 // 2
+
+
 def test_consensus_repairs_reads():
     true = bases(1200, 31)
     rnd = random.Random(5)
