@@ -157,13 +157,58 @@ def variants(columns: list[tuple[int, int, str]], target: str, query: str) -> li
     return out
 
 
+def edit_map(target: str, query: str, most: int | None = None) -> list[tuple[int, int, str]] | None:
+    """The columns, as ``pair_map`` gives them, of an alignment with the fewest edits; None if there are more than ``most``.
+
+    Myers' bit vectors over the whole query: one step a letter of the target, however long the query is.
+    """
+    n, m = len(target), len(query)
+    every, top = (1 << m) - 1, m - 1
+    peq: dict[str, int] = {}
+    for j, c in enumerate(query):
+        peq[c] = peq.get(c, 0) | 1 << j
+    up, down, cost = every, 0, m
+    ups, downs = [up], [down]  # differences to the cell above in the query, +1 and -1, behind each letter of the target
+    for i, c in enumerate(target):
+        eq = peq.get(c, 0)
+        xv = eq | down
+        xh = (((eq & up) + up) ^ up) | eq
+        ph, mh = down | ~(xh | up) & every, up & xh
+        if m:
+            cost += (ph >> top & 1) - (mh >> top & 1)
+        else:
+            cost += 1
+        if most is not None and cost - (n - 1 - i) > most:
+            return None
+        ph, mh = (ph << 1 | 1) & every, mh << 1 & every
+        up, down = mh | ~(xv | ph) & every, ph & xv
+        ups.append(up), downs.append(down)
+    if most is not None and cost > most:
+        return None
+    out, i, j = [], n, m
+    while i or j:
+        if j and ups[i] >> j - 1 & 1:
+            j -= 1
+            out.append((i, j, "I"))
+        elif i and j and target[i - 1] == query[j - 1]:
+            i, j = i - 1, j - 1
+            out.append((i, j, "M"))
+        elif i and (not j or downs[i - 1] >> j - 1 & 1):
+            i -= 1
+            out.append((i, j, "D"))
+        else:
+            i, j = i - 1, j - 1
+            out.append((i, j, "X"))
+    return out[::-1]
+
+
 def delta_encode(base: str, other: str, tolerance: float = 0.1, band: int = 32) -> list[tuple[str, int, int, str]] | None:
     """``other`` as copies (M, begin, end) of ``base`` and inserted letters (I); None if they are too different."""
-    got = affine_align(base, other, 1, 0, 1, most=32 + int(tolerance * min(len(base), len(other))))
+    got = edit_map(base, other, 32 + int(tolerance * min(len(base), len(other))))
     if got is None:
         return None
     out: list[tuple[str, int, int, str]] = []
-    for t, q, o in pair_map(got[0], got[1]):
+    for t, q, o in got:
         if o == "M":
             if out and out[-1][0] == "M" and out[-1][2] == t:
                 out[-1] = ("M", out[-1][1], t + 1, "")

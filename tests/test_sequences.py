@@ -189,6 +189,25 @@ def slow_affine(t, q, x=3, o=3, e=1):
     return m[len(t), len(q)]
 
 
+def test_whole_sequences_are_coded(spark, tmp_path):
+    from strandframe.plans import kernels
+
+    rnd = random.Random(5)
+    letters = lambda n: "".join(rnd.choice("ACGT") for _ in range(n))
+    for _ in range(200):
+        a, b = (letters(rnd.randint(0, 14)) for _ in range(2))
+        got = A.edit_map(a, b)
+        assert sum(o != "M" for _, _, o in got) == A.affine_align(a, b, 1, 0, 1)[2]
+        assert (A.edit_map(a, b, 4) is None) == (sum(o != "M" for _, _, o in got) > 4)
+        assert A.delta_decode(a, A.delta_encode(a, b, 1.0)) == b
+    first = letters(1500)
+    other = first[:700] + "ACGTT" + first[705:1200] + first[1203:]
+    made = [(1, "n1", "s", first), (2, "n2", "s", other)]
+    spark.createDataFrame(made, "sid int, name string, source string, seq string").write.parquet(str(tmp_path / "sequences.parquet"))
+    got = rows(kernels.delta_roundtrip(spark, str(tmp_path)), "sid", "restored", "seq")
+    assert [r[2] for r in got] == [first, other] and all(r[1] == r[2] for r in got)
+
+
 def test_golden_alignment_of_two_fragments():
     t = "TCCATTCCCACCAGCAGTGTGTGAAAGTCTGGTACTGGTTCAGCCTGCCGTACTTTAATGATTATTGGTGTCACTCTTTCAAGTAACTTGTTGGTAATAAGAAGTCAATTA"
     q = "TCCATTCCCACCAGCAGTGTGTGAAGGTTCAGCCTGCCGTACTTTAATGATTATTGGTGACACTCTTTCAAGTAACTTGTTGGTAATATTTATCTAAGAAGTCAATTA"
@@ -260,8 +279,6 @@ def test_bundle_distance_and_linkage(spark):
 
 
 def test_distances_of_many_and_of_queries_to_all(spark):
-    import random
-
     rnd = random.Random(3)
     lists = [[(p * 100, p * 100 + rnd.randint(1, 90), rnd.randint(1, 4), rnd.randint(0, 1)) for p in range(rnd.randint(1, 9))] for _ in range(60)]
     got = B.block_distances(lists[:20], lists)
