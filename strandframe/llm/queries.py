@@ -105,7 +105,7 @@ i AS (SELECT big.sid, size, coalesce(ats, []) AS ats FROM big LEFT JOIN e USING
 p AS (
   SELECT sid, size, ats, 0::BIGINT AS bgn, CASE WHEN size <= 2000 THEN size ELSE coalesce(list_max(list_filter(ats, lambda x: x > 0 AND x <= 2000)), 2000) END::BIGINT AS end_pos FROM i
   UNION ALL
-  SELECT sid, size, ats, nxt, CASE WHEN size <= nxt + 2000 THEN size ELSE coalesce(list_max(list_filter(ats, lambda x: x > end_pos AND x <= nxt + 2000)), nxt + 2000) END::BIGINT FROM (SELECT *, greatest(end_pos - 100, 0) AS nxt FROM p WHERE end_pos < size))
+  SELECT sid, size, ats, nxt, CASE WHEN size <= nxt + 2000 THEN size ELSE coalesce(list_max(list_filter(ats, lambda x: x > end_pos AND x <= nxt + 2000)), nxt + 2000) END::BIGINT FROM (SELECT *, end_pos - 100 AS nxt FROM p WHERE end_pos < size))
 SELECT sid, bgn, end_pos FROM p""",
     "p6_found": """
 WITH r AS (SELECT (CAST(x AS HUGEINT) + CASE WHEN x < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 256 AS hash, (y & 4294967295) >> 1 AS pos

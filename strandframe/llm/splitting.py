@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 PIECES = "id long, bgn long, end_pos long"
+#: Successive part ids of which an item asks for at once.
+BLOCK = 32
 
 
 class FurthestCut:
@@ -25,7 +27,7 @@ class FurthestCut:
     def _cut(self) -> None:
         end = self.bgn + self.limit if self.best is None else self.best
         self.out.append((self.bgn, end))
-        self.last, self.bgn, self.best = end, max(end - self.overlap, 0), None
+        self.last, self.bgn, self.best = end, end - self.overlap, None
 
     def boundary(self, at: int, strength: int) -> None:
         if at <= self.size:
@@ -86,22 +88,28 @@ def split_oversized(items: DataFrame, parts: DataFrame, limit: int, overlap: int
     without a range of parts the pieces are cut by size alone. Items with a null id or size are ignored, rows repeated
     with the same values count once, further columns aren't read. 0 <= overlap < limit is required.
 
-    A piece never begins before 0, even if the one before it ends within the overlap.
+    With the strategy 'furthest' each piece begins exactly ``overlap`` before the end of the one before it, so the second
+    piece begins below 0 where the first ends within the overlap; 'bisect' never begins below 0.
 
-    Boundaries are joined by part, placed by item, and scanned in order, so no item's parts are gathered in a row.
+    Items and parts meet by blocks of part ids, are placed by item, and scanned in order, so no item's parts are gathered in a row.
     """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be at least 0 and below the limit")
     make = STRATEGIES[strategy]
     big = items.where(F.col("id").isNotNull() & (F.col("size") > limit)).select("id", F.col("size").cast("long"), F.col("part_start").cast("long"), F.col("part_n").cast("long")).distinct()
+    block = lambda c: F.floor(c / F.lit(BLOCK))
     last = F.col("part_start") + F.col("part_n") - 1
-    asked = F.when(F.col("part_n") > 0, F.sequence("part_start", last))
-    rows = big.select("id", "size", F.explode_outer(asked).alias("part_id"))
+    rows = big.withColumn("block", F.explode_outer(F.when(F.col("part_n") > 0, F.sequence(block(F.col("part_start")), block(last)))))
     known = parts.select("part_id", "length").where("part_id IS NOT NULL").groupBy("part_id").agg(F.max("length").cast("long").alias("length"))
-    placed = rows.join(known, "part_id", "left").select("id", "size", "part_id", "length").repartition("id").sortWithinPartitions("id", "part_id")
+    met = rows.join(known.withColumn("block", block(F.col("part_id"))), "block", "left")
+    inside = (F.col("part_id") >= F.col("part_start")) & (F.col("part_id") <= last)
+    part_id = F.when(inside, F.col("part_id") - F.col("part_start"))
+    # a block without parts in the range keeps a row without a part, so that every item is there
+    placed = met.select("id", "size", part_id.alias("nth"), "length").where("nth IS NOT NULL").unionByName(big.select("id", "size", F.lit(-1).cast("long").alias("nth"), F.lit(None).cast("long").alias("length")))
+    placed = placed.repartition("id").sortWithinPartitions("id", "nth")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, cutter, at, sure = None, None, 0, True
+        now, cutter, at, sure = None, None, 0, 0  # sure: the number of the next part, -1 behind an unknown one
         ids, begins, ends = [], [], []
 
         def close() -> None:
@@ -110,13 +118,17 @@ def split_oversized(items: DataFrame, parts: DataFrame, limit: int, overlap: int
                     ids.append(now), begins.append(b), ends.append(e)
 
         for batch in batches:
-            for i, size, length in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+            for i, size, nth, length in zip(*(c.to_pylist() for c in batch.columns)):
                 if i != now:
                     close()
-                    now, cutter, at, sure = i, make(size, limit, overlap), 0, True
-                if length is None:
-                    sure = False
-                elif sure and length > 0:
+                    now, cutter, at, sure = i, make(size, limit, overlap), 0, 0
+                if nth < 0:
+                    continue
+                if length is None or nth != sure:
+                    sure = -1
+                    continue
+                sure += 1
+                if length > 0:
                     at += length
                     cutter.boundary(at, length)
             if len(ids) > 10_000:

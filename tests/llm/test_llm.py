@@ -88,7 +88,7 @@ def slow_split(size, ends, limit, overlap):
         near = [e for e in ends if last < e <= bgn + limit]
         end = max(near) if near else bgn + limit
         out.append((bgn, end))
-        last, bgn = end, max(0, end - overlap)
+        last, bgn = end, end - overlap
     return [*out, (bgn, size)]
 
 
@@ -102,18 +102,18 @@ def test_cuts(lengths, limit, overlap):
             if n:
                 cutter.boundary(e, n)
         got = cutter.close()
-        assert got[0][0] == 0 and got[-1][1] == size and all(0 <= b <= e and e - b <= limit for b, e in got)
-        assert all(q[0] == max(0, p[1] - overlap) for p, q in zip(got, got[1:]))
+        assert got[0][0] == 0 and got[-1][1] == size and all(b <= e and e - b <= limit for b, e in got)
+        assert all(q[0] == p[1] - overlap or strategy == "bisect" and q[0] == max(0, p[1] - overlap) for p, q in zip(got, got[1:]))
         if strategy == "furthest" and size > limit:
             assert got == slow_split(size, ends, limit, overlap)
 
 
 def test_split_oversized(spark):
-    items = [(1, 100, 0, 4), (1, 100, 0, 4), (2, 100, None, None), (3, 100, 0, 5), (4, 10, 0, 4), (None, 100, 0, 1), (5, None, 0, 1), (6, 90, 20, 2)]
-    parts = [(0, 30), (1, 25), (2, 0), (3, 45), (3, 45), (20, 20), (21, None), (None, 4)]
+    items = [(7, 90, 30, 70), (1, 100, 0, 4), (1, 100, 0, 4), (2, 100, None, None), (3, 100, 0, 5), (4, 10, 0, 4), (None, 100, 0, 1), (5, None, 0, 1), (6, 90, 20, 2)]
+    parts = [(0, 30), (1, 25), (2, 0), (3, 45), (3, 45), (20, 20), (21, None), (None, 4), *((i, 1) for i in range(30, 65)), *((i, 9) for i in range(66, 99))]
     di = spark.createDataFrame([(*x, "z") for x in items], "id long, size long, part_start int, part_n int, length string")
     dp = spark.createDataFrame([(*x, 0) for x in parts], "part_id long, length int, id int")
-    want = sorted([(1, *p) for p in slow_split(100, [30, 55, 100], 40, 5)] + [(2, *p) for p in slow_split(100, [], 40, 5)] + [(3, *p) for p in slow_split(100, [30, 55, 100], 40, 5)] + [(6, *p) for p in slow_split(90, [20], 40, 5)])
+    want = sorted([(1, *p) for p in slow_split(100, [30, 55, 100], 40, 5)] + [(2, *p) for p in slow_split(100, [], 40, 5)] + [(3, *p) for p in slow_split(100, [30, 55, 100], 40, 5)] + [(6, *p) for p in slow_split(90, [20], 40, 5)] + [(7, *p) for p in slow_split(90, list(range(1, 36)), 40, 5)])
     assert rows(X.split_oversized(di, dp, 40, 5)) == want
     assert X.split_oversized(di.where("false"), dp, 40, 5).count() == 0
     with pytest.raises(ValueError):
