@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from strandframe.session import cut
+
 FORM = "slot int, val long, low long, undercount long, buckets long"
 
 
@@ -82,7 +84,8 @@ def frequent_items(df: DataFrame, columns: list[str], width: int = 4000, block:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(k, i, np.int32)), pa.array([None, *c.val.tolist()], pa.int64()), pa.array(np.concatenate(([c.seen], c.low))), pa.array(np.concatenate(([c.bucket], c.under))), pa.array(np.full(k, c.bucket, np.int64))], ["slot", "val", "low", "undercount", "buckets"])
 
     src = df.select(*(F.col(c).cast("long").alias(f"c{i}") for i, c in enumerate(columns)))
-    merged = src.mapInArrow(run, FORM).groupBy("slot", "val").agg(*(F.sum(c).alias(c) for c in ("low", "undercount", "buckets")))
+    # cut, as the totals and the values are both taken from it: what is written is as small as the summaries
+    merged = cut(src.mapInArrow(run, FORM).groupBy("slot", "val").agg(*(F.sum(c).alias(c) for c in ("low", "undercount", "buckets"))))
     total = merged.where("val IS NULL").select("slot", F.col("low").alias("total"), F.col("buckets").alias("all_buckets"))
     out = merged.where("val IS NOT NULL").join(F.broadcast(total), "slot")  # one row a column
     # where a partition has no entry, the value may lack all of that partition's buckets
