@@ -53,11 +53,8 @@ def _leaks(spark: SparkSession, base: str, **how) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, base: str) -> DataFrame:
-    """Seeds and alignment give the candidates; the exact run decides: 12 words, or the whole item if it has fewer."""
-    size = F.udf(lambda t: len(K.words(t)), "int")
-    items = table(spark, base, "eval_items", "item_id", "text").select("item_id", F.least(F.lit(12), size("text")).alias("needed")).distinct()
-    found = _leaks(spark, base).where(F.col("score") >= K.MATCH)
-    return found.join(items, "item_id").where("run >= needed").select("doc_id", "item_id")
+    """Rare seeds give the candidates, the longest run in their alignment decides: 12 words, or the whole item if it has fewer."""
+    return _leaks(spark, base).where("run >= least(12, item_words)").select("doc_id", "item_id")
 
 
 def p8_edited(spark: SparkSession, base: str) -> DataFrame:

@@ -7,6 +7,7 @@ import random
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -39,19 +40,46 @@ def shared_by_hand(data, n):
     return sorted(out)
 
 
-@pytest.mark.parametrize("hot", [100_000, 1])
-def test_shared_spans(spark, hot):
+def every_minimizer(records, length, k, spread):
+    return [r.m for r in S._pieces(records, length, k).select("m").distinct().collect()], 1.0
+
+
+@pytest.mark.parametrize("weights", [S._weights, every_minimizer])
+def test_shared_spans(spark, monkeypatch, weights):
+    monkeypatch.setattr(S, "_weights", weights)
     rnd = random.Random(7)
     base = "".join(rnd.choice("ACGT") for _ in range(900))
     dull = "A" * 700
     data = [(1, base), (2, base[:300].lower() + "NN" + base[300:]), (3, base[100:180] + dull), (4, dull + base[500:]), (5, "".join(rnd.choice("ACGT") for _ in range(400)) + "AC" * 200), (6, "AC" * 150), (7, None), (8, ""), (9, "ACGT"), (None, base), (1, base)]
     df = spark.createDataFrame([(i, s, 1, "x") for i, s in data], "sid int, seq string, m int, id string")
-    assert rows(S.shared_spans(df, "sid", "seq", length=40, k=12, hot=hot)) == shared_by_hand(data, 40)
-    if hot > 1:
+    assert rows(S.shared_spans(df, "sid", "seq", length=40, k=12)) == shared_by_hand(data, 40)
+    assert rows(S.shared_spans(df, "sid", "seq", length=40, k=12, spread=20)) == shared_by_hand(data, 40)
+    if weights is not every_minimizer:
         assert S.shared_spans(df.where("false"), "sid", "seq", length=40, k=12).count() == 0
         assert rows(S.shared_sizes(spark.createDataFrame([(1, 0, 5), (1, 9, 10)], "sid int, bgn long, end_pos long"), "sid")) == [(1, 2, 6)]
 
 
+@pytest.mark.parametrize("size", [1, 7, 1000])
+def test_minimizers_are_counted_some_at_a_time(monkeypatch, size):
+    monkeypatch.setattr(S, "AT_ONCE", 60)
+    rnd = random.Random(size)
+    base = "".join(rnd.choice("ACGT") for _ in range(600))
+    data = [(1, base), (2, base[50:200] + "T" + base[201:500]), (3, base[300:]), (4, "A" * 300), (5, "C" + "A" * 200), (6, "".join(rnd.choice("ACGT") for _ in range(300))), (7, base[:90] + "G" + base[91:140])]
+    owner, first, windows, m, blob = S.cut_pieces([t.encode() for _, t in data], 40, 12)
+    order = np.argsort(m, kind="stable")
+    batch = pa.RecordBatch.from_arrays([pa.array([f"r{data[o][0]}" for o in owner[order]]), pa.array(first[order]), pa.array(windows[order].astype(np.int32)), pa.array(m[order]), blob.take(pa.array(order))], ["id", "first", "windows", "m", "piece"])
+    out = S._count_together(40)(batch.slice(i, size) for i in range(0, batch.num_rows, size))
+    covered = defaultdict(lambda: np.zeros(601, bool))
+    for b in out:
+        for i, bgn, end in zip(*(c.to_pylist() for c in b.columns)):
+            covered[int(i[1:])][bgn:end] = True
+    found = []
+    for i, c in covered.items():
+        edge = np.flatnonzero(np.diff(np.concatenate(([False], c)).astype(int)))
+        found += [(i, int(a), int(b)) for a, b in zip(edge[::2], edge[1::2])]
+    assert sorted(found) == shared_by_hand(data, 40)
+
+
 def test_long_records_are_worked_off_in_chunks(monkeypatch, spark):
     monkeypatch.setattr(S, "CHUNK", 64)
     rnd = random.Random(8)
@@ -211,10 +239,21 @@ def test_edited_copy_beside_an_exact_one(spark):
     assert [r for r in every if r[4] >= 0.5] == rows(found) and len(every) == 3
 
 
-def test_smith_waterman():
-    assert K.smith_waterman("a b c".split(), "x a b c y".split()) == 6
-    assert K.smith_waterman("a b c d".split(), "a c d".split()) == 5
-    assert K.smith_waterman("a".split(), "b".split()) == 0
+def slow_alignment(a, b):
+    score, run, best, longest = defaultdict(int), defaultdict(int), 0, 0
+    for i, x in enumerate(a, 1):
+        for j, y in enumerate(b, 1):
+            same = x == y and x > 0
+            run[i, j] = run[i - 1, j - 1] + 1 if same else 0
+            score[i, j] = max(0, score[i - 1, j - 1] + (2 if same else -1), score[i - 1, j] - 1, score[i, j - 1] - 1)
+            best, longest = max(best, score[i, j]), max(longest, run[i, j])
+    return best, longest
+
+
+@given(st.lists(st.integers(0, 4), max_size=14), st.lists(st.integers(0, 4), min_size=1, max_size=14))
+@settings(max_examples=200, deadline=None)
+def test_smith_waterman(a, b):
+    assert K.smith_waterman(np.array(a, np.int32), np.array(b, np.int32)) == slow_alignment(a, b)
 
 
 # ------------------------------------------------------------------ 9 mixing
