@@ -1,109 +1,68 @@
 """Full hierarchies from parent-child links of unknown depth.
 
-Leaves are peeled to expose cycles; what resists is resolved by pointer doubling, so that the number of rounds is
-logarithmic even for chains. The remaining forest is laid out as Euler tours, which parallel list ranking turns
-into places: an element's distance to the end of its tour and the sum of the steps down and up that follow it. A
-node's entry and exit places give its depth, its root, its ancestors and its descendants. Nothing is grouped per
-parent or per tree: siblings are chained by a global sort, and in list ranking every element has one successor.
+Leaves are peeled to expose cycles; in what resists, roots are taken off and pointers doubled until only nodes on or below
+cycles are left, and what was peeled learns from its parents, layer by layer. The remaining forest is laid out as Euler
+tours, which parallel list ranking turns into places: an element's distance to the end of its tour and the sum of the steps
+down and up that follow it. A node's entry and exit places give its depth, its root, its ancestors and its descendants.
+Nothing is grouped per parent or per tree: siblings are chained by a global sort, and in list ranking every element has one
+successor. All rounds run over all tasks at every size; their tables are written, so the planner knows how small they are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, functions as F
 
-from strandframe.session import cut
+from strandframe.session import Shelf, cut, rows_of
 
 
-def _unite(a: DataFrame, b: DataFrame) -> DataFrame:
-    return a.unionByName(b)
-
-
-def peel_leaves(links: DataFrame) -> DataFrame:
-    """The links that remain when nodes without children are taken off again and again.
+def peel_leaves(links: DataFrame, shelf: Shelf) -> tuple[DataFrame, list[DataFrame]]:
+    """The links that remain when nodes without children are taken off again and again, and those taken off, round by round.
 
     Rounds go on while they take off at least half of the links, so all rounds together cost about two of the
-    first; deeper chains are left to pointer doubling.
-    """
-    left, size = links, links.count()
-    while size:
-        parents = left.select(F.col("parent").alias("child")).distinct()
-        rest = cut(left.join(parents, "child", "left_semi"))
-        n = rest.count()
-        left, before, size = rest, size, n
-        if n > before // 2:
-            break
-    return left
-
-
-def _tops(single: DataFrame) -> DataFrame:
-    """(child, top, loop) for nodes with one parent each: where the chain of such nodes ends, or that it never does (loop).
-
-    Each round doubles the reach of all pointers that are under way. A node whose chain ends, but hasn't after round t, has more than
-    2^t nodes like it above it; so once no more than 2^t nodes are under way, one more round decides.
+    first; deeper chains are left to pointer doubling. A node's links to all its parents are taken off together.
     """
-    inside = single.select(F.col("child").alias("up"), F.lit(True).alias("inside"))
-    state = cut(single.join(inside, "up", "left").select("child", "up", F.col("inside").isNull().alias("ended")))
-    size, t = state.where("NOT ended").count(), 0
-    while size:
-        heads = state.select(F.col("child").alias("up"), F.col("up").alias("up2"), F.col("ended").alias("ended2"))
-        moved = state.where("NOT ended").join(heads, "up").select("child", F.col("up2").alias("up"), F.col("ended2").alias("ended"))
-        state = cut(_unite(state.where("ended"), moved))
-        if size <= 2**t:
-            break
-        size, t = state.where("NOT ended").count(), t + 1
-    return state.select("child", F.col("up").alias("top"), (~F.col("ended")).alias("loop"))
-
-
-#: So many links that are left after peeling are resolved by one task; more by doubling over all tasks, with the same result.
-ONE_TASK = 100_000
-
-
-def _caught_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes that remain when nodes without parents are taken off one after another."""
-    below: dict[int, list[int]] = {}
-    waiting: dict[int, int] = {}
-    for batch in batches:
-        for c, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            below.setdefault(p, []).append(c)
-            waiting[c] = waiting.get(c, 0) + 1
-    ready = [p for p in below if p not in waiting]
-    while ready:
-        for c in below.get(ready.pop(), ()):
-            waiting[c] -= 1
-            if not waiting[c]:
-                del waiting[c]
-                ready.append(c)
-    yield pa.RecordBatch.from_arrays([pa.array(list(waiting), pa.int64())], ["child"])
-
-
-def caught_in_cycles(links: DataFrame) -> DataFrame:
+    left, layers, before = links, [], None
+    while True:
+        inner = left.select(F.col("parent").alias("child"), F.lit(True).alias("inner")).distinct()
+        marked, seen = shelf.put(left.select("child", "parent").join(inner, "child", "left"), n=rows_of(), rest=rows_of("inner"))
+        left = marked.where("inner").select("child", "parent")
+        layers.append(marked.where("inner IS NULL").select("child", "parent"))
+        if not seen["rest"] or seen["rest"] > seen["n"] // 2:
+            return left, layers
+
+
+def caught_in_cycles(links: DataFrame, shelf: Shelf) -> DataFrame:
     """(child): the nodes that are on a cycle of parent links or below one; a node may have several parents.
 
-    Links to roots are taken off. If none were, every way up goes on for ever, so all nodes are caught. Else chains of nodes with
-    one parent are contracted by pointer doubling, and the links between the nodes with several parents that remain are treated the
-    same way; a link to a chain that never ends is kept as a loop.
+    In each round a link to a root is dropped, and a link to a node with one parent goes on to that parent, which doubles the reach
+    of chains. While any node has a way up that ends, the last node of that way but one has a link to a root; so once a round
+    drops nothing, all nodes with links left are caught.
     """
-    size = links.count()
-    if size <= ONE_TASK:
-        return links.select("child", "parent").distinct().coalesce(1).mapInArrow(_caught_here, "child long")
-    kept = cut(links.join(links.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent"))
-    rest = kept.count()
-    if rest in (0, size):
-        return kept.select("child").distinct()
-    degree = cut(kept.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("up")))
-    tops = _tops(degree.where("n = 1").select("child", "up"))
-    ended, endless = tops.where("NOT loop").select("child", "top"), tops.where("loop").select("child")
-    forks = kept.join(degree.where("n > 1").select("child"), "child", "left_semi")
-    top, loop = ended.withColumnRenamed("child", "parent"), endless.select(F.col("child").alias("parent"), F.lit(True).alias("loop"))
-    lifted = forks.join(top, "parent", "left").join(loop, "parent", "left")
-    lifted = cut(lifted.select("child", F.when(F.col("loop"), F.col("child")).otherwise(F.coalesce("top", "parent")).alias("parent")).distinct())
-    caught = caught_in_cycles(lifted)
-    below = ended.join(caught.withColumnRenamed("child", "top"), "top", "left_semi").select("child")
-    return _unite(_unite(endless, caught), below)
+    left = links.select("child", "parent").distinct()
+    while True:
+        up = left.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("up")).withColumnRenamed("child", "parent")
+        step = left.join(up, "parent", "left").select("child", F.when(F.col("n") == 1, F.col("up")).otherwise(F.col("parent")).alias("parent"), F.col("n").isNull().alias("dropped"))
+        moved, seen = shelf.put(step, n=rows_of(), dropped=rows_of("dropped"))
+        left = moved.where("NOT dropped").select("child", "parent").distinct()
+        if not seen["dropped"] or seen["dropped"] == seen["n"]:
+            return left.select("child").distinct()
+
+
+def caught_below(caught: DataFrame, layers: list[DataFrame], shelf: Shelf) -> DataFrame:
+    """(child): the caught nodes with those of the peeled layers that have one of them as a parent, the last layer first."""
+    found = shelf.put(caught)
+    tables = [found]
+    for layer in reversed(layers):
+        more, seen = shelf.put(layer.join(found.withColumnRenamed("child", "parent"), "parent", "left_semi").select("child").distinct(), n=rows_of())
+        if seen["n"]:
+            tables.append(more)
+            found = shelf.read(*tables)
+    return found
 
 
 def _next_sibling(links: DataFrame) -> DataFrame:
@@ -132,14 +91,14 @@ def _next_sibling(links: DataFrame) -> DataFrame:
             if not batch.num_rows:
                 continue
             rows = batch if held is None else pa.Table.from_batches([held, batch]).combine_chunks().to_batches()[0]
-            yield from pairs(rows, rows.column(0)[-1:], None)
+            yield from pairs(rows)
             held = rows.slice(rows.num_rows - 1)
         if held is not None:
             parent, child = after.get(TaskContext.get().partitionId(), (None, None))
             same = parent == held.column(0)[0].as_py()
             yield pa.RecordBatch.from_arrays([held.column(1), held.column(0), pa.array([child if same else None], pa.int64())], ["child", "parent", "sibling"])
 
-    def pairs(rows, _last, _none) -> Iterator[pa.RecordBatch]:
+    def pairs(rows) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
         n = rows.num_rows - 1
@@ -164,40 +123,35 @@ def _tour(nodes: DataFrame, links: DataFrame) -> DataFrame:
     return own.select("node", F.explode(made).alias("e")).select("node", "e.out", F.col("e.to.n").alias("next_node"), F.when(F.col("e.to.n").isNotNull(), F.col("e.to.o")).alias("next_out"), F.col("e.step").cast("long").alias("step"), F.lit(1).cast("long").alias("rank"))
 
 
-def rank_lists(elements: DataFrame) -> DataFrame:
+def rank_lists(elements: DataFrame, shelf: Shelf) -> DataFrame:
     """Parallel list ranking: adds for each element the sums of step and rank from it to the end, and the end's node (tail).
 
     Elements are keyed by (node, out); successors (next_node, next_out) are unique. A round joins the elements that
-    are still under way with their successors and doubles every reach; finished elements leave the work.
+    are still under way with their successors and doubles every reach; finished elements leave the work. Where few are under
+    way, the planner sends them to the finished ones, which then aren't shuffled.
     """
     # an exit points at the parent's exit, which a leaf doesn't have: parents always have both elements
-    done = elements.where("next_node IS NULL").withColumn("tail", F.col("node"))
-    live = cut(elements.where("next_node IS NOT NULL").withColumn("tail", F.lit(None).cast("long")))
-    done = cut(done)
-    parts = [done]
-    recent = done
-    size = live.count()
-    while size:
-        ahead = _unite(live, recent).select(F.col("node").alias("n"), F.col("out").alias("o"), F.col("next_node").alias("nn"), F.col("next_out").alias("no"), F.col("step").alias("s2"), F.col("rank").alias("r2"), F.col("tail").alias("t2"))
-        moved = cut(live.join(ahead, (F.col("next_node") == F.col("n")) & (F.col("next_out") == F.col("o"))).select("node", "out", F.col("nn").alias("next_node"), F.col("no").alias("next_out"), (F.col("step") + F.col("s2")).alias("step"), (F.col("rank") + F.col("r2")).alias("rank"), F.col("t2").alias("tail")))
-        # an element that ends now has jumped onto one that had ended before, so all ended ones stay within reach
-        ended, live = moved.where("next_node IS NULL"), moved.where("next_node IS NOT NULL")
-        parts.append(ended)
-        recent = _unite(recent, ended)
-        size = live.count()
-    out = parts[0]
-    for p in parts[1:]:
-        out = _unite(out, p)
-    return out.select("node", "out", "step", "rank", "tail")
-
-
-def euler_forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    first = elements.withColumn("tail", F.when(F.col("next_node").isNull(), F.col("node")))
+    now, seen = shelf.put(first, live=rows_of("next_node IS NOT NULL"))
+    tables = [now]
+    while seen["live"]:
+        live = now.where("next_node IS NOT NULL")
+        # an element that ends now jumps onto one that had ended in any round before
+        ahead = now.unionByName(shelf.read(*tables[:-1]).where("next_node IS NULL")) if len(tables) > 1 else now
+        ahead = ahead.select(F.col("node").alias("next_node"), F.col("out").alias("next_out"), F.col("next_node").alias("nn"), F.col("next_out").alias("no"), F.col("step").alias("s2"), F.col("rank").alias("r2"), F.col("tail").alias("t2"))
+        moved = live.join(ahead, ["next_node", "next_out"]).select("node", "out", F.col("nn").alias("next_node"), F.col("no").alias("next_out"), (F.col("step") + F.col("s2")).alias("step"), (F.col("rank") + F.col("r2")).alias("rank"), F.col("t2").alias("tail"))
+        now, seen = shelf.put(moved, live=rows_of("next_node IS NOT NULL"))
+        tables.append(now)
+    return shelf.read(*tables).where("next_node IS NULL").select("node", "out", "step", "rank", "tail")
+
+
+def euler_forest(nodes: DataFrame, links: DataFrame, shelf: Shelf) -> DataFrame:
     """(node, root, depth, place_in, place_out) for a forest given by links (child, parent), each child once.
 
     Places count down along the tour: u is an ancestor of v, or v itself, if both have the same root and
     place_in(u) >= place_in(v) and place_out(u) <= place_out(v).
     """
-    ranked = rank_lists(_tour(nodes, links))
+    ranked = rank_lists(_tour(nodes, links), shelf)
     return ranked.groupBy("node").agg(
         F.max("tail").alias("root"),
         F.max(F.when(F.col("out") == 0, -F.col("step"))).alias("depth"),
@@ -207,84 +161,89 @@ def euler_forest(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def hierarchy(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, root, depth, place_in, place_out) for each node; root and depth are -1 on a cycle or below one.
+    """(node, root, depth, place_in, place_out) for each node; on a cycle or below one root and depth are -1 and places null.
 
     ``nodes`` has a LONG column node, ``links`` LONG columns child and parent. Null, repeated and dangling links
     are ignored, repeated nodes count once, and a node without a parent is its own root with depth 0. Of several
     parents the smallest id is followed, unless one of them is on a cycle or below one: then so is the node.
     Empty tables give no rows; further columns aren't read.
     """
-    nodes = cut(nodes.select("node").where("node IS NOT NULL").distinct())
+    shelf = Shelf(nodes.sparkSession)
+    nodes = shelf.put(nodes.select("node").where("node IS NOT NULL").distinct())
     known = lambda c: nodes.withColumnRenamed("node", c)
-    every = cut(links.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct().join(known("child"), "child", "left_semi").join(known("parent"), "parent", "left_semi"))
-    loose = cut(caught_in_cycles(peel_leaves(every)).distinct().withColumn("caught", F.lit(True)))
-    # a parent that is caught is followed rather than another
-    led = every.join(loose.withColumnRenamed("child", "parent"), "parent", "left").withColumn("rank", F.when(F.col("caught"), 0).otherwise(1))
-    single = cut(led.groupBy("child").agg(F.min(F.struct("rank", "parent")).alias("m")).select("child", F.col("m.parent").alias("parent")))
-    while True:
-        forest = single.join(loose, "child", "left_anti")
-        laid = euler_forest(nodes, cut(forest))
-        roots = loose.select(F.col("child").alias("root"), "caught")
-        laid = cut(laid.join(roots, "root", "left").withColumn("caught", F.coalesce("caught", F.lit(False))))
-        state = laid.select("node", "caught")
-        # links to a second parent that is caught: their children are caught too, with all that hangs below them
-        found = cut(
-            every.join(state.withColumnRenamed("node", "parent").where("caught").drop("caught"), "parent", "left_semi")
-            .join(state.withColumnRenamed("node", "child").where("NOT caught").drop("caught"), "child", "left_semi")
-            .select("child").distinct()
-        )
-        if not found.count():
-            break
-        loose = cut(_unite(loose, found.withColumn("caught", F.lit(True))))
-    ok = ~F.col("caught")
+    every = shelf.put(links.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct().join(known("child"), "child", "left_semi").join(known("parent"), "parent", "left_semi"))
+    rest, layers = peel_leaves(every, shelf)
+    caught = caught_below(caught_in_cycles(rest, shelf), layers, shelf)
+    # of the other nodes no parent is caught
+    forest = shelf.put(every.groupBy("child").agg(F.min("parent").alias("parent")).join(caught, "child", "left_anti"))
     lost = F.lit(-1).cast("long")
-    return laid.select("node", F.when(ok, F.col("root")).otherwise(lost).alias("root"), F.when(ok, F.col("depth")).otherwise(lost).alias("depth"), "place_in", "place_out")
+    out = euler_forest(nodes.join(caught.withColumnRenamed("child", "node"), "node", "left_anti"), forest, shelf)
+    none = F.lit(None).cast("long")
+    laid = shelf.put(out.unionByName(caught.distinct().select(F.col("child").alias("node"), lost.alias("root"), lost.alias("depth"), none.alias("place_in"), none.alias("place_out"))))
+    shelf.clear(laid)
+    return laid
 
 
 def paths(laid: DataFrame) -> DataFrame:
     """(node, root, depth, path): the ids from the root down to the node. Nodes on or below cycles have a null path.
 
-    The nodes are range-sorted along the tours. A scan keeps the current path as a stack; the stack that reaches a
-    partition is combined on the driver from the stacks that the partitions before it leave.
+    The nodes are range-sorted along the tours and scanned with the current path as a stack. The stack that reaches a part of the
+    order holds the ancestors of its first node: those whose interval of places the node lies in. Each node sends itself to the
+    parts that begin within its interval; the driver sees one node a part.
     """
-    form = "node long, root long, depth long, place_in long"
-    good = laid.where("depth >= 0").select("node", "root", "depth", "place_in")
-    placed = cut(good.repartitionByRange("root", F.desc("place_in")).sortWithinPartitions("root", F.desc("place_in")))
-
-    def walk(batches, stack: list[int]):
+    shelf = Shelf(laid.sparkSession)
+    good = laid.where("depth >= 0").select("node", "root", "depth", "place_in", "place_out")
+    sorted_ = good.repartitionByRange("root", F.desc("place_in")).sortWithinPartitions("root", F.desc("place_in"))
+    placed = shelf.put(sorted_.withColumn("part", F.spark_partition_id()))
+    firsts = placed.groupBy("part").agg(F.min(F.struct("root", (-F.col("place_in")).alias("p"))).alias("f")).collect()
+    begins = sorted((r.f.root, r.f.p, r.part) for r in firsts)
+    roots, places, parts = (np.array([b[i] for b in begins], np.int64) for i in range(3))
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            nodes, roots, depths = (batch.column(i).to_pylist() for i in range(3))
-            made = []
-            for n, d in zip(nodes, depths):
-                del stack[d:]
-                stack.append(n)
-                made.append(list(stack))
-            yield nodes, roots, depths, made
-
-    def left(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        base, stack, seen = 0, [], False
-        for batch in batches:
-            for n, d in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if not seen:
-                    base, seen = d, True
-                if d < base:
-                    base, stack = d, []
-                del stack[d - base :]
-                stack.append(n)
-        if seen:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([base], pa.int64()), pa.array([stack], pa.list_(pa.int64()))], ["part", "base", "stack"])
-
-    carried, now = {}, []
-    for r in sorted(placed.mapInArrow(left, "part int, base long, stack array<long>").collect(), key=lambda r: r.part):
-        carried[r.part] = now
-        now = now[: r.base] + list(r.stack)
+            node, root, depth, place_in, place_out = (batch.column(i).to_numpy() for i in range(5))
+            # begins within the interval: of the same root, behind the entry, not behind the exit
+            lo, hi = np.searchsorted(roots, root, "left"), np.searchsorted(roots, root, "right")
+            rows, ats = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for i in np.flatnonzero(hi > lo):
+                own = places[lo[i] : hi[i]]
+                a, b = np.searchsorted(own, -place_in[i], "right"), np.searchsorted(own, -place_out[i], "right")
+                if b > a:
+                    rows.append(np.full(b - a, i)), ats.append(np.arange(lo[i] + a, lo[i] + b))
+            row, at = np.concatenate(rows), np.concatenate(ats)
+            yield pa.RecordBatch.from_arrays([pa.array(parts[at].astype(np.int32)), pa.array(np.zeros(len(at), np.int32)), pa.array(node[row]), pa.array(root[row]), pa.array(depth[row]), pa.array(place_in[row])], ["part", "own", "node", "root", "depth", "place_in"])
+
+    form = "part int, own int, node long, root long, depth long, place_in long"
+    sent = placed.select("node", "root", "depth", "place_in", "place_out").mapInArrow(send, form)
+    rows = placed.select("part", F.lit(1).alias("own"), "node", "root", "depth", "place_in").unionByName(sent)
+    # ancestors come before the nodes of a part, from the root down
+    order = ["part", "own", F.when(F.col("own") == 0, F.lit(0)).otherwise(F.col("root")), F.when(F.col("own") == 0, F.col("depth")).otherwise(-F.col("place_in"))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for nodes, roots, depths, made in walk(batches, list(carried.get(TaskContext.get().partitionId(), []))):
-            yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(roots, pa.int64()), pa.array(depths, pa.int64()), pa.array(made, pa.list_(pa.int64()))], ["node", "root", "depth", "path"])
+        stack: list[int] = []
+        now, size = None, 0
+        out: list[tuple] = []
 
-    found = placed.mapInArrow(run, "node long, root long, depth long, path array<long>")
-    return _unite(found, laid.where("depth < 0").select("node", "root", "depth", F.lit(None).cast("array<long>").alias("path")))
+        def made() -> pa.RecordBatch:
+            cols = list(zip(*out)) or [()] * 4
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.list_(pa.int64()))], ["node", "root", "depth", "path"])
+
+        for batch in batches:
+            for part, own, n, root, d in zip(*(batch.column(i).to_pylist() for i in range(5))):
+                if part != now:
+                    now, stack = part, []
+                del stack[d:]
+                stack.append(n)
+                if own:
+                    out.append((n, root, d, list(stack)))
+                    size += d
+                    if size >= 1 << 20:
+                        yield made()
+                        out, size = [], 0
+        yield made()
+
+    found = rows.repartition("part").sortWithinPartitions(*order).mapInArrow(run, "node long, root long, depth long, path array<long>")
+    return found.unionByName(laid.where("depth < 0").select("node", "root", "depth", F.lit(None).cast("array<long>").alias("path")))
 
 
 def descendants(laid: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandframe.functions.columns import trimmed
 from strandframe.operators import hierarchy as H, packed as P, rejects as R
 from strandframe.operators.intervals_merge import merge_intervals
-from strandframe.session import cut, table
+from strandframe.session import stored, table
 
 
 def _feature_ids(records: DataFrame) -> DataFrame:
@@ -32,7 +32,7 @@ def _feature_ids(records: DataFrame) -> DataFrame:
 
 def feature_links(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and links (child, parent) of the features: Parent attributes and gff_children together, by record id."""
-    records = cut(_feature_ids(table(spark, base, "gff_records", "rec_id", "attributes")))
+    records = stored(_feature_ids(table(spark, base, "gff_records", "rec_id", "attributes")))
     ids = records.select(trimmed("id").alias("id"), "node").where("id IS NOT NULL")
     by_attribute = records.select(F.col("node").alias("child"), F.explode("parents").alias("pid")).withColumn("pid", trimmed("pid"))
     listed = table(spark, base, "gff_children", "parent_id", "child_id").select(trimmed("parent_id").alias("pid"), trimmed("child_id").alias("id")).distinct()

@@ -36,9 +36,34 @@ def run(spark, nodes, links):
     return H.hierarchy(n, e)
 
 
-@pytest.mark.parametrize("one_task", [0, 100_000])
-def test_hierarchies_with_cycles_second_parents_and_dirt(spark, monkeypatch, one_task):
-    monkeypatch.setattr(H, "ONE_TASK", one_task)
+@pytest.mark.parametrize("seed", range(3))
+def test_random_links_with_many_parents(spark, seed):
+    rnd = random.Random(seed)
+    nodes = list(range(60))
+    links = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(50)] + [(c, rnd.randrange(c)) for c in range(1, 60) if rnd.random() < 0.3]
+    assert rows(run(spark, nodes, links), "node", "root", "depth") == slow_hierarchy(nodes, links)
+
+
+def test_paths_over_many_parts(spark):
+    rnd = random.Random(3)
+    links = [(c, rnd.randrange(max(0, c - 9), c)) for c in range(1, 300)] + [(c, rnd.choice([400, *range(400, c)][-30:])) for c in range(401, 500)]
+    spark.conf.set("spark.sql.shuffle.partitions", "9")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.node: r.path for r in H.paths(run(spark, [*range(300), *range(400, 500)], links)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    up = dict(links)
+    for n, path in got.items():
+        want = [n]
+        while want[0] in up:
+            want.insert(0, up[want[0]])
+        assert path == want
+    assert len(got) == 400
+
+
+def test_hierarchies_with_cycles_second_parents_and_dirt(spark):
     rnd = random.Random(5)
     nodes = list(range(0, 160, 2))
     single = [(c, rnd.choice(nodes[:i])) for i, c in enumerate(nodes) if i and rnd.random() < 0.9]
