@@ -10,65 +10,75 @@ from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 
+def _slide(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many letters are equal from i[k] in x and j[k] in y on, for all k together; both end in BLOCK letters that differ."""
+    total, on = np.zeros(len(i), np.int64), np.arange(len(i))
+    while len(on):
+        at = total[on, None] + np.arange(BLOCK)
+        differ = x[i[on, None] + at] != y[j[on, None] + at]
+        n = np.where(differ.any(axis=1), differ.argmax(axis=1), BLOCK)
+        total[on] += n
+        on = on[n == BLOCK]
+    return total
+
+
+#: Letters that are compared at once.
+BLOCK = 16
+
+
 def greedy_overlap(a: bytes, b: bytes, tolerance: float = 0.1, band: int = 32, min_start: int = 0) -> dict | None:
-    """Greedy O(nD) overlap of two sequences from their begins until either is used up; None if they differ too much.
+    """Greedy O(nD) overlap (Myers 1986) of two sequences from their begins until either is used up; None if they differ too much.
 
-    Diagonals that lag behind the furthest by more than ``band`` are dropped, and the search ends when more than that
-    many are left or 32 + tolerance x the shorter length edits are spent. Result: edits, ends, the begin of the first
-    run of at least ``min_start`` matches, the end of the longest run, the size and the edit points (x, y, step) from the end.
+    The furthest places of all diagonals after d inserted and deleted letters are one array, and each step moves all of them.
+    Diagonals that lag behind the furthest by more than ``band`` letters of both sequences are dropped; the search ends when the
+    others are further apart than that, or 32 + tolerance x the shorter length letters are spent. Result, all taken from the path
+    that ends first (the furthest of several, then the least diagonal): its inserted and deleted letters behind the first run of at least
+    ``min_start`` matches, where that run begins, where the path and where its longest run ends, its size, and the runs (x, y, length).
     """
-    x, y = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
-    n, m = len(x), len(y)
-    reach: dict[int, int] = {}
-    score: dict[int, int] = {}
-    points: dict[tuple[int, int], tuple[int, int, int]] = {}
-    lo = hi = 0
-    best, longest, ends, begin = -1, 0, (0, 0), None
+    n, m = len(a), len(b)
+    x, y = (np.concatenate((np.frombuffer(s, np.uint8).astype(np.int16), np.full(BLOCK + 1, end, np.int16))) for s, end in ((a, -1), (b, -2)))
+    gone = np.int64(-4) * (n + m + 4)
+    low, far = 0, _slide(x, y, np.zeros(1, np.int64), np.zeros(1, np.int64))  # diagonals low, low + 2, ...
+    history = [(low, far)]
     for d in range(32 + int(tolerance * min(n, m))):
-        if hi - lo > band:
+        diagonal = low + 2 * np.arange(len(far))
+        over = np.flatnonzero((far >= 0) & ((far >= n) | (far - diagonal >= m)))
+        if len(over):
+            k = diagonal[over[np.argmax((2 * far - diagonal)[over])]]
+            return _overlap(history, int(k), min_start)
+        reached = 2 * far - diagonal
+        far = np.where(reached >= reached.max() - band, far, gone)
+        some = np.flatnonzero(far >= 0)
+        low, far = low + 2 * int(some[0]), far[some[0] : some[-1] + 1]
+        history[-1] = (low, far)
+        if 2 * len(far) > band:
             return None
-        for k in range(lo, hi + 1, 2):
-            down, right = reach.get(k + 1, 0), reach.get(k - 1, 0)
-            from_above = k == lo or (k != hi and right < down)
-            i, step = (down, -1) if from_above else (right + 1, 1)
-            j = i - k
-            points[d, k] = (i, j, step)
-            run = _run(x, y, i, j)
-            if run >= min_start and begin is None:
-                begin = (i, j)
-            if run > longest:
-                longest, ends = run, (i + run, j + run)
-            i, j = i + run, j + run
-            reach[k], score[k] = i, i + j
-            best = max(best, i + j)
-            if i >= n or j >= m:
-                begin = begin or (0, 0)
-                trace = []
-                for e in range(d, 0, -1):
-                    p = points[e, k]
-                    trace.append(p)
-                    k -= p[2]
-                inside = sum(begin[0] < p[0] < i for p in trace)
-                return {"distance": inside, "bgn0": begin[0], "end0": i, "bgn1": begin[1], "end1": j, "run_end0": ends[0], "run_end1": ends[1], "size": (i - begin[0] + j - begin[1] + 2 * inside) // 2, "edits": trace}
-        alive = [k for k in range(lo, hi + 1, 2) if score[k] >= best - band]
-        lo, hi = min(alive) - 1, max(alive) + 1
+        # a letter of a leads to the diagonal above, a letter of b to the one below
+        far = np.maximum(np.concatenate(([gone], far + 1)), np.concatenate((far, [gone])))
+        low -= 1
+        held = np.flatnonzero(far >= 0)
+        far[held] += _slide(x, y, far[held], far[held] - (low + 2 * held))
+        history.append((low, far))
     return None
 
 
-def _run(x: np.ndarray, y: np.ndarray, i: int, j: int) -> int:
-    """Number of equal letters from i in x and j in y on, looked at in growing blocks."""
-    done, block = 0, 32
-    if i < 0 or j < 0:
-        return 0
-    while True:
-        u, v = x[i + done : i + done + block], y[j + done : j + done + block]
-        n = min(len(u), len(v))
-        if not n:
-            return done
-        differ = np.flatnonzero(u[:n] != v[:n])
-        if len(differ):
-            return done + int(differ[0])
-        done, block = done + n, min(block * 2, 4096)
+def _overlap(history: list[tuple[int, np.ndarray]], k: int, min_start: int) -> dict:
+    """The overlap on the path that ends on diagonal k: its runs of matches are found from the end back."""
+    runs = []
+    place = lambda d, k: int(history[d][1][(k - history[d][0]) // 2]) if 0 <= k - history[d][0] < 2 * len(history[d][1]) else -1
+    for d in range(len(history) - 1, -1, -1):
+        end = place(d, k)
+        up, same = (place(d - 1, k - 1), place(d - 1, k + 1)) if d else (-1, 0)
+        bgn = max(up + 1 if up >= 0 else -1, same) if d else 0
+        runs.append((bgn, bgn - k, end - bgn))
+        k += -1 if d and up >= 0 and up + 1 == bgn else 1
+    runs.reverse()
+    first = next((r for r, run in enumerate(runs) if run[2] >= min_start), 0)
+    best = max(runs, key=lambda r: r[2])
+    (bgn0, bgn1, _), end0, end1 = runs[first], runs[-1][0] + runs[-1][2], runs[-1][1] + runs[-1][2]
+    spent = len(runs) - 1 - first
+    size = (end0 - bgn0 + end1 - bgn1 + 2 * spent) // 2
+    return {"distance": spent, "bgn0": bgn0, "end0": end0, "bgn1": bgn1, "end1": end1, "run_end0": best[0] + best[2], "run_end1": best[1] + best[2], "size": size, "runs": runs}
 
 
 def affine_align(target: str, query: str, mismatch: int = 3, opening: int = 3, extending: int = 1, most: int | None = None) -> tuple[str, str, int] | None:

@@ -40,17 +40,14 @@ class ShimmerSpec:
             raise ValueError(f"not a valid specification: {self}")
 
 
-#: The shifts of the published 64-bit integer mix, as (left shifts that are added, right shift of the xor).
-MIX_ROUNDS = (((3, 8), 14), ((2, 4), 28))
-
-
 def scramble(key: np.ndarray) -> np.ndarray:
-    """An invertible 64-bit integer hash by shifts and additions that wrap."""
-    key = (key << U(21)) - key - U(1)
-    key ^= key >> U(24)
-    for lefts, right in MIX_ROUNDS:
-        key = key + sum(key << U(n) for n in lefts)
-        key ^= key >> U(right)
+    """Thomas Wang's invertible 64-bit integer mix, step by step as published; additions and shifts wrap. Its shifts are fixed values."""
+    key = ~key + (key << U(21))
+    key = key ^ (key >> U(24))
+    key = key + (key << U(3)) + (key << U(8))
+    key = key ^ (key >> U(14))
+    key = key + (key << U(2)) + (key << U(4))
+    key = key ^ (key >> U(28))
     return key + (key << U(31))
 
 

@@ -224,6 +224,21 @@ def test_greedy_overlap():
     assert got and 0 < got["distance"] <= 8 and A.greedy_overlap(s.encode(), bases(600, 99).encode(), 0.01) is None
 
 
+@given(st.text("AC", max_size=24), st.text("AC", max_size=24))
+@settings(max_examples=200, deadline=None)
+def test_greedy_overlap_spends_the_fewest_letters(a, b):
+    far = {(0, 0): 0}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            if i or j:
+                far[i, j] = min(far.get((i - 1, j), 99) + 1, far.get((i, j - 1), 99) + 1, far[i - 1, j - 1] if i and j and a[i - 1] == b[j - 1] else 99)
+    got = A.greedy_overlap(a.encode(), b.encode(), 1.0, 10_000)
+    assert got["distance"] == min(c for (i, j), c in far.items() if i == len(a) or j == len(b))
+    assert all(a[x : x + n] == b[y : y + n] for x, y, n in got["runs"]) and far[got["end0"], got["end1"]] == got["distance"]
+    steps = [(p[0] + p[2], p[1] + p[2], q[0], q[1]) for p, q in zip(got["runs"], got["runs"][1:])]
+    assert all((c - x, d - y) in ((0, 1), (1, 0)) for x, y, c, d in steps)
+
+
 def test_alignment_columns_match_the_kernel(spark):
     df = spark.createDataFrame([(1, "ACGTT", "ACTTA"), (2, "", ""), (3, None, "A")], "i int, t_seq string, q_seq string")
     al = A.aligned(df)
