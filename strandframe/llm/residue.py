@@ -1,186 +1,179 @@
 """Template residue, filler, error pages and scripts-required notices in place of real content.
 
-Each text is taken apart into messages (sentences and lines). Numbers, addresses, dates and codes are masked, so
-that the copies of a message that differ in these become equal; messages are hashed and grouped across documents
-and sources. Phrase and placeholder rules then classify the messages: what only a template, a filler generator, a
-server or a browser says counts at once, what people might say too counts if it recurs widely. A document is residue
-if it has such a message and hardly anything else.
+Each text is taken apart into messages (sentences and lines). Placeholders, numbers, addresses, dates and codes are masked, so
+that the copies of a message that differ in these become equal, and messages are hashed and grouped across documents and
+sources. Only what recurs widely is classified, by phrase and placeholder rules, once for each form. Other short messages that
+recur are the board's furniture (navigation, greetings); all else is the document's content. A document is residue if it has a
+residue message and hardly any content. Filler generators never give the same sentence twice, so their words are grouped
+instead: a word is filler if it stands in the standard texts or keeps company with them nearly everywhere in the corpus, and
+messages made of such words have one masked form.
 """
 
 from __future__ import annotations
 
-import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from strandframe.session import cut
+from strandframe.session import Shelf
+
+# ------------------------------------------------------------------ masks
+
+# The marks that masked parts leave; the section sign doesn't occur in a mask otherwise.
+HOLE, ADDRESS, DATE, QUOTED, FILLER = "§p", "§a", "§d", "§q", "§f"
 
 # Words in the names of the fields that templates fill in.
-_FIELD_WORD = r"(?:name|first|last|full|user|username|author|site|board|company|body|text|title|subject|summary|description|content|question|answer|post|message|comment|vote|votes|count|date|time|email|address|link|url|tag|tags|number|id|city|product|topic)"
-FIELD = rf"(?:{_FIELD_WORD}(?:[_. ]{_FIELD_WORD}){{0,3}})"
-PLACEHOLDER = re.compile(
-    r"\{\{[^{}\n]{0,60}\}\}|\{\d{1,2}\}|<%=?[^%\n]{0,60}%>|[$#]\{[^{}\n]{0,60}\}|\[\[[^\[\]\n]{0,60}\]\]|@@[^@\n]{1,60}@@|__[a-z][a-z_. ]{0,60}?__"
-    rf"|%[a-z][a-z_.]{{1,60}}%|\[(?:insert|your|add|enter|einfügen|insérer|insertar)\b[^\[\]\n]{{0,60}}\]|\[{FIELD}\](?!\()|<{FIELD}>|\((?:add|insert|enter) [a-z ]{{2,40}}\)|\bx{{4,}}\b"
+_FIELD = r"(?:name|first|last|full|user|username|author|site|board|company|body|text|title|subject|summary|description|content|question|answer|post|message|comment|vote|votes|count|date|time|email|address|link|url|tag|tags|number|id|city|product|topic)"
+_FIELDS = rf"{_FIELD}(?:[_. ]{_FIELD}){{0,3}}"
+PLACEHOLDERS = (
+    r"\{\{[^{}\n]{0,60}\}\}|\{\d{1,2}\}|<%=?[^%\n]{0,60}%>|[$#]\{[^{}\n]{0,60}\}|\[\[[^\[\]\n]{0,60}\]\]|@@[^@\n]{1,60}@@|__[a-z][a-z_. ]{0,60}?__|%[a-z][a-z_.]{1,60}%"
+    rf"|\[(?:insert|your|add|enter|einfügen|insérer|insertar)\b[^\[\]\n]{{0,60}}\]|\[{_FIELDS}\](?!\()|<{_FIELDS}>|\((?:add|insert|enter) [a-z ]{{2,40}}\)|\bx{{4,}}\b"
 )
-HTML_TAG = re.compile(r"</?(?:h[1-6]|p|div|span|br|hr|b|i|em|strong|ul|ol|li|a|pre|code|blockquote|center|table|tr|td|th|tbody|body|html|head|title|font|section|article|header|footer|nav)\b[^<>\n]*>", re.I)
-
-# Words of filler generators; each alternative is a vocabulary.
-LATIN = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim est laborum nuncia placet serum mollis liber varia ordo vestra ferum alta noctu tempo quidem".split())
-MASH = frozenset("asdf qwer qwerty xxx foo bar baz blah bla test yxcv zxcv hjkl lalala".split())
-SAMPLE = re.compile(r"(?:sample|filler|dummy|placeholder|example) text|lorem ipsum|texte de remplissage|texte d['’]exemple|faux texte|texto de (?:ejemplo|relleno|prueba|muestra)|(?:beispiel|blind|füll|muster|platzhalter)text")
-
-# What only a server or a browser tells a reader in place of a page. Each must be a whole message.
-ERRORS = (
-    r"(?:http |error |status |code )*0 ?[-–:]* ?(?:not found|forbidden|unauthorized|bad request|gone|bad gateway|gateway time-?out|service unavailable|internal server error|too many requests)",
-    r"(?:http )?error 0 ?:.*", r"(?:0 )?internal server error", r"(?:0 )?(?:bad gateway|gateway time-?out)",
-    r"(?:the )?(?:page|thread|post|topic|question|answer|file|document)s?(?: (?:that )?you (?:asked|were looking|are looking|requested)(?: for)?)? (?:does not exist|doesn't exist|could not be found|cannot be found|was not found|not found|is gone|has been (?:deleted|removed|moved))(?: or .*)?",
-    r"(?:please )?(?:go back|return) to the (?:start|home|front) ?page", r"(?:the )?upstream \S+ did not answer in time", r"at [a-z_.]+\(\S*", r"(?:incident|trace|request id|reference|ray id)[ :#]*0",
-    r"(?:the )?request could not be (?:completed|processed|served)", r"status ?: ?0", r"(?:fatal|parse|uncaught|php fatal|php)(?: error)? ?: .*", r"uncaught (?:exception|error).*", r"traceback \(most recent call last\):?",
-    r"(?:the |this )?(?:service|server|site|board|page) is (?:currently |temporarily )?(?:unavailable|down|offline|overloaded)(?: at the moment| for maintenance| right now)?", r"please try again (?:in 0 \w+|later|after 0 \w+|at a later time).*", r"(?:try again|come back) (?:later|in 0 \w+)",
-    r"access (?:is )?denied", r"(?:you do not|you don't) have (?:the )?permission to (?:see|view|read|access) .*", r"too many requests", r"your (?:ip )?address has been (?:slowed down|blocked|banned).*",
-    r"your session (?:has )?(?:expired|timed out)", r"(?:please )?log ?in again to .*", r"we (?:could not|couldn't|cannot|were unable to) (?:connect|reach|find|load) (?:to )?(?:the |your )?(?:database|server|page).*", r"(?:could not|unable to) connect to (?:the )?(?:database|server).*",
-    r"the administrators? (?:have|has) been (?:told|notified|informed).*", r"\(?(?:code|number|ref) 0\)?", r"(?:oops|ooops|uh-oh|sorry|whoops)", r"something went wrong(?: on our side)?(?:[,;] .*)?", r"(?:please )?(?:reload|refresh) (?:the|this) page.*", r"(?:please )?contact the (?:help ?desk|administrator|support).*", r"database (?:error|connection failed).*",
-    r"(?:die )?seite (?:wurde )?nicht gefunden", r"der (?:gewünschte|angeforderte) (?:beitrag|inhalt) .*(?:gelöscht|verschoben|gefunden).*", r"fehler 0", r"interner serverfehler", r"zugriff verweigert", r"(?:bitte )?versuchen sie es (?:später|in 0 \w+).*",
-    r"page (?:introuvable|non trouvée)", r"le (?:sujet|message|contenu) demandé .*(?:supprimé|déplacé|existe).*", r"erreur 0", r"erreur interne(?: du serveur)?", r"accès refusé", r"(?:veuillez )?réessayer? (?:plus tard|dans 0 .*)",
-    r"página no encontrada", r"el (?:mensaje|tema|contenido) que busca .*", r"(?:código|error) 0", r"error interno del servidor", r"acceso denegado", r"(?:vuelva a intentarlo|inténtelo de nuevo) .*",
-)
-SCRIPT = r"(?:javascript|java script|js|scripts?|scripting|skripte?)"
-SCRIPTS = (
-    rf"(?:please |you (?:need|have|must) (?:to )?)?(?:enable|activate|allow|turn on|switch on) {SCRIPT}\b.*", rf"{SCRIPT} (?:is|are|has been|have been)? ?(?:disabled|blocked|turned off|switched off|required|needed|not enabled|must be .*)(?: .*)?!?",
-    r"(?:some |all )?(?:parts? of )?(?:the |this )?(?:board|page|site|forum|thread|content|answers?|posts?)\b.{0,30}(?:cannot|can't|can not|does not|doesn't|won't) (?:be shown|be displayed|work|load)(?: .*)?", r"checking your browser .*", rf"{SCRIPT} and cookies must be allowed", rf"your browser (?:does not|doesn't) (?:run|support|allow|execute) {SCRIPT}.*",
-    r"noscript ?:.*", rf"(?:this|the) \w+ requires? (?:a browser with |that )?{SCRIPT}.*", rf"this (?:page|site|board|forum|thread) (?:does not|doesn't|will not|won't) work without {SCRIPT}", r"(?:turn|switch) it on and reload.*", rf"allow them for this (?:site|page|board).*",
-    rf"(?:bitte )?(?:aktivieren|erlauben|schalten) sie {SCRIPT}.*", rf"{SCRIPT} (?:ist|sind) (?:deaktiviert|ausgeschaltet|blockiert|nicht aktiviert|erforderlich).*", rf"(?:diese|dieses|die|das) (?:seite|forum) (?:benötigt|braucht) {SCRIPT}.*",
-    rf"(?:veuillez |merci d['’])?(?:activer|activez|autoriser|autorisez) (?:le |les )?{SCRIPT}.*", rf"(?:le |les )?{SCRIPT} (?:est|sont) (?:désactivés?|bloqués?|requis|nécessaires?).*", rf"(?:por favor,? )?(?:active|activa|habilite|habilita|permita) (?:el |los )?{SCRIPT}.*", rf"(?:el |los )?{SCRIPT} (?:está|están|es|son) (?:desactivados?|bloqueados?|necesarios?).*",
-)
-STUBS = (
-    r"(?:todo|tbd|fixme|to ?do)(?: ?[:\-–].*)?", r"(?:answer|question|body|title|your|description|content|text|summary)(?: \w+)? (?:text )?(?:goes|comes) here", r"(?:your|the) (?:text|answer|question|content|title) here", r"(?:replace|overwrite|edit|change) this (?:paragraph|text|line|sentence|placeholder)(?: .*)?",
-    r"this is (?:a |an |another |the |just |only ){0,2}(?:placeholder|dummy|sample|filler|demo|example|test) ?(?:content|text|copy|paragraph|post|page|data|entry|message|answer|question)?(?: .*)?", r"its only job is to show how the page will look", r"(?:type|write|enter|put) your \w+ here", r"(?:add|insert) (?:a )?(?:description|text|content|title|body)(?: here)?", r"heading (?:one|two|three|0)", r"(?:hier|ici|aquí) .{0,20}(?:text|texte|texto) .{0,20}",
-    r"(?:coming soon|under construction|content to follow)",
+#: In this order, over the lower-case text. What is quoted or code isn't the document's own message.
+MASKS = (
+    (r"(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)|<(pre|code|blockquote)\b.*?(?:</\1>|\z)", f"\n{QUOTED}\n"),
+    (r"(?m)^(?:[ \t]*(?:>|&gt;)| {4}|\t).*$", f"\n{QUOTED}\n"),
+    (r"[ \t]+", " "),
+    (r"`[^`\n]*\s[^`\n]*\s[^`\n]*`", f" {QUOTED} "),
+    (PLACEHOLDERS, f" {HOLE} "),
+    (r"</?[a-z][a-z0-9]*\b[^<>\n]*>", "\n"),
+    (r"https?://\S+|www\.\S+|\b[\w.+-]+@[\w-]+\.[\w.]+\b|(?:/[\w.-]+){2,}", f" {ADDRESS} "),
+    (r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b", f" {DATE} "),
+    (r"\b(?=[a-f]*\d)[0-9a-f]{6,}\b|\d+(?:[.,]\d+)*", "0"),
 )
+#: A run of up to four words that is written over and over counts as one.
+_OVER = r"(?<!\S)(\S+(?: \S+){0,3}?)(?: \1)+(?!\S)"
+_EDGE = " \t\r*#_=~|•·.,:;!?¡¿\"'“”«»()[]<>-–—"
+_ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+
+
+def forms(text: Column) -> Column:
+    """The masked messages of a text, in order, without empty ones."""
+    t = F.lower(text)
+    for pattern, put in MASKS:
+        t = F.regexp_replace(t, pattern, put)
+    for entity, letter in _ENTITIES:
+        t = F.replace(t, F.lit(entity), F.lit(letter))
+    unit = lambda u: F.regexp_replace(F.btrim(F.regexp_replace(u, r"\s+", " "), F.lit(_EDGE)), _OVER, "$1")
+    return F.filter(F.transform(F.split(t, r"\n+|(?<=[.!?…])\s+"), unit), lambda u: u != "")
+
+
+# ------------------------------------------------------------------ phrase and placeholder rules for what recurs
+
+# The standard filler text, and what is typed without thought. A seed word alone makes its document a sample of filler.
+SEEDS = ("lorem", "ipsum")
+STANDARD = frozenset("lorem ipsum dolor sit amet consectetur adipiscing elit sed eiusmod tempor incididunt labore dolore magna aliqua enim minim veniam quis nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit esse cillum fugiat nulla pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim laborum".split())
+TYPED = frozenset("asdf asdfasdf asdfgh sdfg dfgh fghj ghjk hjkl jkl qwer qwert qwerty qwertz wert zxcv zxcvbn yxcv xcvb foo bar baz qux quux foobar blah bla blub test testing tests xxx yyy zzz lalala dummy".split())
+#: Least share of such words in a message of filler, and its least number of words.
+FILLER_SHARE, FILLER_WORDS = 0.6, 3
+#: A word is filler if so much of its occurrences are in documents with a seed word, and it has so many of them.
+COMPANY, COMPANY_LEAST = 0.5, 5
+
+_SCRIPT = r"\b(?:java ?script|js|scripts?|scripting|skripte?|cookies?|noscript|navigateur|navegador|browser)\b"
+_SWITCH = (
+    r"\b(?:enable[ds]?|activat\w+|active[zr]?|activer|activa|activar|turn(?:ed)? o(?:n|ff)|switch(?:ed)? o(?:n|ff)|allow(?:ed|s)?|disabled|blocked|blocker|require[sd]?|needed|needs?|supports?|supported|support|must be|not (?:work|run|allow|execute)|doesn't (?:work|run|allow|support)|checking your|"
+    r"aktivier\w+|deaktivier\w+|einschalten|eingeschaltet|ausgeschaltet|erlaub\w+|erforderlich|benötig\w+|braucht|blockier\w+|autoris\w+|désactiv\w+|activé\w*|requis\w*|nécessaires?|nécessite|bloqué\w*|habilit\w+|desactivad\w+|permit\w+|bloquead\w+|necesari\w+|requier\w+|necesita)\b"
+)
+_FAULT = (
+    r"\b(?:(?:error|fehler|erreur|código)(?: code| nr)?[ :#]*0|0 error|(?:internal|server|database|fatal|parse|syntax|runtime|application|unknown|unexpected|uncaught) (?:server )?(?:error|exception)|interner (?:server)?fehler|serverfehler|erreur (?:interne|serveur)|error interno|^fatal\b|undefined (?:index|variable|offset|method)|traceback|not found|nicht gefunden|introuvable|non trouvée?|no encontrad[oa]|no se encontró|unavailable|nicht verfügbar|nicht erreichbar|indisponible|no disponible|forbidden|unauthori[sz]ed|access (?:is )?denied|zugriff verweigert|accès refusé|acceso denegado|bad request|bad gateway|time-?out|timed out|"
+    r"expired|abgelaufen|expiré\w*|caducad\w+|went wrong|schiefgelaufen|schief gegangen|salió mal|could not be (?:found|completed|processed|loaded|displayed)|(?:cannot|can't|can not) be (?:found|displayed|shown|loaded)|could not connect|couldn't connect|unable to (?:connect|load|process)|does not exist|doesn't exist|no longer exists?|existiert nicht|n'existe (?:pas|plus)|no existe|has been (?:deleted|removed|moved)|wurde (?:gelöscht|verschoben|entfernt)|a été (?:supprimée?|déplacée?)|ha sido (?:eliminad[oa]|borrad[oa]|movid[oa])|"
+    r"gelöscht|supprimé|try again|come back later|versuchen sie es|réessaye[rz]|inténtelo de nuevo|vuelva a intentar\w*|reload (?:the|this) page|refresh (?:the|this) page|log ?in again|sign in again|too many requests|maintenance|wartungsarbeiten|mantenimiento|out of order|did not (?:answer|respond)|not responding|"
+    r"permission to (?:see|view|access|read)|administrators? (?:has|have) been|contact (?:the|your|our) (?:administrators?|webmaster|support|help ?desk)|incident 0|request id|reference (?:number|id|code)|(?:return|back) to the (?:home|start|front) ?page)\b"
+)
+_STUB = (
+    r"\b(?:placeholders?|platzhalter|lorem|todo|tbd|fixme|goes here|comes here|(?:your|the) (?:text|answer|question|content|title|body|description|comment|message) here|(?:replace|overwrite|edit|change) this (?:paragraph|text|line|sentence|placeholder|with)|(?:sample|dummy|filler|example|demo|default) (?:text|content|copy|paragraph|page|post|data|answer|question)|"
+    r"(?:beispiel|blind|füll|muster|platzhalter)text|texte (?:de remplissage|d['’]exemple|factice)|faux texte|texto (?:de (?:ejemplo|relleno|prueba|muestra)|simulado)|(?:type|write|enter|put|add|insert) (?:your|a|the|some) (?:\w+ )?(?:text|answer|question|content|title|body|description|comment|message)|coming soon|under construction|to be (?:written|added|announced)|content to follow|heading (?:one|two|three|0))\b"
+)
+_SCRIPT, _SWITCH, _FAULT, _STUB = (re.compile(x) for x in (_SCRIPT, _SWITCH, _FAULT, _STUB))
+#: People speak of themselves or ask when they discuss such messages; a notice speaks to its reader.
+_PERSON = re.compile(r"\b(?:i|i'm|i've|my|me|anyone|anybody|somebody|ich|mein\w*|mir|jemand|je|j'ai|mon|ma|mes|quelqu'un|yo|mi|mis|alguien)\b")
+#: Who speaks of a thing of theirs discusses it, unless it is the place where the message stands.
+_OURS = re.compile(r"\b(?:our|unser\w*|notre|nuestr[oa])\b(?! (?:web ?)?(?:sites?|pages?|boards?|forums?|services?|apps?|shops?|stores?|servers?|seite|server|forum)\b)")
+_CODE_LINE = re.compile(r"[;{}]$|^(?:echo|print\w*|let|def|for|if|select|from|where|import|return)\b|\S\s*=\s*\S")
+#: What a template says around a placeholder, the longest notice that is one message, and the longest message that is a board's furniture.
+FRAME_WORDS, NOTICE_WORDS, FURNITURE_WORDS = 8, 20, 5
+
+
+def is_residue(form: str) -> bool:
+    """Whether a message that recurs widely is residue, by its masked form."""
+    if form == FILLER:
+        return True
+    words = form.split()
+    holes = sum(w.startswith(HOLE) for w in words)
+    if QUOTED in form or len(words) > NOTICE_WORDS + holes:
+        return False
+    if holes:
+        return len(words) <= FRAME_WORDS + 3 * holes and not _CODE_LINE.search(form)
+    if _PERSON.search(form):
+        return False
+    return bool(_STUB.search(form) or _FAULT.search(form) or _SCRIPT.search(form) and _SWITCH.search(form) and not _OURS.search(form))
+
+
+# ------------------------------------------------------------------ operator
+
+
+def _filler(messages: DataFrame, seeded: DataFrame, shelf: Shelf) -> DataFrame:
+    """(key, nth): the messages made of filler words; their words are the standard ones, and those that keep company with them.
+
+    ``messages`` has (key, nth, form), ``seeded`` the forms as well and whether their document has a seed word.
+    """
+    word = F.explode(F.split(F.translate("form", ".,:;!?", ""), " ")).alias("word")
+    seen = seeded.select("seeded", word).where("length(word) > 1 AND word rlike '^[a-zà-ÿ]+$'").groupBy("word").agg(F.count("*").alias("n"), F.count_if("seeded").alias("s"))
+    learned = seen.where((F.col("n") >= COMPANY_LEAST) & (F.col("s") >= COMPANY * F.col("n"))).select("word")
+    standard = messages.sparkSession.createDataFrame([(w,) for w in sorted(STANDARD | TYPED)], "word string")
+    lexicon = shelf.put(learned.unionByName(standard).distinct())
+    met = messages.select("key", "nth", "words", word).join(lexicon, "word").groupBy("key", "nth", "words").agg(F.count("*").alias("n"))
+    return met.where((F.col("words") >= FILLER_WORDS) & (F.col("n") >= FILLER_SHARE * F.col("words"))).select("key", "nth")
 
-# What surrounds a post on a board. It is neither residue nor content.
-CHROME = (
-    r"(?:home|questions|answers|tags|users|login|log in|register|sign up|help|search|about|contact|faq|imprint|privacy)(?: ?[|·•»>/–-] ?(?:home|questions|answers|tags|users|login|log in|register|sign up|help|search|about|contact|faq|imprint|privacy))*", r"<+ ?back", r"back", r"share this (?:post|page|thread|answer|question)", r"loading comments(?:\.\.\.|…)?", r"board build 0", r"page 0 (?:of|/) 0", r"(?:©|\(c\)|copyright) .*",
-    r"re ?: ?your post", r"\(?cross-?posted\)?", r"(?:answer|question|update|edit|solution) ?:?", r"(?:hi|hello|hallo|hey|dear all|hola|bonjour|salut|moin|hi there|hi all|hello all)[,!. ]*", r"(?:thanks|thank you|thx|cheers|danke|merci|gracias|regards|best regards|best)[ ,!.]*(?:in advance)?[!.]*", r"powered by .*", r"(?:reply|quote|report|edit|flag|next|previous|older|newer|top)", r"(?:skip to|jump to) .*", r"print this page",
-)
 
-_ANY = lambda rules: re.compile("|".join(f"(?:{r})" for r in rules))
-_ERRORS, _SCRIPTS, _STUBS, _CHROME = _ANY(ERRORS), _ANY(SCRIPTS), _ANY(STUBS), _ANY(CHROME)
-#: What a template says around its placeholders; a message with a placeholder and no more words than these is residue.
-_FRAME_WORDS = 6
-#: People use these too, for example when they quote; they count if the message recurs widely.
-_WEAK = re.compile(rf"\b(?:placeholder|{SCRIPT}|cookies?|browsers?|error|errors|fehler|erreur|unavailable|not found|session|log ?in|permission|denied|expired|database|maintenance|content blocker|ad ?block\w*)\b")
-
-_MASKS = (
-    (re.compile(r"https?://\S+|www\.\S+|\b[\w.+-]+@[\w-]+\.[\w.]+\b|(?:/[\w.-]+){2,}"), " addr "),
-    (re.compile(r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b"), " date "),
-    (re.compile(r"\b(?=[0-9a-f]*\d)[0-9a-f]{6,}\b"), "0"),
-    (re.compile(r"\d+(?:[.,]\d+)*"), "0"),
-)
-#: A line or sentence that stands so often in one text is filler.
-_REPEATS = 5
-_EDGE = " \t*#>_=~|•·.,:;!?¡¿\"'`“”«»()-–—"
-_SPLIT = re.compile(r"\n+|(?<=[.!?…])\s+")
-_WORD = re.compile(r"[^\W_]+")
-
-RESIDUE, WEAK, FRAME, CONTENT = 3, 2, 1, 0
-
-
-def masked(unit: str) -> str:
-    """A message in lower case, with numbers, addresses, dates and codes masked and decoration taken off."""
-    t = unit.lower()
-    for pattern, put in _MASKS:
-        t = pattern.sub(put, t)
-    return " ".join(t.split()).strip(_EDGE)
-
-
-def classify(unit: str) -> tuple[int, str]:
-    """The class of a message, and its masked form. Messages with placeholders have them masked as well."""
-    low = " ".join(html.unescape(unit).lower().split())
-    bare = PLACEHOLDER.sub(" ", low)
-    if bare != low:
-        words = [w for w in _WORD.findall(bare)]
-        form = masked(PLACEHOLDER.sub(" placeholder ", low))
-        holes = len(PLACEHOLDER.findall(low))
-        return (RESIDUE if len(words) <= _FRAME_WORDS + 2 * holes and not _CODE_LINE.search(bare) else CONTENT), form
-    form = masked(low)
-    if not form:
-        return FRAME, form
-    words = _WORD.findall(form)
-    if words and all(w in LATIN for w in words) and len(words) > 2 or len(words) > 3 and all(w in MASH for w in words):
-        return RESIDUE, "filler"
-    rest = SAMPLE.sub("", form)
-    if rest != form and not _WORD.findall(rest):
-        return RESIDUE, "filler"
-    if _ERRORS.fullmatch(form) or _SCRIPTS.fullmatch(form) or _STUBS.fullmatch(form):
-        return RESIDUE, form
-    if _CHROME.fullmatch(low.strip(" \t*#_=~•·-–—")) or _CHROME.fullmatch(form):
-        return FRAME, form
-    return (WEAK if len(words) <= 20 and _WEAK.search(form) else CONTENT), form
-
-
-_CODE_LINE = re.compile(r"[;{}]\s*$|^\s*(?:echo|print\w*|let|def|for|if|select|from|where|import|return|path|mode|keep)\b|`[^`]*`|=\s*\S")
-
-
-def messages(text: str) -> list[str]:
-    """The lines and sentences of a text, without HTML tags."""
-    return [u for u in (x.strip() for x in _SPLIT.split(HTML_TAG.sub("\n", text))) if u]
-
-
-def judge(text: str) -> tuple[int, int, int, list[tuple[str, int]]]:
-    """(residue messages, content messages, words of content, weak messages with their words) of a text."""
-    residue = content = words = 0
-    weak = []
-    units = messages(text)
-    times = Counter(units)
-    for unit in times.elements():
-        if times[unit] >= _REPEATS:  # nobody writes one sentence over and over
-            residue += 1
-            continue
-        kind, form = classify(unit)
-        if kind == RESIDUE:
-            residue += 1
-        elif kind == WEAK:
-            weak.append((form, len(_WORD.findall(unit))))
-        elif kind == CONTENT:
-            content += 1
-            words += len(_WORD.findall(unit))
-    return residue, content, words, weak
-
-
-def find_residue(df: DataFrame, key: str, text: str, source: str, most_content: int = 2, most_words: int = 34, min_docs: int = 20, min_sources: int = 3) -> DataFrame:
+def find_residue(df: DataFrame, key: str, text: str, source: str, most_content: int = 2, most_words: int = 40, min_docs: int = 8, min_sources: int = 3) -> DataFrame:
     """(key): the documents whose body is residue.
 
-    ``most_content`` messages with ``most_words`` words in all may stand beside the residue (a title, a stub sentence).
-    A message that people might write too counts as residue if, masked, it occurs in at least ``min_docs`` documents
-    of ``min_sources`` sources. Null and empty texts are no cases; a null source counts as one source; further columns
-    aren't read. Only the weak messages are shuffled, by their hash, with their counts combined before the shuffle.
+    A message recurs widely if its masked form is in at least ``min_docs`` documents of ``min_sources`` sources. Beside the
+    residue may stand ``most_content`` messages that don't recur, of ``most_words`` words in all (a title, a stub sentence), and any
+    that do. Null and empty texts are no cases; a null source counts as one source; rows with the same key are one document;
+    further columns aren't read. The texts are read once; what is shuffled are hashes, and words combined before the shuffle.
     """
+    shelf = Shelf(df.sparkSession)
+    own = F.lower(F.trim(F.coalesce(F.col(source), F.lit(""))))
+    src = df.select(F.col(key).alias("key"), F.col(text).alias("text"), own.alias("source")).where("key IS NOT NULL AND length(text) > 0")
+    seed = F.col("text").rlike(rf"(?i)\b(?:{'|'.join(SEEDS)})\b")
+    units = src.select("key", "source", seed.alias("seeded"), F.posexplode(forms(F.col("text"))).alias("nth", "form"))
+    size = F.regexp_count("form", F.lit(r"[\p{L}\p{N}§]+"))
+    messages = shelf.put(units.select("key", "source", "seeded", "nth", "form", F.xxhash64("form").alias("h"), size.alias("words"), F.contains("form", F.lit(QUOTED)).alias("quoted")))
+    filler = shelf.put(_filler(messages, messages, shelf))
+    sources = messages.select("key", "source")
+    spread = lambda t: t.distinct().groupBy("h", "source").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("docs"), F.count("*").alias("sources")).where((F.col("docs") >= min_docs) & (F.col("sources") >= min_sources))
+    wide = spread(messages.select("h", "source", "key"))
+    kinds = shelf.put(_classified(messages.select("h", "form").join(wide.select("h"), "h").groupBy("h").agg(F.first("form").alias("form"))))
+    # messages of filler have one form, which has to recur as well
+    one = filler.select("key").join(sources.distinct(), "key").select(F.lit(0).alias("h"), "source", "key")
+    settled = spread(one).count() > 0
+    # of what is left only the documents with residue are looked at
+    suspects = messages.select("key", "h").join(kinds.where("residue"), "h", "left_semi").select("key")
+    if settled:
+        suspects = suspects.unionByName(filler.select("key"))
+    suspects = shelf.put(suspects.distinct())
+    known = messages.select("key", "nth", "h", "words", "quoted").join(suspects, "key", "left_semi").join(kinds, "h", "left")
+    made = filler.select("key", "nth", F.lit(True).alias("filler")) if settled else filler.select("key", "nth", F.lit(True).alias("filler")).where("false")
+    known = known.join(made, ["key", "nth"], "left").withColumn("residue", F.coalesce("filler", "residue"))
+    content = F.col("residue").isNull() | ~F.col("residue") & (F.col("words") > FURNITURE_WORDS)
+    # a message that a document repeats is one; its words count each time, as they may differ where they are masked
+    each = known.select("key", "h", F.coalesce("residue", F.lit(False)).alias("residue"), content.alias("content"), F.when(F.col("quoted"), most_words + 1).when(content, F.col("words")).otherwise(0).alias("words"))
+    each = each.groupBy("key", "h", "residue", "content").agg(F.sum("words").alias("words"))
+    judged = each.groupBy("key").agg(F.count_if("residue").alias("residue"), F.count_if("content").alias("content"), F.sum("words").alias("words"))
+    found = shelf.put(judged.where((F.col("residue") > 0) & (F.col("content") <= most_content) & (F.col("words") <= most_words)).select(F.col("key").alias(key)))
+    shelf.clear(found)
+    return found
+
+
+def _classified(recurring: DataFrame) -> DataFrame:
+    """(h, residue) of the recurring forms (h, form): a few for each million messages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [judge(t) for t in batch.column(1).to_pylist()]
-            weak = pa.array([[{"form": f, "words": w} for f, w in g[3]] for g in got], pa.list_(pa.struct([("form", pa.string()), ("words", pa.int32())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *(pa.array([g[i] for g in got], pa.int32()) for i in range(3)), weak], ["key", "source", "residue", "content", "words", "weak"])
-
-    src = df.select(F.col(key).alias("key"), F.col(text).alias("text"), F.lower(F.trim(F.coalesce(F.col(source), F.lit("")))).alias("source")).where("length(text) > 0")
-    form = f"key {df.schema[key].dataType.simpleString()}, source string, residue int, content int, words int, weak array<struct<form string, words int>>"
-    judged = cut(src.mapInArrow(run, form))  # without the texts
-    # documents with much content can't become residue by any class of their weak messages, but they do count for recurrence
-    weak = judged.select("key", "source", F.explode("weak").alias("w")).select("key", "source", F.xxhash64("w.form").alias("h"), "w.words")
-    sources = weak.groupBy("h", "source").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("docs"), F.count("*").alias("sources"))
-    wide = sources.where((F.col("docs") >= min_docs) & (F.col("sources") >= min_sources)).select("h", F.lit(1).alias("wide"))
-    narrow = judged.where((F.col("content") <= most_content) & (F.col("words") <= most_words))
-    settled = narrow.where(F.size("weak") == 0).select("key", "residue", "content", "words")
-    open_ = narrow.where(F.size("weak") > 0).select("key", "residue", "content", "words", F.explode("weak").alias("w")).select("key", "residue", "content", "words", F.xxhash64("w.form").alias("h"), F.col("w.words").alias("n"))
-    resolved = open_.join(wide, "h", "left").groupBy("key").agg(
-        (F.first("residue") + F.coalesce(F.sum("wide"), F.lit(0))).alias("residue"),
-        (F.first("content") + F.sum(F.when(F.col("wide").isNull(), 1).otherwise(0))).alias("content"),
-        (F.first("words") + F.sum(F.when(F.col("wide").isNull(), F.col("n")).otherwise(0))).alias("words"),
-    )
-    found = settled.unionByName(resolved).where((F.col("residue") > 0) & (F.col("content") <= most_content) & (F.col("words") <= most_words))
-    return found.select(F.col("key").alias(key))
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([is_residue(f) for f in b.column(1).to_pylist()], pa.bool_())], ["h", "residue"])
+
+    return recurring.mapInArrow(run, "h long, residue boolean")

@@ -300,28 +300,45 @@ def test_token_counts_of_very_long_texts(spark):
 
 # ------------------------------------------------------------------ 10 residue
 
-RESIDUE = [
-    "<h1>Hi {{ user_name }},</h1>\n<p>{{ body }}\n\nPosted by {{ first_name }}</p>", "Thank you for your question about [insert body here]. Our answer: %BODY%. Regards, __NAME__", "Lorem ipsum dolor sit amet. Ipsum dolor magna aliqua.",
-    "asdf qwer asdf xxx foo", "Sample text. Sample text. Sample text.", "404 - Not Found\n\nThe page you asked for does not exist or has been moved.", "*** Please enable JavaScript to view this thread. ***", "How do I sort a file?\n\nError 503: the service is unavailable at the moment. Please try again in 5 minutes.\nIncident 5a9bb07c9c",
-    "VEUILLEZ ACTIVER JAVASCRIPT POUR LIRE CETTE DISCUSSION.\n\nHome | Questions | Tags", "Hi {0},\n\n{1}\n\nPosted by {2}", "TODO: write the answer", "the same line\n" * 7,
+#: Wordings that were not looked at when the rules were written.
+NOTICES = [
+    "We're sorry but this app doesn't work properly without JavaScript enabled.", "Please enable cookies in your browser settings.", "Your browser does not support JavaScript!", "Diese Seite benötigt JavaScript.", "Este sitio requiere JavaScript para funcionar",
+    "502 Bad Gateway", "Sorry, the page at /forum/view.php could not be found.", "Uncaught exception on 2024-05-01 12:30:11", "Service temporarily unavailable", "Zugriff verweigert", "This content has been removed.", "Oops, something went wrong!", "Die Seite ist derzeit nicht erreichbar.",
+    "Your answer goes here", "TBD", "This is a sample post.", "Texte de remplissage.", "Dear {{customer.name}}, thank you for your order {{order}}!", "Hello [insert name here],", "Lorem ipsum dolor sit amet, consectetur adipiscing elit.", "asdf asdf blah qwer asdf",
 ]
 REAL = [
-    "In R the placeholder is a dot, in the shell it is %s, so \"%s_reference\" gives one file per region.", "The viewer tells me \"please enable JavaScript to view this thread\", but scripts are on; the real cause was the empty table. Clearing it helped on both machines.",
-    "Solved, thanks!", "Use the index instead.", "My config has a line like `path: {{ body }}` and the tool never fills it. Which stage of the run is meant to expand it?", "Access denied errors come from the folder being owned by another account; change the owner and it runs.",
-    "```\necho \"${title} %name% [insert text here]\"\n```\nThe shell expands the first one only, which is what the script relies on. I checked it twice with both shells.", "404 - Not Found\n\n" + "I get this page whenever the archive has more than ten parts, and the log names a different part each time. " * 3,
+    "Solved, thanks!", "Use the index instead.", "Home | Questions | Tags", "See the other thread", "I get an internal server error when my script runs.", "My browser blocks cookies, can anyone tell why?",
+    "The index is built from the sorted list of marks, so it stays small.", "> 404 Not Found\n> Please enable JavaScript", "```\nlorem ipsum dolor\n```",
 ]
 
 
-def test_residue(spark):
-    data = [(i, t, "s") for i, t in enumerate(RESIDUE)] + [(100 + i, t, None) for i, t in enumerate(REAL)] + [(200, None, "s"), (201, "", "s"), (202, "Real words go on. " + "And on they go, number %d. " * 1 % 5 + " ".join(f"w{i}" for i in range(100_000)), "s"), (0, RESIDUE[0], "s")]
+def posts(texts, first=0, copies=12):
+    return [(first + 100 * i + j, f"About w{first + i} and v{j * 7}\n\n{t}\n\n(c) the board", f" S{j % 4} " if j % 2 else f"s{j % 4}") for i, t in enumerate(texts) for j in range(copies)]
+
+
+def residue_of(spark, data, **how):
     df = spark.createDataFrame([(*d, 1, 2) for d in data], "doc_id long, text string, source string, words int, h int")
-    assert sorted({r.doc_id for r in R.find_residue(df, "doc_id", "text", "source").collect()}) == list(range(len(RESIDUE)))
-    assert R.find_residue(df.where("false"), "doc_id", "text", "source").count() == 0
+    return sorted({r.doc_id for r in R.find_residue(df, "doc_id", "text", "source", **how).collect()})
+
+
+def test_recurring_notices_of_unseen_wording(spark):
+    bad, good = posts(NOTICES), posts(REAL, 10_000)
+    mixed = [(20_000, NOTICES[5] + "\n\n" + " ".join(f"Then w{i} came out of the {i}th box." for i in range(40)), "s1"), (20_001, None, "s1"), (20_002, "", "s2"), (20_003, "w " * 100_000, None)]
+    assert residue_of(spark, bad + good + mixed + bad[:3]) == [d[0] for d in bad]
+    assert residue_of(spark, []) == []
 
 
-def test_weak_messages_count_when_they_recur_widely(spark):
-    text = "This part of the forum is closed to browsers of that kind, ticket %d."
-    data = [(i, text % i, f"s{i % 4}") for i in range(40)] + [(99, "A browser of that kind opened ticket 5 for me.", "s1")]
-    df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    assert R.find_residue(df, "doc_id", "text", "source").count() == 40
-    assert R.find_residue(df.where("doc_id < 10 OR doc_id = 99"), "doc_id", "text", "source").count() == 0
+def test_only_what_recurs_over_documents_and_sources_is_classified(spark):
+    few = posts(NOTICES[5:6], 0, 7)
+    assert residue_of(spark, few) == [] and residue_of(spark, few, min_docs=7) == [d[0] for d in few]
+    assert residue_of(spark, [(i, t, "one") for i, t, _ in posts(NOTICES[5:6])]) == []
+    # copies within a document and repeated rows of a document count once
+    assert residue_of(spark, [(i, f"{t}\n{NOTICES[5]}\n{NOTICES[5]}", s) for i, t, s in few]) == [] and residue_of(spark, few * 3) == []
+
+
+def test_filler_words_are_learned_from_their_company(spark):
+    rnd = random.Random(6)
+    words = "lorem ipsum tarvo quint melda sorin pexa vollo umbri".split()
+    filler = [(i, ". ".join(" ".join(rnd.choice(words) for _ in range(6)) for _ in range(4)), f"s{i % 4}") for i in range(60)]
+    text = [(1000 + i, " ".join(f"{rnd.choice(['the', 'a'])} {rnd.choice(['map', 'list', 'gap'])} {rnd.randrange(9)}x holds w{rnd.randrange(50)}" for _ in range(9)), f"s{i % 4}") for i in range(60)]
+    assert residue_of(spark, filler + text) == [d[0] for d in filler]
