@@ -31,10 +31,13 @@ def p2_bisected(spark: SparkSession, base: str) -> DataFrame:
     return _split(spark, base, "bisect")
 
 
-def _frequent(spark: SparkSession, base: str) -> DataFrame:
+def _marks(spark: SparkSession, base: str) -> DataFrame:
     rows = table(spark, base, "shimmers", "x", "y").where("x IS NOT NULL AND NOT (x = -1 AND y <=> -1)")
-    rows = rows.select(F.expr("shiftrightunsigned(x, 8)").alias("hash"), F.coalesce(F.expr("shiftrightunsigned(y & 4294967295L, 1)"), F.lit(-1)).alias("pos"))
-    found = L.frequent_items(rows, ["hash", "pos"], width=4000)
+    return rows.select(F.expr("shiftrightunsigned(x, 8)").alias("hash"), F.coalesce(F.expr("shiftrightunsigned(y & 4294967295L, 1)"), F.lit(-1)).alias("pos"))
+
+
+def _frequent(spark: SparkSession, base: str) -> DataFrame:
+    found = L.frequent_items(_marks(spark, base), ["hash", "pos"], width=4000)
     return found.where("val >= 0").withColumn("kind", F.when(F.col("slot") == 0, "hash").otherwise("pos"))
 
 
@@ -47,6 +50,15 @@ def p6_counts(spark: SparkSession, base: str) -> DataFrame:
     return L.above_share(_frequent(spark, base), 0.005).select("kind", "val", "low", "high", "total")
 
 
+def p6_bounds(spark: SparkSession, base: str) -> DataFrame:
+    """The frequent values with the number of counted rows, and whether their true count lies in the interval."""
+    found = L.above_share(_frequent(spark, base), 0.005)
+    rows = _marks(spark, base)
+    each = rows.select(F.explode(F.array(F.struct(F.lit("hash").alias("kind"), F.col("hash").alias("val")), F.struct(F.lit("pos").alias("kind"), F.col("pos").alias("val")))).alias("v")).select("v.*")
+    true = each.join(found.select("kind", "val"), ["kind", "val"], "left_semi").groupBy("kind", "val").agg(F.count("*").alias("n"))
+    return found.join(true, ["kind", "val"]).select("kind", "val", "total", ((F.col("low") <= F.col("n")) & (F.col("n") <= F.col("high"))).alias("holds"))
+
+
 def _leaks(spark: SparkSession, base: str, **how) -> DataFrame:
     docs, items = table(spark, base, "documents", "doc_id", "text"), table(spark, base, "eval_items", "item_id", "text")
     return K.leaked_items(docs, "doc_id", "text", items, "item_id", "text", passage=12, **how)
@@ -80,7 +92,7 @@ def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return R.find_residue(table(spark, base, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p2_found, p2_bisected, p6_found, p6_counts, p8_found, p8_edited, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p2_found, p2_bisected, p6_found, p6_counts, p6_bounds, p8_found, p8_edited, p9_mix, p9_shares, p10_found)}
 
 _SPANS = """WITH s AS (SELECT DISTINCT sid, upper(seq) AS seq FROM sequences WHERE seq IS NOT NULL AND length(seq) >= 100),
 w AS (SELECT sid, i, substr(seq, CAST(i AS INTEGER) + 1, 100) AS t FROM s, LATERAL (SELECT unnest(range(length(s.seq) - 99)) AS i)),
@@ -90,6 +102,21 @@ m AS (SELECT sid, i, lag(i) OVER (PARTITION BY sid ORDER BY i) AS p FROM h WHERE
 g AS (SELECT sid, i, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY sid ORDER BY i ROWS UNBOUNDED PRECEDING) AS k FROM m),
 f AS (SELECT sid, CAST(min(i) AS BIGINT) AS bgn, CAST(max(i) + 100 AS BIGINT) AS end_pos FROM g GROUP BY sid, k)"""
 
+_COUNTED = """r AS (SELECT (CAST(x AS HUGEINT) + CASE WHEN x < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 256 AS hash, (y & 4294967295) >> 1 AS pos
+  FROM shimmers WHERE x IS NOT NULL AND NOT (x = -1 AND y IS NOT DISTINCT FROM -1)), n AS (SELECT count(*) AS n FROM r)"""
+
+# The folded forms of letters that occur: full-width digits and letters, two ligatures. Unseen letters are dropped.
+_WIDE = "".join(chr(0xFF10 + i) for i in range(10)) + "".join(chr(0xFF41 + i) for i in range(26)) + "".join(chr(0xFF21 + i) for i in range(26))
+_PLAIN = "0123456789" + "abcdefghijklmnopqrstuvwxyz" * 2
+_UNSEEN = "[\u00ad\u200b-\u200f\u2060-\u206f\ufeff]"
+_TAGS = "<!--.*?-->|</?[A-Za-z][A-Za-z0-9]*(?:\\s[^<>]*)?/?>"
+
+
+def _words(text: str) -> str:
+    bare = f"regexp_replace(regexp_replace({text}, '{_TAGS}', ' ', 'gs'), '{_UNSEEN}', '', 'g')"
+    return f"regexp_extract_all(lower(replace(replace(translate({bare}, '{_WIDE}', '{_PLAIN}'), '\ufb01', 'fi'), '\ufb02', 'fl')), '[\\p{{L}}\\p{{N}}]+')"
+
+
 ORACLES = {
     "p1_found": f"{_SPANS} SELECT sid, bgn, end_pos FROM f",
     "p1_sizes": f"{_SPANS} SELECT sid, count(*) AS n_spans, CAST(sum(end_pos - bgn) AS BIGINT) AS shared_bases FROM f GROUP BY sid",
@@ -104,9 +131,16 @@ p AS (
   UNION ALL
   SELECT sid, size, ats, nxt, CASE WHEN size <= nxt + 2000 THEN size ELSE coalesce(list_max(list_filter(ats, lambda x: x > end_pos AND x <= nxt + 2000)), nxt + 2000) END::BIGINT FROM (SELECT *, end_pos - 100 AS nxt FROM p WHERE end_pos < size))
 SELECT sid, bgn, end_pos FROM p""",
-    "p6_found": """
-WITH r AS (SELECT (CAST(x AS HUGEINT) + CASE WHEN x < 0 THEN 18446744073709551616::HUGEINT ELSE 0 END) // 256 AS hash, (y & 4294967295) >> 1 AS pos
-  FROM shimmers WHERE x IS NOT NULL AND NOT (x = -1 AND y IS NOT DISTINCT FROM -1)), n AS (SELECT count(*) AS n FROM r)
+    "p6_found": f"""WITH {_COUNTED}
 SELECT 'hash' AS kind, CAST(hash AS BIGINT) AS val FROM r, n GROUP BY hash, n HAVING count(*) >= 0.005 * n
 UNION ALL SELECT 'pos', CAST(pos AS BIGINT) FROM r, n WHERE pos IS NOT NULL GROUP BY pos, n HAVING count(*) >= 0.005 * n""",
+    "p6_bounds": f"""WITH {_COUNTED}
+SELECT 'hash' AS kind, CAST(hash AS BIGINT) AS val, n AS total, true AS holds FROM r, n GROUP BY hash, n HAVING count(*) >= 0.005 * n
+UNION ALL SELECT 'pos', CAST(pos AS BIGINT), n, true FROM r, n WHERE pos IS NOT NULL GROUP BY pos, n HAVING count(*) >= 0.005 * n""",
+    "p8_found": f"""
+WITH d AS (SELECT DISTINCT doc_id, {_words("text")} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_words("text")} AS w FROM eval_items WHERE text IS NOT NULL),
+s AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),
+ig AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS k FROM s)),
+dg AS (SELECT DISTINCT doc_id, n, array_to_string(w[k:k + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS k FROM d, (SELECT DISTINCT n FROM s) WHERE len(w) >= n))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (n, g)""",
 }
