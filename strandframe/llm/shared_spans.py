@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from strandframe.operators.intervals_merge import merge_intervals
-from strandframe.session import cut
+from strandframe.session import cut, stored
 
 #: The two Rabin-Karp hashes, joined to one of 62 bits: c of the prime modulus 2^31 - c, and the base.
 HASHES = ((1, 1103515245), (19, 69069))
@@ -343,6 +343,7 @@ def shared_spans(df: DataFrame, key: str, seq: str, length: int = 100, k: int =
     spans = together.repartition(parts, "m").sortWithinPartitions("m").mapInArrow(_count_together(length), f"id {kind}, bgn long, end_pos long")
     if hot:
         spans = spans.unionByName(_spread(placed.join(frequent, "m", "left_semi"), length, kind))
+    spans = stored(spans)  # the range sort of the merge reads them twice
     return merge_intervals(spans, "id", "bgn", "end_pos", gaps=False).select(F.col("entity").alias(key), "bgn", "end_pos")
 
 
