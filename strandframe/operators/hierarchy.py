@@ -43,12 +43,13 @@ def caught_in_cycles(links: DataFrame, shelf: Shelf) -> DataFrame:
     of chains. While any node has a way up that ends, the last node of that way but one has a link to a root; so once a round
     drops nothing, all nodes with links left are caught.
     """
-    left = links.select("child", "parent").distinct()
+    left = links.select("child", "parent")
     while True:
-        up = left.groupBy("child").agg(F.count("*").alias("n"), F.min("parent").alias("up")).withColumnRenamed("child", "parent")
-        step = left.join(up, "parent", "left").select("child", F.when(F.col("n") == 1, F.col("up")).otherwise(F.col("parent")).alias("parent"), F.col("n").isNull().alias("dropped"))
+        # links that have come to the same parent are one, but needn't be brought together for that
+        up = left.groupBy("child").agg(F.min("parent").alias("up"), F.max("parent").alias("last")).withColumnRenamed("child", "parent")
+        step = left.join(up, "parent", "left").select("child", F.when(F.col("up") == F.col("last"), F.col("up")).otherwise(F.col("parent")).alias("parent"), F.col("up").isNull().alias("dropped"))
         moved, seen = shelf.put(step, n=rows_of(), dropped=rows_of("dropped"))
-        left = moved.where("NOT dropped").select("child", "parent").distinct()
+        left = moved.where("NOT dropped").select("child", "parent")
         if not seen["dropped"] or seen["dropped"] == seen["n"]:
             return left.select("child").distinct()
 
@@ -171,7 +172,8 @@ def hierarchy(nodes: DataFrame, links: DataFrame) -> DataFrame:
     shelf = Shelf(nodes.sparkSession)
     nodes = shelf.put(nodes.select("node").where("node IS NOT NULL").distinct())
     known = lambda c: nodes.withColumnRenamed("node", c)
-    every = shelf.put(links.select("child", "parent").where("child IS NOT NULL AND parent IS NOT NULL").distinct().join(known("child"), "child", "left_semi").join(known("parent"), "parent", "left_semi"))
+    # the last join leaves the links placed by child, so that equal ones are together
+    every = shelf.put(links.select("child", "parent").join(known("parent"), "parent", "left_semi").join(known("child"), "child", "left_semi").select("child", "parent").distinct())
     rest, layers = peel_leaves(every, shelf)
     caught = caught_below(caught_in_cycles(rest, shelf), layers, shelf)
     # of the other nodes no parent is caught

@@ -14,7 +14,7 @@ from strandframe.session import stored, table
 
 
 def _feature_ids(records: DataFrame) -> DataFrame:
-    """(node, id, parents) of each record, from its packed attributes."""
+    """(node, id, parents) of each delivered row, from its packed attributes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = P.automaton([], False)
@@ -27,18 +27,21 @@ def _feature_ids(records: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string()), pa.array(parents, pa.list_(pa.string()))], ["node", "id", "parents"])
 
     src = records.select(F.col("rec_id").alias("node"), "attributes").where("node IS NOT NULL")
-    return src.mapInArrow(run, "node long, id string, parents array<string>").distinct()
+    return src.mapInArrow(run, "node long, id string, parents array<string>")
 
 
 def feature_links(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and links (child, parent) of the features: Parent attributes and gff_children together, by record id."""
+    """Nodes and links (child, parent) of the features: Parent attributes and gff_children together, by record id.
+
+    Rows delivered twice give nodes and links twice, which the operator takes as one.
+    """
     records = stored(_feature_ids(table(spark, base, "gff_records", "rec_id", "attributes")))
     ids = records.select(trimmed("id").alias("id"), "node").where("id IS NOT NULL")
     by_attribute = records.select(F.col("node").alias("child"), F.explode("parents").alias("pid")).withColumn("pid", trimmed("pid"))
-    listed = table(spark, base, "gff_children", "parent_id", "child_id").select(trimmed("parent_id").alias("pid"), trimmed("child_id").alias("id")).distinct()
-    by_list = listed.join(ids, "id").select(F.col("node").alias("child"), "pid")
+    listed = table(spark, base, "gff_children", "parent_id", "child_id").select(trimmed("parent_id").alias("pid"), trimmed("child_id").alias("id"))
+    by_list = listed.where("pid IS NOT NULL").join(ids, "id").select(F.col("node").alias("child"), "pid")
     owner = ids.groupBy("id").agg(F.min("node").alias("parent")).withColumnRenamed("id", "pid")
-    links = by_attribute.unionByName(by_list).where("pid IS NOT NULL").distinct().join(owner, "pid").select("child", "parent")
+    links = by_attribute.unionByName(by_list).where("pid IS NOT NULL").join(owner, "pid").select("child", "parent")
     return records.select("node"), links
 
 
@@ -93,7 +96,35 @@ _JUDGED = f"""WITH l AS ({_LINES}), judged AS (SELECT line_id, c, CASE WHEN len(
     AND TRY_CAST(c[5] AS HUGEINT) < 4294967296 AND (c[6] = '.' OR regexp_full_match(c[6], '{_DECIMAL}') AND isfinite(TRY_CAST(c[6] AS DOUBLE)))
     AND c[8] IN ('.', '0', '1', '2'), false) THEN 'value' END AS reason FROM l)"""
 
+# a literal is taken whole where it is closed; an unclosed quote is an ordinary letter
+_PARTS = "(?:\"(?:[^\"]|\"\")*\"|[^{}])+"
+_VALUES = f"""rec AS (SELECT DISTINCT rec_id, attributes FROM gff_records WHERE attributes IS NOT NULL),
+fld AS (SELECT rec_id, attributes, unnest(f) AS field, generate_subscripts(f, 1) AS fi FROM (SELECT *, regexp_extract_all(attributes, '{_PARTS.format(";")}') AS f FROM rec)),
+seg AS (SELECT rec_id, attributes, fi, field, trim(unnest(s), ' ') AS seg, generate_subscripts(s, 1) AS si FROM (SELECT *, regexp_extract_all(field, '{_PARTS.format(",|")}') AS s FROM fld)),
+led AS (SELECT *, strpos(seg, '"') AS q, strpos(seg, '=') AS e, si = 1 AND NOT regexp_matches(field, '^[,|]') AS lead FROM seg),
+own AS (SELECT *, CASE WHEN lead AND e > 0 AND (q = 0 OR e < q) THEN nullif(trim(left(seg, e - 1), ' '), '') WHEN lead AND q > 1 AND seg[q - 1] = ' ' THEN trim(left(seg, q - 1), ' ') END AS own FROM led),
+val AS (SELECT rec_id, fi, si, last_value(own IGNORE NULLS) OVER (PARTITION BY rec_id, attributes ORDER BY fi, si ROWS UNBOUNDED PRECEDING) AS tag,
+  trim(CASE WHEN own IS NULL THEN seg WHEN e > 0 AND (q = 0 OR e < q) THEN substr(seg, e + 1) ELSE substr(seg, q) END, ' ') AS t FROM own),
+lit AS (SELECT rec_id, fi, si, tag, CASE WHEN length(t) > 1 AND starts_with(t, '"') AND ends_with(t, '"') THEN replace(substr(t, 2, length(t) - 2), '""', '"') ELSE t END AS val FROM val),
+p4 AS (SELECT rec_id, tag, CAST(row_number() OVER (PARTITION BY rec_id, tag ORDER BY fi, si) AS INTEGER) AS pos, val FROM lit WHERE val <> '')"""
+_TREES = f"""WITH RECURSIVE {_VALUES},
+ids AS (SELECT rec_id AS node, nullif(trim(arg_min(val, pos)), '') AS id FROM p4 WHERE tag = 'ID' GROUP BY rec_id),
+owner AS (SELECT id, min(node) AS parent FROM ids WHERE id IS NOT NULL GROUP BY id),
+named AS (SELECT rec_id AS child, nullif(trim(val), '') AS pid FROM p4 WHERE tag = 'Parent' UNION SELECT i.node, nullif(trim(c.parent_id), '') FROM gff_children c JOIN ids i ON i.id = nullif(trim(c.child_id), '')),
+links AS (SELECT DISTINCT child, parent FROM named JOIN owner ON pid = id),
+above AS (SELECT child AS node, parent AS anc FROM links UNION SELECT a.node, l.parent FROM above a JOIN links l ON l.child = a.anc),
+caught AS (SELECT DISTINCT node FROM above WHERE anc IN (SELECT node FROM above WHERE node = anc)),
+nodes AS (SELECT DISTINCT rec_id AS node FROM gff_records WHERE rec_id IS NOT NULL),
+single AS (SELECT child, min(parent) AS up FROM links WHERE child NOT IN (SELECT node FROM caught) GROUP BY child),
+way AS (SELECT node, node AS top, 0::BIGINT AS d FROM nodes WHERE node NOT IN (SELECT node FROM caught) UNION ALL SELECT w.node, s.up, w.d + 1 FROM way w JOIN single s ON s.child = w.top)"""
+
 ORACLES = {
+    "p3_found": f"{_TREES} SELECT node AS rec_id, arg_max(top, d) AS root_rec_id, max(d) AS depth FROM way GROUP BY node UNION ALL SELECT node, -1, -1 FROM caught",
+    "p3_paths": f"{_TREES} SELECT node AS rec_id, arg_max(top, d) AS root_rec_id, max(d) AS depth, string_agg(CAST(top AS VARCHAR), '/' ORDER BY d DESC) AS path FROM way GROUP BY node UNION ALL SELECT node, -1, -1, NULL FROM caught",
+    "p3_descendants": f"{_TREES} SELECT top AS rec_id, node AS descendant_rec_id, d AS distance FROM way WHERE d > 0",
+    "p4_found": f"WITH {_VALUES} SELECT * FROM p4 WHERE tag IS NOT NULL",
+    # no known value stands unquoted in this table, so the rules of quoting give the same rows
+    "p4_protected": f"WITH {_VALUES} SELECT * FROM p4",
     "p5_found": """
 WITH s AS (SELECT trim(ctg) AS ctg, CAST(bgn AS BIGINT) AS bgn, CAST(end_pos AS BIGINT) AS e FROM bundle_bed WHERE ctg IS NOT NULL AND bgn < end_pos),
 m AS (SELECT *, max(e) OVER (PARTITION BY ctg ORDER BY bgn, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM s),
