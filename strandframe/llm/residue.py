@@ -13,6 +13,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
@@ -22,42 +24,51 @@ from strandframe.session import Shelf
 # ------------------------------------------------------------------ masks
 
 # The marks that masked parts leave; the section sign doesn't occur in a mask otherwise.
-HOLE, ADDRESS, DATE, QUOTED, FILLER = "§p", "§a", "§d", "§q", "§f"
+HOLE, ADDRESS, QUOTED, FILLER = "§p", "§a", "§q", "§f"
 
 # Words in the names of the fields that templates fill in.
 _FIELD = r"(?:name|first|last|full|user|username|author|site|board|company|body|text|title|subject|summary|description|content|question|answer|post|message|comment|vote|votes|count|date|time|email|address|link|url|tag|tags|number|id|city|product|topic)"
-_FIELDS = rf"{_FIELD}(?:[_. ]{_FIELD}){{0,3}}"
+_FIELDS = rf"{_FIELD}(?:[_. ]{{1,3}}{_FIELD}){{0,3}}"
 PLACEHOLDERS = (
-    r"\{\{[^{}\n]{0,60}\}\}|\{\d{1,2}\}|<%=?[^%\n]{0,60}%>|[$#]\{[^{}\n]{0,60}\}|\[\[[^\[\]\n]{0,60}\]\]|@@[^@\n]{1,60}@@|__[a-z][a-z_. ]{0,60}?__|%[a-z][a-z_.]{1,60}%"
-    rf"|\[(?:insert|your|add|enter|einfügen|insérer|insertar)\b[^\[\]\n]{{0,60}}\]|\[{_FIELDS}\](?!\()|<{_FIELDS}>|\((?:add|insert|enter) [a-z ]{{2,40}}\)|\bx{{4,}}\b"
+    r"(?=[{<$#\[@_%(x])(?:\{\{[^{}\n]{0,60}\}\}|\{\d{1,2}\}|<%=?[^%\n]{0,60}%>|[$#]\{[^{}\n]{0,60}\}|\[\[[^\[\]\n]{0,60}\]\]|@@[^@\n]{1,60}@@|__[a-z][a-z_. ]{0,60}?__|%[a-z][a-z_.]{1,60}%"
+    rf"|\[(?:insert|your|add|enter|einfügen|insérer|insertar)\b[^\[\]\n]{{0,60}}\]|\[{_FIELDS}\](?!\()|<{_FIELDS}>|\((?:add|insert|enter) [a-z ]{{2,40}}\)|\bx{{4,}}\b)"
 )
-#: In this order, over the lower-case text. What is quoted or code isn't the document's own message.
+#: In this order, over the lower-case texts that hold one of the given letters. What is quoted or code isn't the document's own message.
 MASKS = (
-    (r"(?s)```.*?(?:```|\z)|~~~.*?(?:~~~|\z)|<(pre|code|blockquote)\b.*?(?:</\1>|\z)", f"\n{QUOTED}\n"),
-    (r"(?m)^(?:[ \t]*(?:>|&gt;)| {4}|\t).*$", f"\n{QUOTED}\n"),
-    (r"[ \t]+", " "),
-    (r"`[^`\n]*\s[^`\n]*\s[^`\n]*`", f" {QUOTED} "),
-    (PLACEHOLDERS, f" {HOLE} "),
-    (r"</?[a-z][a-z0-9]*\b[^<>\n]*>", "\n"),
-    (r"https?://\S+|www\.\S+|\b[\w.+-]+@[\w-]+\.[\w.]+\b|(?:/[\w.-]+){2,}", f" {ADDRESS} "),
-    (r"\b\d{1,4}[-/.]\d{1,2}[-/.]\d{1,4}\b|\b\d{1,2}:\d{2}(?::\d{2})?\b", f" {DATE} "),
-    (r"\b(?=[a-f]*\d)[0-9a-f]{6,}\b|\d+(?:[.,]\d+)*", "0"),
+    (("`", "~~~", "<"), r"(?s)(?=[`~<])(?:```.*?(?:```|\z)|~~~.*?(?:~~~|\z)|<(pre|code|blockquote)\b.*?(?:</\1>|\z))", f"\n{QUOTED}\n"),
+    ((">", "&gt;", "    ", "\t"), r"(?m)^(?:[ \t]*+(?:>|&gt;)| {4}|\t).*$", f"\n{QUOTED}\n"),
+    (("`",), r"`[^`\n]*\s[^`\n]*\s[^`\n]*`", f" {QUOTED} "),
+    (("{", "<", "[", "@@", "__", "%", "(", "xxxx"), PLACEHOLDERS, f" {HOLE} "),
+    (("<",), r"</?[a-z][a-z0-9]*\b[^<>\n]*>", "\n"),
+    (("/", "www."), r"(?=[hw/])(?:https?://\S+|www\.\S+|(?:/[\w.-]++){2,})", f" {ADDRESS} "),
+    (("@",), r"(?<![\w.+-])[\w.+-]++@[\w-]++\.[\w.]+", f" {ADDRESS} "),
+    # numbers, dates, times and codes
+    ((), r"[a-f]*+\d[0-9a-f]*+(?:[-/.:,t]\d+)*+", "0"),
+    (("  ", "\t", "\r", "\u00a0"), r"[ \t\r\u00a0]{2,}", " "),
+    # sentences end as lines do
+    ((), r"([.!?…])\s+", "$1\n"),
 )
-#: A run of up to four words that is written over and over counts as one.
-_OVER = r"(?<!\S)(\S+(?: \S+){0,3}?)(?: \1)+(?!\S)"
+#: A run of up to four words that is written over and over from a message's begin counts as one.
+_OVER = r"^(\S+(?: \S+){0,3}?)(?: \1)+(?!\S)"
 _EDGE = " \t\r*#_=~|•·.,:;!?¡¿\"'“”«»()[]<>-–—"
 _ENTITIES = (("&nbsp;", " "), ("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 
 
 def forms(text: Column) -> Column:
     """The masked messages of a text, in order, without empty ones."""
+
+    def step(c: Column, letters: tuple[str, ...], change) -> Column:
+        # a variable of its own for what is masked so far, as it is used more than once
+        some = lambda x: reduce(or_, (F.contains(x, F.lit(y)) for y in letters))
+        return F.get(F.transform(F.array(c), lambda x: F.when(some(x), change(x)).otherwise(x)), 0)
+
     t = F.lower(text)
-    for pattern, put in MASKS:
-        t = F.regexp_replace(t, pattern, put)
-    for entity, letter in _ENTITIES:
-        t = F.replace(t, F.lit(entity), F.lit(letter))
-    unit = lambda u: F.regexp_replace(F.btrim(F.regexp_replace(u, r"\s+", " "), F.lit(_EDGE)), _OVER, "$1")
-    return F.filter(F.transform(F.split(t, r"\n+|(?<=[.!?…])\s+"), unit), lambda u: u != "")
+    for letters, pattern, put in MASKS:
+        mask = lambda x, pattern=pattern, put=put: F.regexp_replace(x, pattern, put)
+        t = step(t, letters, mask) if letters else mask(t)
+    t = step(t, ("&",), lambda x: reduce(lambda c, e: F.replace(c, F.lit(e[0]), F.lit(e[1])), _ENTITIES, x))
+    unit = lambda u: F.regexp_replace(F.btrim(u, F.lit(_EDGE)), _OVER, "$1")
+    return F.filter(F.transform(F.split(t, "\n"), unit), lambda u: u != "")
 
 
 # ------------------------------------------------------------------ phrase and placeholder rules for what recurs
@@ -114,17 +125,22 @@ def is_residue(form: str) -> bool:
 # ------------------------------------------------------------------ operator
 
 
-def _filler(messages: DataFrame, seeded: DataFrame, shelf: Shelf) -> DataFrame:
+def _size(form: str) -> Column:
+    return F.regexp_count(form, F.lit(r"[\p{L}\p{N}§]+"))
+
+
+def _filler(messages: DataFrame, shelf: Shelf) -> DataFrame:
     """(key, nth): the messages made of filler words; their words are the standard ones, and those that keep company with them.
 
-    ``messages`` has (key, nth, form), ``seeded`` the forms as well and whether their document has a seed word.
+    ``messages`` has (key, nth, form) and whether the document has a seed word (seeded). All words of all documents are counted.
     """
     word = F.explode(F.split(F.translate("form", ".,:;!?", ""), " ")).alias("word")
-    seen = seeded.select("seeded", word).where("length(word) > 1 AND word rlike '^[a-zà-ÿ]+$'").groupBy("word").agg(F.count("*").alias("n"), F.count_if("seeded").alias("s"))
-    learned = seen.where((F.col("n") >= COMPANY_LEAST) & (F.col("s") >= COMPANY * F.col("n"))).select("word")
+    seen = messages.select("seeded", word).groupBy("word").agg(F.count("*").alias("n"), F.count_if("seeded").alias("s"))
+    learned = seen.where((F.col("n") >= COMPANY_LEAST) & (F.col("s") >= COMPANY * F.col("n"))).where("length(word) > 1 AND word rlike '^[a-zà-ÿ]+$'").select("word")
     standard = messages.sparkSession.createDataFrame([(w,) for w in sorted(STANDARD | TYPED)], "word string")
     lexicon = shelf.put(learned.unionByName(standard).distinct())
-    met = messages.select("key", "nth", "words", word).join(lexicon, "word").groupBy("key", "nth", "words").agg(F.count("*").alias("n"))
+    words = F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1
+    met = messages.select("key", "nth", "form", words.alias("words")).select("key", "nth", "words", word).join(lexicon, "word").groupBy("key", "nth", "words").agg(F.count("*").alias("n"))
     return met.where((F.col("words") >= FILLER_WORDS) & (F.col("n") >= FILLER_SHARE * F.col("words"))).select("key", "nth")
 
 
@@ -139,11 +155,10 @@ def find_residue(df: DataFrame, key: str, text: str, source: str, most_content:
     shelf = Shelf(df.sparkSession)
     own = F.lower(F.trim(F.coalesce(F.col(source), F.lit(""))))
     src = df.select(F.col(key).alias("key"), F.col(text).alias("text"), own.alias("source")).where("key IS NOT NULL AND length(text) > 0")
-    seed = F.col("text").rlike(rf"(?i)\b(?:{'|'.join(SEEDS)})\b")
+    seed = reduce(or_, (F.contains(F.lower("text"), F.lit(x)) for x in SEEDS))
     units = src.select("key", "source", seed.alias("seeded"), F.posexplode(forms(F.col("text"))).alias("nth", "form"))
-    size = F.regexp_count("form", F.lit(r"[\p{L}\p{N}§]+"))
-    messages = shelf.put(units.select("key", "source", "seeded", "nth", "form", F.xxhash64("form").alias("h"), size.alias("words"), F.contains("form", F.lit(QUOTED)).alias("quoted")))
-    filler = shelf.put(_filler(messages, messages, shelf))
+    messages = shelf.put(units.select("key", "source", "seeded", "nth", "form", F.xxhash64("form").alias("h")))
+    filler = shelf.put(_filler(messages, shelf))
     sources = messages.select("key", "source")
     spread = lambda t: t.distinct().groupBy("h", "source").agg(F.count("*").alias("n")).groupBy("h").agg(F.sum("n").alias("docs"), F.count("*").alias("sources")).where((F.col("docs") >= min_docs) & (F.col("sources") >= min_sources))
     wide = spread(messages.select("h", "source", "key"))
@@ -156,12 +171,12 @@ def find_residue(df: DataFrame, key: str, text: str, source: str, most_content:
     if settled:
         suspects = suspects.unionByName(filler.select("key"))
     suspects = shelf.put(suspects.distinct())
-    known = messages.select("key", "nth", "h", "words", "quoted").join(suspects, "key", "left_semi").join(kinds, "h", "left")
+    known = messages.select("key", "nth", "h", "form").join(suspects, "key", "left_semi").join(kinds, "h", "left").withColumn("words", _size("form"))
     made = filler.select("key", "nth", F.lit(True).alias("filler")) if settled else filler.select("key", "nth", F.lit(True).alias("filler")).where("false")
     known = known.join(made, ["key", "nth"], "left").withColumn("residue", F.coalesce("filler", "residue"))
     content = F.col("residue").isNull() | ~F.col("residue") & (F.col("words") > FURNITURE_WORDS)
     # a message that a document repeats is one; its words count each time, as they may differ where they are masked
-    each = known.select("key", "h", F.coalesce("residue", F.lit(False)).alias("residue"), content.alias("content"), F.when(F.col("quoted"), most_words + 1).when(content, F.col("words")).otherwise(0).alias("words"))
+    each = known.select("key", "h", F.coalesce("residue", F.lit(False)).alias("residue"), content.alias("content"), F.when(F.contains("form", F.lit(QUOTED)), most_words + 1).when(content, F.col("words")).otherwise(0).alias("words"))
     each = each.groupBy("key", "h", "residue", "content").agg(F.sum("words").alias("words"))
     judged = each.groupBy("key").agg(F.count_if("residue").alias("residue"), F.count_if("content").alias("content"), F.sum("words").alias("words"))
     found = shelf.put(judged.where((F.col("residue") > 0) & (F.col("content") <= most_content) & (F.col("words") <= most_words)).select(F.col("key").alias(key)))
