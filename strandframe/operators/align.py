@@ -6,8 +6,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
+from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+_OPS = StructType([StructField("op", StringType()), StructField("bgn", IntegerType()), StructField("end", IntegerType()), StructField("letter", StringType())])
 
 
 def _slide(x: np.ndarray, y: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -233,6 +235,29 @@ def delta_decode(base: str, ops: list[tuple[str, int, int, str]]) -> str:
     return "".join(base[a:b] if o == "M" else c for o, a, b, c in ops)
 
 
+def delta_coded(pairs: DataFrame, base: str, other: str, keep: list[str]) -> DataFrame:
+    """(keep, coded, raw): ``other`` as operations on ``base``; where they differ too much it is kept as it is, in ``raw``."""
+    form = StructType([*(pairs.schema[k] for k in keep), StructField("coded", ArrayType(_OPS)), StructField("raw", StringType())])
+    kind = pa.list_(pa.struct([("op", pa.string()), ("bgn", pa.int32()), ("end", pa.int32()), ("letter", pa.string())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                seqs = list(zip(part.column(0).to_pylist(), part.column(1).to_pylist()))
+                got = [None if x is None or y is None else delta_encode(x, y) for x, y in seqs]
+                coded = [None if g is None else [dict(zip(("op", "bgn", "end", "letter"), o)) for o in g] for g in got]
+                yield pa.RecordBatch.from_arrays([*part.columns[2:], pa.array(coded, kind), pa.array([y if g is None else None for g, (_, y) in zip(got, seqs)], pa.string())], [*keep, "coded", "raw"])
+
+    return pairs.select(base, other, *keep).mapInArrow(run, form)
+
+
+def delta_restored(base: Column, coded: Column, raw: Column) -> Column:
+    """The sequence from its operations on ``base``, or as it was kept."""
+    part = lambda o: F.when(o["op"] == "M", F.substring(base, o["bgn"] + 1, o["end"] - o["bgn"])).otherwise(o["letter"])
+    return F.coalesce(raw, F.array_join(F.transform(coded, part), ""))
+
+
 def aligned(pairs: DataFrame, most: int | None = 384, left: bool = True) -> DataFrame:
     """Adds aligned_t, aligned_q and cost to pairs with (t_seq, q_seq); nulls where the cost is above ``most``.
 

@@ -189,10 +189,10 @@ def sparse_consensus(reads: list[str], min_cov: int, guide: int = 0, spec: Shimm
 
 
 def consensus(reads: DataFrame, by: str, method: str = "sparse", min_cov: int = 2, k: int = 33, order: str = "sid") -> DataFrame:
-    """(by, part, seq, coverage): consensus of each group of reads (by, order, seq); the first read in order is the guide.
+    """(by, part, seq, coverage, reason): consensus of each group of reads (by, order, seq); the first read in order is the guide.
 
-    ``method`` is 'kmer', 'branches', 'guided' or 'sparse'. Groups that a method can't solve (a cycle, a read that is too short) have
-    no rows. A group is one locus; its reads are held in memory together.
+    ``method`` is 'kmer', 'branches', 'guided' or 'sparse'. A group that a method can't solve (a cycle, a read that is too short, no
+    reads) has one row with a null sequence and the reason. A group is one locus; its reads are held in memory together.
     """
     ways: dict[str, Callable[[list[str]], list[tuple[str, list[int]]]]] = {
         "kmer": lambda r: [(kmer_consensus(r, k, min_cov), [])],
@@ -203,12 +203,16 @@ def consensus(reads: DataFrame, by: str, method: str = "sparse", min_cov: int =
     way = ways[method]
 
     def work(key: tuple, rows: list[dict]):
+        own = [r["seq"] for r in rows if r["seq"]]
         try:
-            found = way([r["seq"] for r in rows if r["seq"]])
-        except (ValueError, IndexError):
+            if not own:
+                raise ValueError("no reads")
+            found = way(own)
+        except ValueError as e:
+            yield (*key, 0, None, None, str(e))
             return
         for part, (seq, cov) in enumerate(found):
-            yield (*key, part, seq, cov)
+            yield (*key, part, seq, cov, None)
 
     kind = reads.schema[by].dataType.simpleString()
-    return grouped_scan(reads.select(by, order, "seq"), [by], [order], work, f"{by} {kind}, part int, seq string, coverage array<int>")
+    return grouped_scan(reads.select(by, order, "seq"), [by], [order], work, f"{by} {kind}, part int, seq string, coverage array<int>, reason string")

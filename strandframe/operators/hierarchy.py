@@ -55,11 +55,11 @@ def caught_in_cycles(links: DataFrame, shelf: Shelf) -> DataFrame:
 
 
 def caught_below(caught: DataFrame, layers: list[DataFrame], shelf: Shelf) -> DataFrame:
-    """(child): the caught nodes with those of the peeled layers that have one of them as a parent, the last layer first."""
+    """(child): the caught nodes with those of the peeled layers that have one of them as a parent, the last layer first; once a link."""
     found = shelf.put(caught)
     tables = [found]
     for layer in reversed(layers):
-        more, seen = shelf.put(layer.join(found.withColumnRenamed("child", "parent"), "parent", "left_semi").select("child").distinct(), n=rows_of())
+        more, seen = shelf.put(layer.join(found.withColumnRenamed("child", "parent"), "parent", "left_semi").select("child"), n=rows_of())
         if seen["n"]:
             tables.append(more)
             found = shelf.read(*tables)

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandframe.session import cut
+
 BIN = 1 << 14
 
 
@@ -80,19 +82,26 @@ def outlier_regions(df: DataFrame, by: list[str], keep: Column, max_gap: int, mi
     return out.where(F.col("end_pos") - F.col("bgn") > min_span).drop("island")
 
 
-def tiling(blocks: DataFrame, target: str = "t_name", bgn: str = "ts", end: str = "te", block: str = "block_id") -> DataFrame:
-    """(target, kind, bgn, end_pos, block): blocks along each target as gap G, unique, overlap O or duplicate D.
+def tiling(blocks: DataFrame, target: str = "t_name", bgn: str = "ts", end: str = "te", block: str = "block_id", lengths: DataFrame | None = None) -> DataFrame:
+    """(target, kind, bgn, end_pos, block): how blocks lie along each target, as gaps G, duplicates D and overlaps O.
 
-    In order of begin, a block that ends within what is covered is a duplicate, one that begins within it overlaps, and
-    a hole before a block is a gap row of its own without a block.
+    In order of begin: a block that begins behind what is covered has a gap row before it, from the covered end (0 at first) to its
+    begin; one that ends within what is covered is a duplicate, a row of its whole extent; any other, also one that begins exactly at
+    the covered end, overlaps, a row from its begin to the covered end. With ``lengths`` (target, len) a gap row without a block leads
+    from the last covered end to the target's length.
     """
     w = Window.partitionBy(target).orderBy(bgn, F.desc(end), block)
-    reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = blocks.select(target, bgn, end, block).withColumn("reach", reach)
-    kind = F.when(F.col("reach").isNull() | (F.col(bgn) >= F.col("reach")), "U").when(F.col(end) <= F.col("reach"), "D").otherwise("O")
-    own = rows.select(target, kind.alias("kind"), F.col(bgn).alias("bgn"), F.col(end).alias("end_pos"), block)
-    holes = rows.where(F.col(bgn) > F.col("reach")).select(target, F.lit("G").alias("kind"), F.col("reach").alias("bgn"), F.col(bgn).alias("end_pos"), F.lit(None).cast(rows.schema[block].dataType).alias(block))
-    return own.unionByName(holes)
+    reach = F.coalesce(F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = blocks.select(target, bgn, end, block).withColumn("reach", F.greatest(reach, F.lit(0)))
+    kind = F.when(F.col(bgn) > F.col("reach"), "G").when(F.col(end) <= F.col("reach"), "D").otherwise("O")
+    out = rows.withColumn("kind", kind)
+    b = F.when(F.col("kind") == "G", F.col("reach")).otherwise(F.col(bgn))
+    e = F.when(F.col("kind") == "G", F.col(bgn)).when(F.col("kind") == "D", F.col(end)).otherwise(F.col("reach"))
+    out = out.select(target, "kind", b.alias("bgn"), e.alias("end_pos"), block)
+    if lengths is None:
+        return out
+    last = blocks.groupBy(target).agg(F.greatest(F.max(end), F.lit(0)).alias("bgn")).join(lengths.select(target, "len"), target)
+    return out.unionByName(last.select(target, F.lit("G").alias("kind"), "bgn", F.col("len").alias("end_pos"), F.lit(None).cast(blocks.schema[block].dataType).alias(block)))
 
 
 def brackets(positions: DataFrame, anchors: DataFrame, by: list[str]) -> DataFrame:
@@ -128,7 +137,16 @@ def allele_numbers(grouped: DataFrame, target: str = "t_name") -> DataFrame:
 def layout_offsets(lengths: DataFrame, padding: int) -> DataFrame:
     """(name, length, offset): begins of items laid side by side from the longest to the shortest, with padding between.
 
-    Lengths are those of sequences in a plot, a table of drawing size; the running sum has one order over all of them.
+    The items are range-sorted over all tasks; the driver adds up one sum a partition.
     """
-    w = Window.orderBy(F.desc("length"), "name").rowsBetween(Window.unboundedPreceding, -1)
-    return lengths.select("name", "length", F.coalesce(F.sum(F.col("length") + padding).over(w), F.lit(0)).alias("offset"))
+    order = [F.desc("length"), F.col("name")]
+    placed = cut(lengths.select("name", "length").repartitionByRange(*order).sortWithinPartitions(*order).withColumn("part", F.spark_partition_id()))
+    sums = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.sum(F.col("length") + padding).alias("n")).collect()}  # one row a partition
+    begins, at = [], 0
+    for part in sorted(sums):
+        begins.append((part, at))
+        at += sums[part]
+    first = lengths.sparkSession.createDataFrame(begins, "part int, first long")
+    w = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    inside = F.coalesce(F.sum(F.col("length") + padding).over(w), F.lit(0))
+    return placed.join(F.broadcast(first), "part").select("name", "length", (F.col("first") + inside).alias("offset"))  # one row a partition

@@ -9,6 +9,7 @@ that stand in it; it never decides alone where quoting already does.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
@@ -107,10 +108,32 @@ def _tag_of(segment: str) -> tuple[str | None, str]:
     return None, segment
 
 
-def segment(text: str | None, marks) -> list[tuple[str | None, int, str]]:
-    """(tag, position, value) for each non-empty value, in order. Values before any tag have a null tag."""
+_PLAIN_VALUES = re.compile("[,|]")
+
+
+def _plain_segment(text: str) -> list[tuple[str | None, int, str]]:
+    """As ``segment``, for a text in which nothing is protected."""
+    out, tag, seen = [], None, {}
+    for field in text.split(";"):
+        for i, value in enumerate(_PLAIN_VALUES.split(field) if "," in field or "|" in field else (field,)):
+            if not i and (eq := value.find("=")) >= 0 and (own := value[:eq].strip(" ")):
+                tag, value = own, value[eq + 1 :]
+            value = value.strip(" ")
+            if value:
+                seen[tag] = seen.get(tag, 0) + 1
+                out.append((tag, seen[tag], value))
+    return out
+
+
+def segment(text: str | None, marks, bare: bool = True) -> list[tuple[str | None, int, str]]:
+    """(tag, position, value) for each non-empty value, in order. Values before any tag have a null tag.
+
+    Without ``bare`` all known values in ``marks`` are in their quoted spelling, so a text without a quote is only split.
+    """
     if not text:
         return []
+    if not bare and '"' not in text:
+        return _plain_segment(text)
     out, tag, seen, first, bgn = [], None, {}, True, 0
     for at, mark in [*cover(text, marks), (len(text), ";")]:
         piece = text[bgn:at]
@@ -220,7 +243,7 @@ def split_packed(df: DataFrame, key: str, field: str, known: list[str] | DataFra
                 marks = automaton(sorted({v for vs in batch.column(2).to_pylist() for v in vs or ()}), protect)
             keys, tags, places, values = [], [], [], []
             for k, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for tag, pos, val in segment(text, marks):
+                for tag, pos, val in segment(text, marks, protect):
                     keys.append(k), tags.append(tag), places.append(pos), values.append(val)
                     if len(keys) >= 50_000:
                         yield _rows(batch, keys, tags, places, values)

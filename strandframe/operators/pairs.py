@@ -90,9 +90,10 @@ def match_positions(query: DataFrame, index: DataFrame) -> DataFrame:
     return h.select("q_sid", "sid", "bgn", "end_pos", F.when(F.col("orientation") == F.col("q_orientation"), 0).otherwise(1).alias("relative"))
 
 
-def dots(a: DataFrame, b: DataFrame) -> DataFrame:
-    """(x, y): positions at which two mark tables (hash, pos) have the same hash."""
-    return a.select("hash", F.col("pos").alias("x")).join(b.select("hash", F.col("pos").alias("y")), "hash").select("x", "y")
+def dots(a: DataFrame, b: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """(by, x, y): positions at which two mark tables (by, hash, pos) have the same hash."""
+    by = by or []
+    return a.select(*by, "hash", F.col("pos").alias("x")).join(b.select(*by, "hash", F.col("pos").alias("y")), [*by, "hash"]).select(*by, "x", "y")
 
 
 def coverage_ratio(pairs: DataFrame, first: DataFrame, second: DataFrame, eps: float = 1e-4) -> DataFrame:

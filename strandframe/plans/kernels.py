@@ -1,4 +1,4 @@
-"""Queries of the operators that SQL can't express; tests hold them against slow versions and properties."""
+"""Queries of the operators over bases, chains and graphs. Where SQL can't give the same rows, tests hold them against slow versions and properties."""
 
 from __future__ import annotations
 
@@ -14,6 +14,26 @@ from strandframe.session import cut
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+# One value for each base, of its low and high bit; the k-mer that ends at a letter that isn't a base is the one before it again.
+_SKETCH = """seqs AS (SELECT DISTINCT sid, name, source, seq FROM sequences),
+pure AS MATERIALIZED (SELECT sid, regexp_replace(upper(seq), '[^ACGT]', '', 'g') AS s, regexp_replace(upper(seq), '[^ACGT]', '-', 'g') AS m FROM seqs WHERE length(seq) > 24),
+place AS (SELECT sid, s, m, CAST(unnest(range(24, length(m))) AS INTEGER) AS p FROM pure),
+seen AS (SELECT sid, p, s, CASE WHEN length(s) = length(m) THEN p + 1 ELSE length(replace(left(m, p + 1), '-', '')) END AS n FROM place),
+mer AS (SELECT sid, p, substr(s, greatest(n - 23, 1), least(n, 24)) AS f FROM seen WHERE n > 0),
+bits AS (SELECT sid, p, ('0b' || lpad(translate(f, 'ACGT', '0101'), 24, '0'))::UBIGINT::HUGEINT AS fl, ('0b' || lpad(translate(f, 'ACGT', '0011'), 24, '0'))::UBIGINT::HUGEINT AS fh,
+  ('0b' || rpad(translate(reverse(f), 'ACGT', '1010'), 24, '0'))::UBIGINT::HUGEINT AS rl, ('0b' || rpad(translate(reverse(f), 'ACGT', '1100'), 24, '0'))::UBIGINT::HUGEINT AS rh FROM mer),
+side AS (SELECT sid, p, CAST(rl < fl AS INTEGER) AS strand, CASE WHEN rl < fl THEN rl ELSE fl END AS a0, xor(CASE WHEN rl < fl THEN rh ELSE fh END, 2903691097::HUGEINT) AS b0 FROM bits WHERE fl <> rl OR fh <> rh),
+""" + ",\n".join(
+    f"s{i + 1} AS (SELECT sid, p, strand, {step.format(k=f'a{i}')} AS a{i + 1}, {step.format(k=f'b{i}')} AS b{i + 1} FROM {'side' if not i else f's{i}'})"
+    for i, step in enumerate((
+        "(18446744073709551615::HUGEINT - {k} + {k} * 2097152) % 18446744073709551616", "xor({k}, {k} // 16777216)", "({k} * 265) % 18446744073709551616", "xor({k}, {k} // 16384)",
+        "({k} * 21) % 18446744073709551616", "xor({k}, {k} // 268435456)", "({k} + {k} * 2147483648) % 18446744073709551616",
+    ))
+) + """,
+kept AS (SELECT sid, p, strand, CAST(xor(a7, b7) % 72057594037927936 AS BIGINT) AS hash FROM s7 WHERE xor(a7, b7) < 576460752303423487),
+near AS (SELECT *, lag(p) OVER w AS bp, lead(p) OVER w AS np, lag(hash) OVER w AS bh, lead(hash) OVER w AS nh FROM kept WINDOW w AS (PARTITION BY sid ORDER BY p)),
+sketch AS (SELECT sid, CAST(row_number() OVER (PARTITION BY sid ORDER BY p) - 1 AS INTEGER) AS ord, hash, p, strand FROM near WHERE bp IS NULL OR np IS NULL OR (p - bp > 8 AND np - p > 8 AND hash <> bh AND hash <> nh))"""
+
 SKETCH = ShimmerSpec(80, 24, 1, 8, True)
 WINDOWED = ShimmerSpec(48, 24, 2, 8, False)
 
@@ -180,9 +200,18 @@ def consensus_sparse(spark, base):
 
 @query
 def delta_roundtrip(spark, base):
-    """Each whole sequence coded against its family's first; restored must equal seq, or is null where they differ too much."""
+    """Each whole sequence coded against its family's first, or kept where they differ too much; restored must be the sequence."""
     rows = _families(spark, base).select("sid", "family", "seq")
     first = rows.groupBy("family").agg(F.min_by("seq", "sid").alias("base"))
-    code = F.udf(lambda b, s: (lambda ops: None if ops is None else A.delta_decode(b, ops))(A.delta_encode(b, s)), "string")
-    return rows.join(first, "family").select("sid", code("base", "seq").alias("restored"), "seq")
+    coded = A.delta_coded(rows.join(first, "family"), "base", "seq", ["sid", "family"])
+    return coded.join(first, "family").select("sid", A.delta_restored(F.col("base"), F.col("coded"), F.col("raw")).alias("restored"))
+
+
+_SKETCHED = f"""{_SKETCH}, nb AS (SELECT sid, ord, hash AS a, lead(hash) OVER w AS b, p, lead(p) OVER w AS np FROM sketch WINDOW w AS (PARTITION BY sid ORDER BY ord)),
+pairs AS (SELECT sid, ord, least(a, b) AS h0, greatest(a, b) AS h1, p + 1 AS bgn, np + 1 AS end_pos, CAST(a > b AS INTEGER) AS orientation FROM nb WHERE b IS NOT NULL)"""
 
+ORACLES |= {
+    "shimmers_sketch": f"WITH {_SKETCH} SELECT sid, ord, hash, CAST(24 AS INTEGER) AS span, p AS pos, strand FROM sketch",
+    "sketch_pair_sources": f"WITH {_SKETCHED}, cat AS (SELECT DISTINCT sid, name, upper(trim(source)) AS source FROM sequences) SELECT h0, h1, source, CAST(count(*) AS BIGINT) AS n FROM pairs JOIN cat USING (sid) GROUP BY h0, h1, source",
+    "delta_roundtrip": f"WITH {_SKETCH} SELECT sid, upper(seq) AS restored FROM seqs WHERE sid IN (SELECT sid FROM sketch)",
+}

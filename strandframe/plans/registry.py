@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from strandframe.plans import general, kernels, relational
+from strandframe.plans import files, general, kernels, relational
 
-QUERIES = {**general.QUERIES, **relational.QUERIES, **kernels.QUERIES}
-ORACLES = {**general.ORACLES, **relational.ORACLES}
+QUERIES = {**general.QUERIES, **relational.QUERIES, **kernels.QUERIES, **files.QUERIES}
+ORACLES = {**general.ORACLES, **relational.ORACLES, **kernels.ORACLES, **files.ORACLES}
 ENTRY = kernels.sketch_pair_sources

@@ -64,9 +64,9 @@ def kmer_count(spark, base):
     return kmers.groupBy("kmer").agg(F.count("*").alias("n"))
 
 
-@query(f"WITH {_SEQS}, b AS (SELECT substr(translate(upper(seq), 'ACGT', '0101'), 1, 40) AS low, substr(translate(upper(seq), 'ACGT', '0011'), 1, 40) AS high, sid FROM seqs) SELECT sid, low, high FROM b")
+@query(f"WITH {_SEQS}, b AS (SELECT translate(upper(seq), 'ACGT', '0101') AS low, translate(upper(seq), 'ACGT', '0011') AS high, sid FROM seqs) SELECT sid, low, high FROM b")
 def seq_bit_planes(spark, base):
-    planes = dna.bit_planes(F.substring("seq", 1, 40))  # the leading planes of each sequence
+    planes = dna.bit_planes("seq")
     return C.sequences(spark, base).select("sid", planes["low"].alias("low"), planes["high"].alias("high"))
 
 
@@ -127,16 +127,29 @@ def query_hits_filtered(spark, base):
     return P.suppressed_hits(_asked(spark, base), C.pairs(spark, base))
 
 
-@query(f"WITH {_FILTERED} SELECT q_sid, sid, bgn, end_pos, CASE WHEN orientation = q_orientation THEN 0 ELSE 1 END AS relative FROM hit")
+_HIT = f"{_ASKED}, hit AS (SELECT q.h0, q.h1, q_sid, q_bgn, q_end, q_orientation, sid, bgn, end_pos, orientation FROM q LEFT JOIN pairs USING (h0, h1))"
+
+
+@query(f"WITH {_HIT} SELECT * FROM hit")
+def query_fragments(spark, base):
+    return P.hits(_asked(spark, base), C.pairs(spark, base))
+
+
+@query(f"WITH {_HIT} SELECT q_sid, sid, bgn, end_pos, CASE WHEN orientation = q_orientation THEN 0 ELSE 1 END AS relative FROM hit WHERE sid IS NOT NULL")
 def match_positions(spark, base):
-    h = P.suppressed_hits(_asked(spark, base), C.pairs(spark, base))
-    return h.select("q_sid", "sid", "bgn", "end_pos", F.when(F.col("orientation") == F.col("q_orientation"), 0).otherwise(1).alias("relative"))
+    return P.match_positions(_asked(spark, base), C.pairs(spark, base))
 
 
-@query(f"WITH {_MARKS} SELECT a.sid, a.pos AS x, b.pos AS y FROM marks a JOIN marks b ON a.sid = b.sid AND a.hash = b.hash")
+@query(f"WITH {_MARKS} SELECT sid, x, y FROM (SELECT a.sid, a.pos AS x, b.pos AS y FROM marks a JOIN marks b ON a.sid = b.sid AND a.hash = b.hash)")
 def self_dots(spark, base):
-    m = C.marks(spark, base).select("sid", "hash", "pos")
-    return m.withColumnRenamed("pos", "x").join(m.withColumnRenamed("pos", "y"), ["sid", "hash"]).select("sid", "x", "y")
+    """Equal marks of each sequence with itself. A repeat of n places gives n x n points, which is the plot."""
+    m = C.marks(spark, base)
+    return P.dots(m, m, ["sid"])
+
+
+@query(f"WITH {_PAIRS}, c AS (SELECT h0, h1 FROM pairs GROUP BY h0, h1 HAVING count(*) >= 3) SELECT h0, h1, sid, ord, bgn, end_pos, orientation FROM pairs LEFT JOIN c USING (h0, h1) WHERE c.h0 IS NOT NULL OR sid IN (0, 1)".replace("pairs LEFT JOIN c USING (h0, h1)", "pairs p LEFT JOIN c ON p.h0 = c.h0 AND p.h1 = c.h1").replace("SELECT h0, h1, sid", "SELECT p.h0, p.h1, sid"))
+def supported_pairs(spark, base):
+    return P.supported(C.pairs(spark, base), 3, [0, 1])
 
 
 @query(f"WITH {_PAIRS}, a AS (SELECT h0, h1, count(*) AS c0 FROM pairs WHERE sid % 2 = 0 GROUP BY h0, h1), b AS (SELECT h0, h1, count(*) AS c1 FROM pairs WHERE sid % 2 = 1 GROUP BY h0, h1) SELECT sid, bgn, end_pos, coalesce(c0, 0) AS c0, coalesce(c1, 0) AS c1, (coalesce(c0, 0) + 0.0001::DOUBLE) / (coalesce(c1, 0) + 0.0001::DOUBLE) AS ratio FROM pairs LEFT JOIN a USING (h0, h1) LEFT JOIN b USING (h0, h1)")
@@ -178,10 +191,12 @@ def probe_match(spark, base):
     return seqs.select("sid", F.explode(dna.kmers(F.upper("seq"), 40)).alias("kmer")).join(probes, "kmer").select("probe_sid", "sid").distinct()
 
 
-@query(f"WITH {_SEQS}, k AS (SELECT DISTINCT sid, substr(upper(seq), CAST(i AS INTEGER), 31) AS kmer FROM seqs, LATERAL (SELECT unnest(range(1, length(seqs.seq) - 29)) AS i)) SELECT a.sid AS ref_sid, b.sid, count(*) AS n FROM k a JOIN k b USING (kmer) WHERE a.sid % 50 = 0 GROUP BY a.sid, b.sid HAVING count(*) >= 4")
+@query(f"WITH {_SEQS}, k AS (SELECT DISTINCT sid, substr(upper(seq), CAST(i AS INTEGER), 31) AS kmer FROM seqs, LATERAL (SELECT unnest(range(1, length(seqs.seq) - 29)) AS i)), r AS (SELECT sid, kmer FROM k WHERE sid % 50 = 0 UNION SELECT sid, reverse(translate(kmer, 'ACGT', 'TGCA')) FROM k WHERE sid % 50 = 0) SELECT r.sid AS ref_sid, k.sid, count(*) AS n FROM r JOIN k USING (kmer) GROUP BY r.sid, k.sid HAVING count(*) >= 4")
 def multi_filter(spark, base):
+    """Reads that share k-mers with a reference on either strand."""
     kmers = C.sequences(spark, base).select("sid", F.explode(dna.kmers(F.upper("seq"), 31)).alias("kmer"))
-    return P.shared_kmers(kmers.where("sid % 50 = 0"), kmers, 4)
+    own = kmers.where("sid % 50 = 0")
+    return P.shared_kmers(own.union(own.select("sid", dna.reverse_complement("kmer"))), kmers, 4)
 
 
 # ------------------------------------------------------------------ graph
@@ -259,9 +274,12 @@ def annotate_genes(spark, base):
     return V.joined_names(met, ["bed_id"], "name", "genes")
 
 
-@query(f"WITH {_BED}, r AS (SELECT ctg, bgn, end_pos, bed_id, max(end_pos) OVER (PARTITION BY ctg ORDER BY bgn, end_pos DESC, bed_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM bed) SELECT ctg, CASE WHEN reach IS NULL OR bgn >= reach THEN 'U' WHEN end_pos <= reach THEN 'D' ELSE 'O' END AS kind, bgn, end_pos, bed_id FROM r UNION ALL SELECT ctg, 'G', reach, bgn, NULL FROM r WHERE bgn > reach")
+@query(f"""WITH {_BED}, r AS (SELECT ctg, bgn, end_pos, bed_id, greatest(coalesce(max(end_pos) OVER (PARTITION BY ctg ORDER BY bgn, end_pos DESC, bed_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0) AS reach FROM bed)
+SELECT ctg, 'G' AS kind, reach AS bgn, bgn AS end_pos, bed_id FROM r WHERE bgn > reach UNION ALL SELECT ctg, 'D', bgn, end_pos, bed_id FROM r WHERE bgn <= reach AND end_pos <= reach UNION ALL SELECT ctg, 'O', bgn, reach, bed_id FROM r WHERE bgn <= reach AND end_pos > reach
+UNION ALL SELECT ctg, 'G', greatest(max(end_pos), 0), any_value(len), NULL FROM bed JOIN (SELECT DISTINCT name, length(seq) AS len FROM sequences) ON name = ctg GROUP BY ctg""")
 def tiling_target(spark, base):
-    return V.tiling(C.stretches(spark, base), "ctg", "bgn", "end_pos", "bed_id")
+    lengths = C.sequences(spark, base).select(F.col("name").alias("ctg"), F.length("seq").alias("len"))
+    return V.tiling(C.stretches(spark, base), "ctg", "bgn", "end_pos", "bed_id", lengths)
 
 
 @query(f"WITH {_BED}, {_GFF}, p AS (SELECT DISTINCT chr, b_bgn AS pos FROM gff) SELECT chr, pos, CAST((SELECT max(bgn) FROM bed WHERE ctg = chr AND bgn < pos) AS BIGINT) AS left_bgn, CAST((SELECT min(end_pos) FROM bed WHERE ctg = chr AND end_pos > pos) AS BIGINT) AS right_end FROM p")
@@ -304,10 +322,11 @@ def bundle_summary(spark, base):
     return B.contig_summary(B.repeat_flags(C.stretches(spark, base)))
 
 
-@query(f"WITH {_BED}, m AS (SELECT b_id, avg(CAST(end_pos - bgn AS BIGINT)) AS m FROM bed GROUP BY b_id), c AS (SELECT ctg, b_id, count(*) AS n FROM bed GROUP BY ctg, b_id) SELECT ctg, string_agg(c.b_id || ':' || n, ' ' ORDER BY m DESC, c.b_id) AS counts FROM c JOIN m USING (b_id) GROUP BY ctg")
+@query(f"""WITH {_BED}, f AS (SELECT ctg, b_id, b_direction AS d, CAST(abs(CAST(end_pos AS BIGINT) - bgn) AS BIGINT) AS s FROM bed WHERE abs(b_bgn - b_end) > b_size * 0.5), k AS (SELECT b_id, d, row_number() OVER (ORDER BY avg(s) DESC, b_id, d) AS rank FROM f GROUP BY b_id, d),
+c AS (SELECT ctg, rank, count(*) AS n FROM f JOIN k USING (b_id, d) GROUP BY ctg, rank), v AS (SELECT ctg, list(coalesce(n, 0) ORDER BY rank) AS counts FROM (SELECT DISTINCT ctg FROM bed), k LEFT JOIN c USING (ctg, rank) GROUP BY ctg)
+SELECT row_number() OVER (ORDER BY counts DESC, ctg DESC) - 1 AS ord, ctg, array_to_string(counts, ',') AS counts FROM v""".replace("(SELECT DISTINCT ctg FROM bed), k LEFT JOIN", "(SELECT * FROM (SELECT DISTINCT ctg FROM bed), k) LEFT JOIN"))
 def bundle_sorted(spark, base):
-    out = B.bundle_count_order(C.stretches(spark, base).where("b_id IS NOT NULL"))
-    return out.select("ctg", F.array_join(F.transform("counts", lambda x: F.concat_ws(":", x["b"].cast("string"), x["n"].cast("string"))), " ").alias("counts"))
+    return B.bundle_count_order(C.stretches(spark, base)).select("ord", "ctg", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts"))
 
 
 _RUNS = f"""{_BED}, p AS (SELECT ctg AS sid, row_number() OVER (PARTITION BY ctg ORDER BY bgn, end_pos, bed_id) AS ord, bgn, end_pos, b_id, b_direction AS d, b_bgn AS pos FROM bed WHERE b_id IS NOT NULL),

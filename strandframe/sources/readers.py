@@ -5,10 +5,12 @@ Long records are cut by the reader's line or record separator, never by a regula
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
-from strandframe.functions.dna import last_attribute
+from strandframe.functions.dna import attribute_map, last_attribute
 
 
 def fasta(spark: SparkSession, path: str | list[str], source: str | None = None) -> DataFrame:
@@ -39,26 +41,30 @@ def fastq_records(raw: DataFrame) -> DataFrame:
 
 
 def sniff(spark: SparkSession, path: str) -> str:
-    """'fasta' or 'fastq' by the first letter of a file; an empty file is an error."""
+    """'fasta' or 'fastq' by the first letter of a file; an empty file, and a packed one whose ending doesn't say so, are errors."""
     first = spark.read.text(path).where("length(value) > 0").first()
     if first is None:
         raise ValueError(f"{path} is empty")
+    if first.value[0] == "\x1f":
+        raise ValueError(f"{path} is packed by gzip; give its name the ending .gz, so that it is read as that")
     return "fastq" if first.value[0] == "@" else "fasta"
 
 
 def sequences(spark: SparkSession, paths: list[str], first_sid: int = 0) -> DataFrame:
     """(sid, name, source, seq, len): records of several files with ids that go on over all of them.
 
-    Ids follow the order of source and name. Numbering is a global sort of names, not of bases.
+    Every record has an id of its own, also where names repeat; ids follow the order of source, name and a hash of the bases.
+    The source is the file's name without its endings, of either format.
     """
     from functools import reduce
 
-    rows = reduce(DataFrame.unionByName, [fastq(spark, p).withColumn("source", F.lit(p.rsplit("/", 1)[-1])) if sniff(spark, p) == "fastq" else fasta(spark, p) for p in paths])
-    numbered = with_ids(rows.select("source", "name").distinct(), ["source", "name"], "sid", first_sid)
-    return rows.join(numbered, ["source", "name"]).select(F.col("sid").cast("int"), "name", "source", "seq", F.length("seq").alias("len"))
+    stem = lambda p: re.sub(r"(?:\.(?:fa|fasta|fna|fq|fastq))?(?:\.gz)?$", "", p.rstrip("/").rsplit("/", 1)[-1])
+    rows = reduce(DataFrame.unionByName, [(fastq(spark, p) if sniff(spark, p) == "fastq" else fasta(spark, p).drop("source")).withColumn("source", F.lit(stem(p))) for p in paths])
+    numbered = with_ids(rows.withColumn("h", F.xxhash64("seq")), ["source", "name", "h"], "sid", first_sid)
+    return numbered.select(F.col("sid").cast("int"), "name", "source", "seq", F.length("seq").alias("len"))
 
 
-def with_ids(df: DataFrame, order: list[str], name: str, first: int = 0) -> DataFrame:
+def with_ids(df: DataFrame, order: list[str | Column], name: str, first: int = 0) -> DataFrame:
     """Consecutive ids in order, without a single-task window: rows are range-sorted and counted per partition first."""
     from strandframe.session import cut
 
@@ -189,3 +195,26 @@ def index_records(spark: SparkSession, path) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["h0", "h1", "frg_id", "sid", "bgn", "end_pos", "orientation"])
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "h0 long, h1 long, frg_id int, sid int, bgn int, end_pos int, orientation int")
+
+
+def gff3(spark: SparkSession, path) -> DataFrame:
+    """seqid, source, type_name, bgn, end_pos, score, strand, phase, attributes (a map) and id, name, parent; comments are skipped."""
+    t = _table(spark, path, "seqid string, source string, type_name string, bgn long, end_pos long, score string, strand string, phase string, attributes string", "#").where("attributes IS NOT NULL")
+    known = lambda c, kind: F.when(F.col(c) != ".", F.col(c)).cast(kind)
+    a = attribute_map("attributes")
+    t = t.select("seqid", "source", "type_name", "bgn", "end_pos", known("score", "float").alias("score"), "strand", known("phase", "tinyint").alias("phase"), a.alias("attributes"))
+    return t.select("*", *(F.col("attributes")[k].alias(n) for k, n in (("ID", "id"), ("Name", "name"), ("Parent", "parent"))))
+
+
+def probes(spark: SparkSession, path) -> DataFrame:
+    """Probe lists: vname, vprobe, t1name, t1probe, t2name, t2probe."""
+    return _table(spark, path, "vname string, vprobe string, t1name string, t1probe string, t2name string, t2probe string", "#")
+
+
+def dendrogram(spark: SparkSession, path) -> DataFrame:
+    """Rows of a drawn tree: kind L (leaf: node, name), I (inner: node, left, right, size, height) or P (place: node, x, height, size)."""
+    p = F.split("value", "\t")
+    at = lambda i, kind: F.get(p, F.lit(i)).cast(kind)
+    when = lambda kind, c: F.when(p[0] == kind, c)
+    return spark.read.text(path).where("value rlike '^[LIP]\t'").select(p[0].alias("kind"), at(1, "int").alias("node"), when("L", at(2, "string")).alias("name"), when("I", at(2, "string")).cast("int").alias("left"), when("I", at(3, "string")).cast("int").alias("right"),
+        F.coalesce(when("I", at(4, "string")), when("P", at(4, "string"))).cast("int").alias("size"), when("P", at(2, "string")).cast("double").alias("x"), F.coalesce(when("I", at(5, "string")), when("P", at(3, "string"))).cast("double").alias("height"))

@@ -36,31 +36,43 @@ def sequence_store(sequences: DataFrame, path: str, records: int = 100_000) -> N
 def gfa_lines(segments: DataFrame, links: DataFrame, k: int, bundles: DataFrame | None = None) -> DataFrame:
     """(tag, value): the lines of a GFA 1.0 graph. segments: (h0, h1, length, n); links as gfa_links gives them.
 
-    With ``bundles`` (h0, h1, bundle_id, pos) segments carry the tags BN and BP. Segments are named by their pair.
+    Segments are numbered in order of their hashes and carry their pair in the tag SN. With ``bundles`` (h0, h1, bundle_id, pos) those
+    in a bundle carry the tags BN and BP.
     """
-    s = segments.select(*segments.columns, pair_name("h0", "h1").alias("name"))
-    line = F.concat_ws("\t", F.lit("S"), "name", F.lit("*"), F.concat(F.lit("LN:i:"), F.col("length")), F.concat(F.lit("SC:i:"), F.col("n")))
+    from strandframe.sources.readers import with_ids
+
+    ids = with_ids(segments.select("h0", "h1", "length"), ["h0", "h1"], "id")
+    s = ids.withColumn("tags", F.concat_ws("\t", F.concat(F.lit("LN:i:"), F.col("length")), F.concat(F.lit("SN:Z:"), pair_name("h0", "h1"))))
     if bundles is not None:
-        s = s.join(bundles.select("h0", "h1", "bundle_id", "pos"), ["h0", "h1"])
-        line = F.concat_ws("\t", line, F.concat(F.lit("BN:i:"), F.col("bundle_id")), F.concat(F.lit("BP:i:"), F.col("pos")))
+        s = s.join(bundles.select("h0", "h1", "bundle_id", "pos"), ["h0", "h1"], "left").withColumn("tags", F.concat_ws("\t", "tags", F.concat(F.lit("BN:i:"), F.col("bundle_id")), F.concat(F.lit("BP:i:"), F.col("pos"))))
+    line = F.concat_ws("\t", F.lit("S"), F.col("id").cast("string"), F.lit("*"), "tags")
+    of = lambda p: ids.select(F.col("h0").alias(f"{p}_h0"), F.col("h1").alias(f"{p}_h1"), F.col("id").cast("string").alias(f"{p}_id"))
     sign = lambda c: F.when(F.col(c) == 0, "+").otherwise("-")
-    link = F.concat_ws("\t", F.lit("L"), pair_name("v_h0", "v_h1"), sign("v_ori"), pair_name("w_h0", "w_h1"), sign("w_ori"), F.concat(F.lit(str(k)), F.lit("M")), F.concat(F.lit("SC:i:"), F.col("n")))
-    head = segments.sparkSession.createDataFrame([(0, "H\tVN:Z:1.0")], "tag int, value string")
-    return head.union(s.select(F.lit(1), line)).union(links.select(F.lit(2), link))
+    named = links.join(of("v"), ["v_h0", "v_h1"]).join(of("w"), ["w_h0", "w_h1"])
+    link = F.concat_ws("\t", F.lit("L"), "v_id", sign("v_ori"), "w_id", sign("w_ori"), F.lit(f"{k}M"), F.concat(F.lit("SC:i:"), F.col("n")))
+    head = segments.sparkSession.createDataFrame([(0, "H\tVN:Z:1.0\tCM:Z:sparse genome graph")], "tag int, value string")
+    return head.union(s.select(F.lit(1), line)).union(named.select(F.lit(2), link))
 
 
 def gfa(segments: DataFrame, links: DataFrame, k: int, path: str, bundles: DataFrame | None = None) -> None:
     gfa_lines(segments, links, k, bundles).orderBy("tag").select("value").write.mode("overwrite").text(path)
 
 
-def map_index_lines(pairs: DataFrame, catalog: DataFrame, spec: tuple[int, ...]) -> DataFrame:
-    """(tag, value): K (specification), C (sequences) and F (places) rows of a text index."""
-    k = pairs.sparkSession.createDataFrame([(0, "K\t" + "\t".join(map(str, spec)))], "tag int, value string")
-    c = catalog.select(F.lit(1), F.concat_ws("\t", F.lit("C"), F.col("sid").cast("string"), F.col("len").cast("string"), "name", F.coalesce("source", F.lit("-"))))
-    f = pairs.select(F.lit(2), F.concat_ws("\t", F.lit("F"), pair_name("h0", "h1"), *(F.col(x).cast("string") for x in ("sid", "bgn", "end_pos", "orientation"))))
+def map_index_lines(pairs: DataFrame, catalog: DataFrame, spec: tuple) -> DataFrame:
+    """(tag, value): K (specification), C (sequence: sid, name, source or NA, length) and F rows of a text index.
+
+    An F row is a place of a pair: the pair, the place's number within its sequence, sid, begin, end and orientation.
+    """
+    k = pairs.sparkSession.createDataFrame([(0, "K\t" + "\t".join(str(x).lower() for x in spec))], "tag int, value string")
+    c = catalog.select(F.lit(1), F.concat_ws("\t", F.lit("C"), F.col("sid").cast("string"), "name", F.coalesce("source", F.lit("NA")), F.col("len").cast("string")))
+    f = pairs.select(F.lit(2), F.concat_ws("\t", F.lit("F"), pair_name("h0", "h1"), *(F.col(x).cast("string") for x in ("ord", "sid", "bgn", "end_pos", "orientation"))))
     return k.union(c).union(f)
 
 
+def map_index(pairs: DataFrame, catalog: DataFrame, spec: tuple, path: str) -> None:
+    map_index_lines(pairs, catalog, spec).orderBy("tag").select("value").write.mode("overwrite").text(path)
+
+
 def bundle_bed_lines(runs: DataFrame) -> DataFrame:
     """(value): stretches (ctg, bgn, end_pos, bundle_id, size, dir, v_bgn, v_end, flag) in the four-column form."""
     info = F.concat_ws(":", *(F.col(c).cast("string") for c in ("bundle_id", "size", "dir", "v_bgn", "v_end")), "flag")

@@ -124,7 +124,27 @@ value = st.one_of(st.from_regex(r"[a-c:]{0,4}", fullmatch=True), st.from_regex(r
 def test_segments_match_a_letter_by_letter_scan(fields, known):
     text = ";".join((t if t != "N " or (v and v[0][:1] == '"') else "N=") + sep.join(v) for t, v, sep in fields)
     marks = P.automaton(["a;b", "x ,y", "a"] if known else [], False)
-    assert P.segment(text, marks) == slow_segments(text)
+    assert P.segment(text, marks) == slow_segments(text) == P.segment(text, marks, False)
+
+
+@given(st.text("ab =;,|", max_size=20))
+@settings(max_examples=300, deadline=None)
+def test_texts_without_quotes_are_only_split(text):
+    assert P.segment(text, P.automaton(["a;b"], False), False) == P.segment(text, P.automaton([], False))
+
+
+def test_held_out_values_without_their_quotes(spark):
+    """The dictionary decides: quotes are taken off in half of the records, and their values come back by what the other half taught."""
+    rnd = random.Random(12)
+    values = [f"{a}{rnd.choice([', ', ';', '|'])}{b} {rnd.randrange(100)}" for a in ("alpha", "beta", "gamma") for b in ("form", "group", "band") for _ in range(20)]
+    records = [(i, [rnd.choice(values) if rnd.random() < 0.7 else f"plain{rnd.randrange(9)}" for _ in range(3)]) for i in range(2000)]
+    mark = lambda v, bare: v if bare or v.startswith("plain") else f'"{v}"'
+    df = spark.createDataFrame([(i, "Note=" + ",".join(mark(v, i % 2) for v in vs)) for i, vs in records], "rec_id long, attributes string")
+    known = P.learned_values(df, "attributes")
+    got = rows(P.split_packed(df, "rec_id", "attributes", known, protect=True), "rec_id", "pos", "val")
+    assert got == [(i, p + 1, v) for i, vs in records for p, v in enumerate(vs)]
+    without = rows(P.split_packed(df, "rec_id", "attributes", [], protect=True), "rec_id", "pos", "val")
+    assert len(without) > len(got) and [r for r in without if r[0] % 2 == 0] == [r for r in got if r[0] % 2 == 0]
 
 
 def test_dictionary_protects_unquoted_values():
