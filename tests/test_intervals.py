@@ -93,7 +93,11 @@ def test_regions_tiling_and_groups(spark):
     assert rows(V.merge_regions(df, ["t"], 5)) == [("a", 0, 13, 13, 3), ("a", 40, 50, 10, 1)]
     assert rows(V.merge_regions_summed(df, ["t"], 5)) == [("a", 0, 13, 11, 2), ("a", 40, 50, 10, 1)]
     blocks = spark.createDataFrame([("a", 0, 10, 1), ("a", 2, 4, 2), ("a", 8, 12, 3), ("a", 20, 30, 4)], "t_name string, ts int, te int, block_id int")
-    assert rows(V.tiling(blocks)) == [("a", "D", 2, 4, 2), ("a", "G", 12, 20, None), ("a", "O", 8, 12, 3), ("a", "U", 0, 10, 1), ("a", "U", 20, 30, 4)]
+    tiles = [("a", "D", 2, 4, 2), ("a", "G", 12, 20, 4), ("a", "O", 0, 0, 1), ("a", "O", 8, 10, 3)]
+    assert rows(V.tiling(blocks)) == tiles
+    lengths = spark.createDataFrame([("a", 35), ("b", 9)], "t_name string, len int")
+    assert rows(V.tiling(blocks, lengths=lengths)) == sorted([*tiles, ("a", "G", 30, 35, None)], key=str)
+    assert rows(V.layout_offsets(spark.createDataFrame([(f"n{i:03}", 500 - i) for i in range(300)], "name string, length int"), 10), "name", "offset") == [(f"n{i:03}", sum(510 - j for j in range(i))) for i in range(300)]
     v = spark.createDataFrame([("a", 0, 10, "A", "C"), ("a", 1, 2, "A", "G"), ("a", 5, 1, "A", "C"), ("a", 5, 1, "A", "C")], "t_name string, ts int, tl int, t_str string, q_str string")
     grouped = V.allele_numbers(V.variant_groups(v))
     assert rows(grouped, "ts", "grp", "allele") == [(0, 1, 1), (1, 1, 2), (5, 2, 1), (5, 2, 1)]

@@ -204,8 +204,10 @@ def test_whole_sequences_are_coded(spark, tmp_path):
     other = first[:700] + "ACGTT" + first[705:1200] + first[1203:]
     made = [(1, "n1", "s", first), (2, "n2", "s", other)]
     spark.createDataFrame(made, "sid int, name string, source string, seq string").write.parquet(str(tmp_path / "sequences.parquet"))
-    got = rows(kernels.delta_roundtrip(spark, str(tmp_path)), "sid", "restored", "seq")
-    assert [r[2] for r in got] == [first, other] and all(r[1] == r[2] for r in got)
+    assert rows(kernels.delta_roundtrip(spark, str(tmp_path))) == [(1, first), (2, other)]
+    far = letters(1500)
+    coded = A.delta_coded(spark.createDataFrame([(1, first, other), (2, first, far), (3, first, None)], "sid int, base string, seq string"), "base", "seq", ["sid"])
+    assert [(r.sid, r.coded is not None, r.raw) for r in coded.orderBy("sid").collect()] == [(1, True, None), (2, False, far), (3, False, None)]
 
 
 def test_golden_alignment_of_two_fragments():
