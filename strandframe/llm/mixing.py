@@ -92,20 +92,24 @@ def rake(cells: list[tuple[str, str, str, float]], shares: dict[str, float], cap
 
 
 def _fill(w: list[float], own: list[int], cells, goal: float, top: float) -> None:
-    """Scales the weights of one source to its goal; weights that reach the cap stay there and the others make up for it."""
-    free = list(own)
-    while free:
-        held = sum(top * cells[i][3] for i in own if i not in set(free))
-        now = sum(w[i] * cells[i][3] for i in free)
-        factor = (goal - held) / now if now else 0.0
-        over = [i for i in free if w[i] * factor > top]
-        if not over:
-            for i in free:
-                w[i] *= max(factor, 0.0)
-            return
-        for i in over:
-            w[i] = top
-        free = [i for i in free if i not in set(over)]
+    """Scales the weights of one source to its goal; weights that reach the cap stay there and the others make up for it.
+
+    The largest weights reach the cap first, so one pass in their order finds how many do.
+    """
+    order = sorted(own, key=lambda i: -w[i])
+    rest = [0.0]  # tokens of the last cells, from the end
+    for i in reversed(order):
+        rest.append(rest[-1] + w[i] * cells[i][3])
+    held, factor, capped = 0.0, 0.0, len(order)
+    for k, i in enumerate(order):
+        now = rest[len(order) - k]
+        factor = max((goal - held) / now, 0.0) if now else 0.0
+        if w[i] * factor <= top:
+            capped = k
+            break
+        held += top * cells[i][3]
+    for k, i in enumerate(order):
+        w[i] = top if k < capped else w[i] * factor
 
 
 def _pooled(df: DataFrame, column: str, out: str) -> DataFrame:
@@ -116,8 +120,11 @@ def _pooled(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumn(out, F.when(F.col(column).isin(large), F.col(column)).otherwise("other")) if large else df.withColumn(out, F.lit("other"))
 
 
-def mix_sources(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, lang: Column, topic: Column, total: int | None = None, seed: int = 0, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame]:
-    """The mix (key, source, tokens, copies) and its report (source, target_share, docs, tokens, reached_share, ...).
+def mix_sources(docs: DataFrame, targets: DataFrame, key: str, text: str, source: str, lang: Column, topic: Column, total: int | None = None, seed: int = 0, path: str = TOKENIZER) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The mix (key, source, tokens, copies), its report (source, target_share, docs, tokens, reached_share, ...) and its margins.
+
+    The margins (margin, value, wanted_share, reached_share) are those that were raked: each source, language and topic, with its
+    share of the tokens. Languages and topics below LEAST_SHARE of the tokens are one value, 'other'.
 
     ``targets`` has source, weight (relative) and max_repeats (null: no cap); it is a small table of settings and is
     collected. Sources are compared without outer blanks and case. Sources without a target, with a null source or a
@@ -150,12 +157,26 @@ def mix_sources(docs: DataFrame, targets: DataFrame, key: str, text: str, source
     placed = held.join(F.broadcast(settings), ["source", "l", "t"])  # one row a cell
     sure, part = F.floor("copies"), F.col("copies") - F.floor("copies")
     u = (F.pmod(F.xxhash64("key", F.lit(seed)), F.lit(1 << 52)) + 1) / F.lit(float((1 << 52) + 1))
-    drawn = cut(placed.select("key", "source", "tokens", sure.cast("long").alias("sure"), F.when(part > 1e-12, u / part).alias("turn")))
+    drawn = cut(placed.select("key", "source", "l", "t", "tokens", sure.cast("long").alias("sure"), F.when(part > 1e-12, u / part).alias("turn")))
     limit = _thresholds(drawn, {s: shares[s] * goal for s in have})
     limits = spark.createDataFrame(list(limit.items()), "source string, turns double")
     mix = drawn.join(F.broadcast(limits), "source")  # one row a source
-    mix = mix.select("key", "source", "tokens", (F.col("sure") + F.when(F.col("turn") <= F.col("turns"), 1).otherwise(0)).alias("copies")).where("copies > 0")
-    return mix.withColumnRenamed("key", key), _report(mix, wanted, shares, have)
+    mix = mix.select("key", "source", "l", "t", "tokens", (F.col("sure") + F.when(F.col("turn") <= F.col("turns"), 1).otherwise(0)).alias("copies")).where("copies > 0")
+    return mix.select(F.col("key").alias(key), "source", "tokens", "copies"), _report(mix, wanted, shares, have), _margins(mix, cells, shares)
+
+
+def _margins(mix: DataFrame, cells: list[tuple[str, str, str, float]], shares: dict[str, float]) -> DataFrame:
+    everything = sum(c[3] for c in cells)
+    goal: dict[tuple[str, str], float] = {("source", s): x for s, x in shares.items()}
+    for k, margin in ((1, "language"), (2, "topic")):
+        for c in cells:
+            goal[margin, c[k]] = goal.get((margin, c[k]), 0.0) + c[3] / everything
+    wanted = mix.sparkSession.createDataFrame([(*k, x) for k, x in goal.items()], "margin string, value string, wanted_share double")
+    each = F.explode(F.array(*(F.struct(F.lit(m).alias("margin"), F.col(c).alias("value")) for m, c in (("source", "source"), ("language", "l"), ("topic", "t"))))).alias("m")
+    got = mix.select(each, (F.col("tokens") * F.col("copies")).alias("n")).groupBy("m.margin", "m.value").agg(F.sum("n").alias("n"))
+    whole = mix.agg(F.sum(F.col("tokens") * F.col("copies")).alias("whole"))
+    out = wanted.join(got, ["margin", "value"], "left").crossJoin(F.broadcast(whole))  # one row
+    return out.select("margin", "value", "wanted_share", F.coalesce(F.col("n") / F.col("whole"), F.lit(0.0)).alias("reached_share"))
 
 
 def _thresholds(drawn: DataFrame, goals: dict[str, float]) -> dict[str, float]:

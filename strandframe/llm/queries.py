@@ -74,7 +74,7 @@ def p8_edited(spark: SparkSession, base: str) -> DataFrame:
     return _leaks(spark, base, least=0.5, rare=False).select("doc_id", "item_id", "run", "score", F.round("share", 4).alias("share"))
 
 
-def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame]:
+def _mix(spark: SparkSession, base: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     docs = table(spark, base, "documents", "doc_id", "text", "source", "lang", "tags")
     lang, topic = F.lower(F.trim("lang")), F.lower(F.trim(F.split("tags", ",")[0]))
     return M.mix_sources(docs, table(spark, base, "mix_targets"), "doc_id", "text", "source", lang, topic)
@@ -88,11 +88,28 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     return _mix(spark, base)[1]
 
 
+def p9_margins(spark: SparkSession, base: str) -> DataFrame:
+    """The shares of sources, languages and topics that were asked for and that were reached."""
+    return _mix(spark, base)[2].select("margin", "value", F.round("wanted_share", 6).alias("wanted_share"), F.round("reached_share", 6).alias("reached_share"))
+
+
+def p9_checks(spark: SparkSession, base: str) -> DataFrame:
+    """What the mix must keep: sources within 1 %, languages and topics within 2 % of their shares, caps, no source without a target."""
+    mix, report, margins = _mix(spark, base)
+    most = {"source": 0.01, "language": 0.02, "topic": 0.02}
+    far = margins.groupBy("margin").agg(F.max(F.abs(F.col("wanted_share") - F.col("reached_share"))).alias("x"))
+    bound = F.create_map(*(F.lit(v) for kv in most.items() for v in kv))
+    far = far.select(F.concat("margin", F.lit("s")).alias("check"), (F.col("x") <= bound[F.col("margin")]).alias("holds"))
+    caps = report.agg(F.count_if(F.col("most_copies") > F.col("max_repeats")).alias("n")).select(F.lit("caps").alias("check"), (F.col("n") == 0).alias("holds"))
+    others = mix.join(report.select("source"), "source", "left_anti").agg(F.count("*").alias("n")).select(F.lit("targets").alias("check"), (F.col("n") == 0).alias("holds"))
+    return far.unionByName(caps).unionByName(others)
+
+
 def p10_found(spark: SparkSession, base: str) -> DataFrame:
     return R.find_residue(table(spark, base, "documents", "doc_id", "text", "source"), "doc_id", "text", "source")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p2_found, p2_bisected, p6_found, p6_counts, p6_bounds, p8_found, p8_edited, p9_mix, p9_shares, p10_found)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_sizes, p2_found, p2_bisected, p6_found, p6_counts, p6_bounds, p8_found, p8_edited, p9_mix, p9_shares, p9_margins, p9_checks, p10_found)}
 
 _SPANS = """WITH s AS (SELECT DISTINCT sid, upper(seq) AS seq FROM sequences WHERE seq IS NOT NULL AND length(seq) >= 100),
 w AS (SELECT sid, i, substr(seq, CAST(i AS INTEGER) + 1, 100) AS t FROM s, LATERAL (SELECT unnest(range(length(s.seq) - 99)) AS i)),
@@ -137,6 +154,7 @@ UNION ALL SELECT 'pos', CAST(pos AS BIGINT) FROM r, n WHERE pos IS NOT NULL GROU
     "p6_bounds": f"""WITH {_COUNTED}
 SELECT 'hash' AS kind, CAST(hash AS BIGINT) AS val, n AS total, true AS holds FROM r, n GROUP BY hash, n HAVING count(*) >= 0.005 * n
 UNION ALL SELECT 'pos', CAST(pos AS BIGINT), n, true FROM r, n WHERE pos IS NOT NULL GROUP BY pos, n HAVING count(*) >= 0.005 * n""",
+    "p9_checks": "SELECT * FROM (VALUES ('sources', true), ('languages', true), ('topics', true), ('caps', true), ('targets', true)) AS t(\"check\", holds)",
     "p8_found": f"""
 WITH d AS (SELECT DISTINCT doc_id, {_words("text")} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT DISTINCT item_id, {_words("text")} AS w FROM eval_items WHERE text IS NOT NULL),
 s AS (SELECT item_id, w, least(12, len(w)) AS n FROM i WHERE len(w) > 0),

@@ -267,6 +267,19 @@ def test_raking_meets_the_sources_and_the_caps():
         assert sum(x * c[3] for x, c in own) == pytest.approx(100.0) and all(0 <= x <= cap + 1e-9 for x, _ in own)
 
 
+@given(st.lists(st.tuples(st.floats(0.01, 5), st.integers(1, 50)), min_size=1, max_size=30), st.floats(0.5, 3), st.floats(0.05, 1))
+@settings(max_examples=200, deadline=None)
+def test_filling_reaches_the_goal_under_the_cap(items, top, part):
+    cells = [("a", "l", "t", float(n)) for _, n in items]
+    w = [x for x, _ in items]
+    goal = part * top * sum(c[3] for c in cells)
+    M._fill(w, list(range(len(w))), cells, goal, top)
+    assert sum(x * c[3] for x, c in zip(w, cells)) == pytest.approx(goal) and all(0 <= x <= top * (1 + 1e-9) for x in w)
+    # the order of the weights stays, so those at the cap are the largest
+    before = [x for x, _ in items]
+    assert all(w[i] <= w[j] + 1e-9 for i in range(len(w)) for j in range(len(w)) if before[i] <= before[j])
+
+
 @pytest.mark.skipif(not os.path.exists(M.TOKENIZER), reason="no vocabulary file here")
 def test_mix(spark):
     rnd = random.Random(6)
@@ -274,15 +287,19 @@ def test_mix(spark):
     docs += [(1000, None, "a", "en", None, 9), (1001, "", "b", "en", "t", 9), docs[0]]
     dd = spark.createDataFrame(docs, "doc_id long, text string, source string, lang string, tags string, tokens int")
     targets = spark.createDataFrame([("a", 1.0, 1), ("b", 1.0, 4), (" C", 2.0, None), ("none", 3.0, 2), (None, 1.0, 1), ("d", 0.0, 1)], "source string, weight double, max_repeats int")
-    mix, report = M.mix_sources(dd, targets, "doc_id", "text", "source", F.col("lang"), F.split("tags", ",")[0])
+    mix, report, margins = M.mix_sources(dd, targets, "doc_id", "text", "source", F.col("lang"), F.split("tags", ",")[0])
     by = {r.source: r for r in report.collect()}
     assert set(by) == {"a", "b", "c", "none"} and by["none"].reached_share == 0 and by["none"].docs == 0
     for s, share in (("a", 0.25), ("b", 0.25), ("c", 0.5)):
         assert abs(by[s].reached_share - share) < 0.01 and by[s].share_of_present == share
     assert by["a"].most_copies <= 1 and by["b"].most_copies <= 4
     assert rows(mix) == rows(M.mix_sources(dd, targets, "doc_id", "text", "source", F.col("lang"), F.split("tags", ",")[0])[0])
-    none, empty = M.mix_sources(dd.where("false"), targets, "doc_id", "text", "source", F.col("lang"), F.lit(None).cast("string"))
-    assert none.count() == 0 and {r.tokens for r in empty.collect()} == {0}
+    none, empty, bare = M.mix_sources(dd.where("false"), targets, "doc_id", "text", "source", F.col("lang"), F.lit(None).cast("string"))
+    assert none.count() == 0 and {r.tokens for r in empty.collect()} == {0} and bare.count() == 0
+    held = {(r.margin, r.value): (r.wanted_share, r.reached_share) for r in margins.collect()}
+    assert {v for m, v in held if m == "source"} == {"a", "b", "c"} and all(abs(w - g) < 0.02 for w, g in held.values())
+    for m in ("source", "language", "topic"):
+        assert sum(w for (k, _), (w, _) in held.items() if k == m) == pytest.approx(1) and sum(g for (k, _), (_, g) in held.items() if k == m) == pytest.approx(1)
 
 
 @pytest.mark.skipif(not os.path.exists(M.TOKENIZER), reason="no vocabulary file here")
