@@ -88,8 +88,9 @@ def chain_ranges(chains: DataFrame, least: int = 3, per_chain: bool = False) ->
 
 
 def query_regions(ranges: DataFrame, tolerance: int = 100_000) -> DataFrame:
-    """(q_sid, sid, orientation, bgn, end_pos, length, n): target regions of each query, merged per orientation."""
-    return merge_regions(ranges, ["q_sid", "sid", "orientation"], tolerance)
+    """(q_sid, sid, orientation, bgn, end_pos, length, n, anchors, q_bgn, q_end): target regions of each query, merged per orientation."""
+    more = (F.sum(F.col("n").cast("long")).alias("anchors"), F.min("q_bgn").alias("q_bgn"), F.max("q_end").alias("q_end"))
+    return merge_regions(ranges, ["q_sid", "sid", "orientation"], tolerance, *more)
 
 
 def hit_summary(ranges: DataFrame) -> DataFrame:

@@ -50,14 +50,17 @@ def joined_names(df: DataFrame, by: list[str], name: str, out: str = "names") ->
     return df.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_set(name)), "/").alias(out))
 
 
-def merge_regions(df: DataFrame, by: list[str], tolerance: int) -> DataFrame:
-    """(by, bgn, end_pos, length, n): regions whose gap to the furthest end before them is below ``tolerance`` are one."""
+def merge_regions(df: DataFrame, by: list[str], tolerance: int, *more: Column) -> DataFrame:
+    """(by, bgn, end_pos, length, n, more): regions whose gap to the furthest end before them is below ``tolerance`` are one.
+
+    ``more`` are further aggregates over the merged rows.
+    """
     w = Window.partitionBy(*by).orderBy("bgn", "end_pos")
     reach = F.max("end_pos").over(w.rowsBetween(Window.unboundedPreceding, -1))
     fresh = F.when(reach.isNull() | (F.col("bgn") - reach >= tolerance), 1).otherwise(0)
     island = df.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = island.groupBy(*by, "island").agg(F.min("bgn").alias("bgn"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n"))
-    return out.select(*by, "bgn", "end_pos", (F.col("end_pos") - F.col("bgn")).alias("length"), "n")
+    out = island.groupBy(*by, "island").agg(F.min("bgn").alias("bgn"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n"), *more)
+    return out.drop("island").withColumn("length", F.col("end_pos") - F.col("bgn"))
 
 
 def merge_regions_summed(df: DataFrame, by: list[str], tolerance: int) -> DataFrame:

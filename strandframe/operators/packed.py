@@ -125,6 +125,32 @@ def _plain_segment(text: str) -> list[tuple[str | None, int, str]]:
     return out
 
 
+_LITERAL = '"(?:[^"]|"")*+"'
+_FIELDS, _VALUES = re.compile(f"(?:{_LITERAL}|[^;])+"), re.compile(f"(?:{_LITERAL}|[^,|])+")
+
+
+def quoted_segment(text: str | None) -> list[tuple[str | None, int, str]]:
+    """As ``segment`` without a dictionary: only quotes protect, so two expressions find the fields and their values."""
+    if not text:
+        return []
+    if '"' not in text:
+        return _plain_segment(text)
+    out, tag, seen = [], None, {}
+    for field in _FIELDS.findall(text):
+        lead = field[0] not in VALUE_END
+        for value in _VALUES.findall(field) if "," in field or "|" in field else (field,):
+            if lead:
+                own, rest = _tag_of(value)
+                if own is not None:
+                    tag, value = own, rest
+                lead = False
+            value = _value(value)
+            if value:
+                seen[tag] = seen.get(tag, 0) + 1
+                out.append((tag, seen[tag], value))
+    return out
+
+
 def segment(text: str | None, marks, bare: bool = True) -> list[tuple[str | None, int, str]]:
     """(tag, position, value) for each non-empty value, in order. Values before any tag have a null tag.
 

@@ -17,11 +17,10 @@ def _feature_ids(records: DataFrame) -> DataFrame:
     """(node, id, parents) of each delivered row, from its packed attributes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        marks = P.automaton([], False)
         for batch in batches:
             ids, parents = [], []
             for text in batch.column(1).to_pylist():
-                values = P.segment(text, marks, False)
+                values = P.quoted_segment(text)
                 ids.append(next((v.strip() for t, _, v in values if t == "ID"), None))
                 parents.append([v.strip() for t, _, v in values if t == "Parent"])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.string()), pa.array(parents, pa.list_(pa.string()))], ["node", "id", "parents"])

@@ -117,6 +117,23 @@ class Pangenome:
         """Target regions of each query; ``how`` goes to ``chains``."""
         return H.query_regions(H.chain_ranges(self.chains(queries, **how), per_chain=per_chain), tolerance)
 
+    def hit_table(self, queries: DataFrame, tolerance: int = 100_000, **how) -> DataFrame:
+        """The table of target regions of queries (sid, name, seq), in the twelve columns of hit files.
+
+        Positions of the query are those of the first and last anchor of a region; regions are named after the target.
+        """
+        found = self.query(queries, tolerance, **how)
+        asked = queries.select(F.col("sid").alias("q_sid"), F.col("name").alias("q_ctg_name"), F.length("seq").alias("q_ctg_len"))
+        met = found.join(asked, "q_sid").join(self.catalog.select("sid", F.col("name").alias("ctg"), F.coalesce("source", F.lit("N/A")).alias("src")), "sid")
+        region = dna.region_name(dna.file_stem("src"), F.col("ctg"), F.col("bgn").cast("string"), F.col("end_pos").cast("string"), F.col("orientation").cast("string"))
+        return met.select(F.col("q_sid").alias("idx"), "q_ctg_name", F.col("q_bgn").alias("q_ctg_bgn"), F.col("q_end").alias("q_ctg_end"), "q_ctg_len", F.col("anchors").alias("aln_anchor_count"), "src", "ctg", F.col("bgn").alias("ctg_bgn"), F.col("end_pos").alias("ctg_end"), "orientation", region.alias("ctg_name"))
+
+    def hit_sequences(self, hits: DataFrame) -> DataFrame:
+        """(name, seq): the bases of the regions in a hit table, reverse complemented where they lie backward."""
+        met = hits.join(self.sequences.select(F.coalesce("source", F.lit("N/A")).alias("src"), F.col("name").alias("ctg"), "seq"), ["src", "ctg"])
+        part = dna.subsequence("seq", "ctg_bgn", "ctg_end")
+        return met.select(F.col("ctg_name").alias("name"), F.when(F.col("orientation") == 1, dna.reverse_complement(part)).otherwise(part).alias("seq"))
+
     def map_positions(self, queries: DataFrame, positions: DataFrame, **how) -> DataFrame:
         """(q_sid, sid, pos, left_bgn, right_end): the anchors around positions (q_sid, pos), per target of the best chain."""
         anchors = self.chains(queries, **how).where("chain = 0").select("q_sid", "sid", "q_bgn", "q_end")
@@ -149,6 +166,20 @@ class Pangenome:
                 links = links.join(known.toDF(f"{p}_h0", f"{p}_h1"), [f"{p}_h0", f"{p}_h1"], "left_semi")
         W.gfa(P.segments(self.pairs, self.spec.k), links, self.spec.k, path, None if bundles is None else B.vertex_map(bundles))
 
+    def write_map_index(self, path: str) -> None:
+        s = self.spec
+        W.map_index(self.pairs, self.catalog, (s.w, s.k, s.r, s.min_span, s.sketch), path)
+
+    def write_midx(self, path: str) -> None:
+        W.midx(self.catalog, path)
+
+    def bundle_bed(self, bundles: DataFrame, min_length: int = 2500, merge_distance: int = 10_000) -> DataFrame:
+        """(ctg, bgn, end_pos, bundle_id, size, dir, v_bgn, v_end, flag): the stretches of the bundles along the sequences."""
+        runs = B.bundle_runs(self.decomposition(bundles), min_length, merge_distance)
+        size = bundles.groupBy("bundle_id").agg(F.count("*").alias("size"))
+        named = runs.join(size, "bundle_id").join(self.catalog.select("sid", F.col("name").alias("ctg")), "sid")
+        return B.repeat_flags(named, "ctg", "bundle_id").select("ctg", "bgn", "end_pos", "bundle_id", "size", "dir", "v_bgn", "v_end", "flag")
+
     def consensus(self, groups: DataFrame, by: str, method: str = "sparse", min_cov: int = 2) -> DataFrame:
         """Consensus of groups of this collection's sequences: groups has (by, sid)."""
         return K.consensus(groups.join(self.sequences.select("sid", "seq"), "sid"), by, method, min_cov)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandframe.functions import dna
-from strandframe.operators import bundles as B, overlap as V, pairs as P
+from strandframe.operators import bundles as B, chains as H, overlap as V, pairs as P
 from strandframe.plans import catalog as C
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -346,6 +346,56 @@ def bundle_runs(spark, base):
     return B.bundle_runs(placed, 50, 100)
 
 
+# the annotated stretches stand in for the ranges of chains: query = bundle, target = contig, orientation = direction
+
+_RANGES = f"{_BED}, rg AS (SELECT b_id AS q_sid, ctg AS sid, b_direction AS orientation, bed_id AS chain, b_size AS n, bgn, end_pos, least(b_bgn, b_end) AS q_bgn, greatest(b_bgn, b_end) AS q_end FROM bed WHERE b_id IS NOT NULL)"
+
+
+def _ranges(spark, base):
+    bed = C.stretches(spark, base).where("b_id IS NOT NULL")
+    return bed.select(F.col("b_id").alias("q_sid"), F.col("ctg").alias("sid"), F.col("b_direction").alias("orientation"), F.col("bed_id").alias("chain"), F.col("b_size").alias("n"), "bgn", "end_pos", F.least("b_bgn", "b_end").alias("q_bgn"), F.greatest("b_bgn", "b_end").alias("q_end"))
+
+
+@query(f"WITH {_RANGES}, r AS (SELECT *, max(end_pos) OVER (PARTITION BY q_sid, sid, orientation ORDER BY bgn, end_pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM rg), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR bgn - reach >= 200 THEN 1 ELSE 0 END) OVER (PARTITION BY q_sid, sid, orientation ORDER BY bgn, end_pos ROWS UNBOUNDED PRECEDING) AS i FROM r) SELECT q_sid, sid, orientation, min(bgn) AS bgn, max(end_pos) AS end_pos, max(end_pos) - min(bgn) AS length, count(*) AS n, CAST(sum(n) AS BIGINT) AS anchors, min(q_bgn) AS q_bgn, max(q_end) AS q_end FROM g GROUP BY q_sid, sid, orientation, i".replace("count(*) AS n, CAST(sum(n)", "count(*) AS n, CAST(sum(g.n)"))
+def hit_regions(spark, base):
+    return H.query_regions(_ranges(spark, base), 200)
+
+
+@query(f"WITH {_RANGES}, s AS (SELECT q_sid, sid, min(q_bgn) AS q_bgn, max(q_end) AS q_end, min(bgn) AS bgn, max(end_pos) AS end_pos, CAST(sum(n) AS BIGINT) AS n_hits, max(orientation) AS reversed FROM rg GROUP BY q_sid, sid) SELECT * FROM s WHERE n_hits > 10 AND end_pos - bgn > 0.6 * (q_end - q_bgn)")
+def hit_strong(spark, base):
+    return H.strong_hits(H.hit_summary(_ranges(spark, base)), 10, 0.6)
+
+
+@query(f"WITH {_RANGES} SELECT q_sid, sid, q_bgn, q_end FROM (SELECT sid AS q_sid, q_sid AS sid, bgn AS q_bgn, end_pos AS q_end, row_number() OVER (PARTITION BY sid ORDER BY end_pos - bgn DESC, q_sid, bgn) AS k FROM rg) WHERE k = 1")
+def hit_largest(spark, base):
+    r = _ranges(spark, base)
+    return H.largest_block(r.select(F.col("sid").alias("q_sid"), F.col("q_sid").alias("sid"), F.col("bgn").alias("q_bgn"), F.col("end_pos").alias("q_end")))
+
+
+# pairs stand in for the vertices of bundles: a hundred bundles by the first hash
+
+_GIVEN = f"{_PAIRS}, given AS (SELECT DISTINCT CAST(h0 % 100 AS BIGINT) AS bundle_id, CAST(h1 % 1000 AS BIGINT) AS pos, h0, h1, CAST((h0 + h1) % 2 AS INTEGER) AS ori FROM pairs WHERE h0 % 3 = 0)"
+_PLACED = f"{_GIVEN}, placed AS (SELECT sid, ord, bgn, end_pos, orientation, p.h0, p.h1, bundle_id, ori AS direction, pos FROM pairs p LEFT JOIN given g ON p.h0 = g.h0 AND p.h1 = g.h1)"
+
+
+def _given(spark, base):
+    pairs = C.pairs(spark, base)
+    h0, h1 = F.col("h0"), F.col("h1")
+    return pairs, pairs.where("h0 % 3 = 0").select((h0 % 100).alias("bundle_id"), (h1 % 1000).alias("pos"), "h0", "h1", ((h0 % 2 + h1 % 2) % 2).cast("int").alias("ori")).distinct()
+
+
+@query(f"WITH {_PLACED} SELECT * FROM placed")
+def decomposition_given(spark, base):
+    pairs, bundles = _given(spark, base)
+    return B.decompose(pairs, B.vertex_map(bundles))
+
+
+@query(f"WITH {_PLACED}, f AS (SELECT bundle_id, sid, min(ord) AS o, sum(CAST(direction <> orientation AS INTEGER)) AS d, count(*) AS n FROM placed WHERE bundle_id IS NOT NULL GROUP BY bundle_id, sid) SELECT bundle_id, CAST(floor(avg(o)) AS BIGINT) AS mean_order, CAST(NOT (sum(d) < sum(n) // 2) AS INTEGER) AS turned FROM f GROUP BY bundle_id")
+def bundle_votes_given(spark, base):
+    pairs, bundles = _given(spark, base)
+    return B.bundle_votes(B.decompose(pairs, B.vertex_map(bundles)))
+
+
 @query(f"WITH {_BED}, t AS (SELECT ctg, b_id, sum(end_pos - bgn) AS total FROM bed WHERE b_id IS NOT NULL GROUP BY ctg, b_id) SELECT ctg AS q_sid, arg_max(b_id, total * 1000000 - b_id) AS sid, CAST(max(total) AS BIGINT) AS total FROM t GROUP BY ctg")
 def best_target(spark, base):
     from strandframe.operators.chains import best_target as best

@@ -25,6 +25,8 @@ def test_fasta_and_fastq(spark, tmp_path):
     assert (R.sniff(spark, str(fa)), R.sniff(spark, str(fq))) == ("fasta", "fastq")
     both = R.sequences(spark, [str(fa), str(fq)], 5)
     assert sorted(r.sid for r in both.collect()) == [5, 6, 7, 8, 9, 10]
+    (tmp_path / "twice.fa").write_text(">a\nAC\n>a\nGT\n>a\nAC\n")
+    assert [(r[0], *r[1:3]) for r in rows(R.sequences(spark, [str(tmp_path / "twice.fa")]))] == [(i, "a", "twice") for i in range(3)]
     out = tmp_path / "out"
     W.fasta(spark.createDataFrame([("n", "ACGG", 1), ("m", "AC", 0)], "name string, seq string, o int"), str(out), turned="o")
     assert rows(R.fasta(spark, str(out)), "name", "seq") == [("m", "AC"), ("n", "CCGT")]
@@ -79,6 +81,35 @@ def test_collection(spark, tmp_path):
     assert spark.sql("SELECT sid, m.* FROM seqs, LATERAL shimmer_marks(seq, 20, 15, 1, 4, true) m").count() == p.marks.count()
 
 
+def test_command_line(spark, tmp_path):
+    import random
+
+    from strandframe import __main__ as cli
+
+    rnd = random.Random(2)
+    base = "".join(rnd.choice("ACGT") for _ in range(4000))
+    (tmp_path / "a.fa").write_text(f">x\n{base}\n>x\n{base[:2500]}\n>y\n{base[500:]}\n>z\n{base[::-1]}\n")
+    (tmp_path / "q.fa").write_text(f">q\n{base[1000:2000]}\n")
+    (tmp_path / "r.txt").write_text("part\ta\ty\t0\t20\t1\n")
+    (tmp_path / "names").write_text("x\ny\n")
+    at = lambda n: str(tmp_path / n)
+    cli.run(spark, ["build-index", at("store"), at("a.fa"), "--k", "24", "--r", "1", "--min-span", "8"])
+    cli.run(spark, ["list", at("store"), at("list")])
+    listed = rows(spark.read.option("sep", "\t").csv(at("list")))
+    assert [(r[1], r[2], r[3]) for r in listed] == [("a", "x", "2500"), ("a", "x", "4000"), ("a", "y", "3500"), ("a", "z", "4000")] or sorted(r[3] for r in listed) == ["2500", "3500", "4000", "4000"]
+    assert len({r[0] for r in listed}) == 4
+    cli.run(spark, ["fetch", at("store"), at("r.txt"), at("fetched")])
+    assert rows(R.fasta(spark, at("fetched")), "name", "seq") == [("part", base[500:520].translate(str.maketrans("ACGT", "TGCA"))[::-1])]
+    cli.run(spark, ["query", at("store"), at("q.fa"), at("hits"), "--merge", "100"])
+    hits = spark.read.option("sep", "\t").option("header", True).csv(at("hits.hit"))
+    assert len(hits.columns) == 12 and rows(hits.select("ctg").distinct()) == [("x",), ("y",)]
+    got = {r.name: r.seq for r in R.fasta(spark, at("hits.fa")).collect()}
+    assert got and all(s in base for s in got.values()) and any(len(s) > 700 for s in got.values())
+    cli.run(spark, ["decompose", at("store"), at("out"), "--include", at("names"), "--min-branch", "2", "--min-length", "100"])
+    assert {r.ctg for r in R.bundle_bed(spark, at("out.bed")).collect()} == {"x", "y"}
+    assert R.gfa_links(spark, at("out.gfa")).count() > 0
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     spec = ShimmerSpec(20, 15, 1, 4, True)

@@ -124,13 +124,14 @@ value = st.one_of(st.from_regex(r"[a-c:]{0,4}", fullmatch=True), st.from_regex(r
 def test_segments_match_a_letter_by_letter_scan(fields, known):
     text = ";".join((t if t != "N " or (v and v[0][:1] == '"') else "N=") + sep.join(v) for t, v, sep in fields)
     marks = P.automaton(["a;b", "x ,y", "a"] if known else [], False)
-    assert P.segment(text, marks) == slow_segments(text) == P.segment(text, marks, False)
+    assert P.segment(text, marks) == slow_segments(text) == P.segment(text, marks, False) == P.quoted_segment(text)
 
 
-@given(st.text("ab =;,|", max_size=20))
-@settings(max_examples=300, deadline=None)
-def test_texts_without_quotes_are_only_split(text):
-    assert P.segment(text, P.automaton(["a;b"], False), False) == P.segment(text, P.automaton([], False))
+@given(st.text("ab =;,|", max_size=20), st.text('ab =;,|"', max_size=20))
+@settings(max_examples=500, deadline=None)
+def test_texts_without_a_dictionary_are_split_by_quotes_alone(plain, text):
+    assert P.segment(plain, P.automaton(["a;b"], False), False) == P.segment(plain, P.automaton([], False)) == P.quoted_segment(plain)
+    assert P.quoted_segment(text) == P.segment(text, P.automaton([], False))
 
 
 def test_held_out_values_without_their_quotes(spark):
