@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from strandframe.operators import align as A, bundles as B, chains as H, consensus as K, graph as G, pairs as P, variants as X
 from strandframe.operators.shimmers import ShimmerSpec, shimmer_pairs as make_pairs, shimmers
 from strandframe.plans import catalog as C
-from strandframe.session import cut
+from strandframe.session import cut, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,9 +43,8 @@ def query(fn):
     return fn
 
 
-def _pairs(spark, base, asked: bool = False) -> DataFrame:
-    seqs = C.sequences(spark, base).select("sid", "seq")
-    return make_pairs(seqs.where("sid % 50 = 0") if asked else seqs, SKETCH, query=asked)
+def _pairs(spark, base) -> DataFrame:
+    return make_pairs(C.sequences(spark, base).select("sid", "seq"), SKETCH)
 
 
 @query
@@ -64,7 +63,10 @@ def sketch_pair_sources(spark, base):
 
 
 def _chains(spark, base) -> DataFrame:
-    return H.sparse_chains(P.suppressed_hits(_pairs(spark, base, True), _pairs(spark, base)))
+    index = stored(_pairs(spark, base))  # the bases are read once; what follows reads pairs
+    # as a query a pair of equal hashes has orientation 1
+    asked = index.where("sid % 50 = 0").withColumn("orientation", F.when(F.col("h0") == F.col("h1"), 1).otherwise(F.col("orientation")))
+    return H.sparse_chains(P.suppressed_hits(asked, index))
 
 
 @query
@@ -151,8 +153,10 @@ def bundle_offset(spark, base):
 
 
 def _records(spark, base) -> tuple[DataFrame, DataFrame]:
-    seqs = C.sequences(spark, base).select("sid", "seq")
-    reference, contigs = seqs.where("sid % 50 = 0"), seqs.where("sid % 50 <> 0")
+    families = stored(_families(spark, base).select("sid", "seq", "family"))
+    first = families.groupBy("family").agg(F.min("sid").alias("sid")).select("sid", F.lit(True).alias("first"))
+    marked = stored(families.join(first, "sid", "left").select("sid", "seq", "first"))
+    reference, contigs = marked.where("first").drop("first"), marked.where("first IS NULL").drop("first")
     spec = ShimmerSpec(32, 24, 1, 8, True)
     chains = X.unique_chains(make_pairs(contigs, spec, query=True), make_pairs(reference, spec), max_gap=5000)
     segments = cut(X.blocks(chains, spec.k))
@@ -161,7 +165,7 @@ def _records(spark, base) -> tuple[DataFrame, DataFrame]:
 
 @query
 def sv_candidates(spark, base):
-    """Records of all contigs against the reference set (ids divisible by 50), tagged with duplicate and overlapping blocks."""
+    """Records of all contigs against the first sequence of each family, tagged with duplicate and overlapping blocks."""
     return X.tagged_records(*_records(spark, base))
 
 
