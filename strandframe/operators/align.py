@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
 _OPS = StructType([StructField("op", StringType()), StructField("bgn", IntegerType()), StructField("end", IntegerType()), StructField("letter", StringType())])
 
@@ -235,6 +235,25 @@ def delta_decode(base: str, ops: list[tuple[str, int, int, str]]) -> str:
     return "".join(base[a:b] if o == "M" else c for o, a, b, c in ops)
 
 
+def projected(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """(keep, t_at, same): the place in t_seq that is aligned with place ``at`` of q_seq, and whether both letters are equal.
+
+    Null where the letter has no partner, or the sequences differ in more than 32 and a tenth of the shorter one.
+    """
+    form = StructType([*(pairs.schema[k] for k in keep), StructField("t_at", IntegerType()), StructField("same", BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            places, same = [], []
+            for t, q, at in zip(*(b.column(c).to_pylist() for c in range(3))):
+                got = None if t is None or q is None else edit_map(t, q, 32 + min(len(t), len(q)) // 10)
+                found = next(((i, o == "M") for i, j, o in got or () if j == at and o in "MX"), (None, None))
+                places.append(found[0]), same.append(found[1])
+            yield pa.RecordBatch.from_arrays([*b.columns[3:], pa.array(places, pa.int32()), pa.array(same, pa.bool_())], [*keep, "t_at", "same"])
+
+    return pairs.select("t_seq", "q_seq", "at", *keep).mapInArrow(run, form)
+
+
 def delta_coded(pairs: DataFrame, base: str, other: str, keep: list[str]) -> DataFrame:
     """(keep, coded, raw): ``other`` as operations on ``base``; where they differ too much it is kept as it is, in ``raw``."""
     form = StructType([*(pairs.schema[k] for k in keep), StructField("coded", ArrayType(_OPS)), StructField("raw", StringType())])

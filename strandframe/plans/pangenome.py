@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import strandframe
 from strandframe.functions import dna
-from strandframe.operators import bundles as B, chains as H, consensus as K, graph as G, overlap as V, pairs as P
+from strandframe.operators import align as A, bundles as B, chains as H, consensus as K, graph as G, overlap as V, pairs as P
 from strandframe.operators.shimmers import ShimmerSpec, shimmer_pairs, shimmers
-from strandframe.session import cut
+from strandframe.session import cut, stored
 from strandframe.sources import readers as R, writers as W
 
 
@@ -140,6 +140,28 @@ class Pangenome:
         asked = positions.join(anchors.select("q_sid", "sid").distinct(), "q_sid")
         return V.brackets(asked, anchors, ["q_sid", "sid"])
 
+    def map_bases(self, queries: DataFrame, positions: DataFrame, **how) -> DataFrame:
+        """(q_sid, sid, pos, t_pos, orientation, same): the base of each target that is aligned with a base of a query.
+
+        ``queries`` has (sid, seq), ``positions`` (q_sid, pos). Of the best chain of each target the anchors around a position are
+        taken, and what lies between them is aligned; positions without anchors on both sides, in one orientation, have no row.
+        """
+        by = ["q_sid", "sid"]
+        anchors = stored(self.chains(queries, **how).where("chain = 0").select(*by, "q_bgn", "q_end", "bgn", "end_pos", (F.col("q_orientation") != F.col("orientation")).cast("int").alias("orientation")))
+        around = V.brackets(positions.join(anchors.select(*by).distinct(), "q_sid"), anchors, by)
+        side = lambda end, name: anchors.groupBy(*by, F.col(end).alias(name)).agg(F.min(F.struct("bgn", "end_pos", "orientation")).alias(f"{name}_at"))
+        met = around.join(side("q_bgn", "left_bgn"), [*by, "left_bgn"]).join(side("q_end", "right_end"), [*by, "right_end"])
+        met = met.where("left_bgn_at.orientation = right_end_at.orientation").withColumn("orientation", F.col("left_bgn_at.orientation"))
+        turned = F.col("orientation") == 1
+        # places are ends of k-mers; on the other strand the same bases end where the k-mer begins
+        k = self.spec.k
+        met = met.withColumn("t_bgn", F.when(turned, F.col("right_end_at.bgn") - k).otherwise(F.col("left_bgn_at.bgn"))).withColumn("t_end", F.when(turned, F.col("left_bgn_at.end_pos") - k).otherwise(F.col("right_end_at.end_pos"))).where("t_bgn >= 0 AND t_bgn < t_end")
+        met = met.join(self.sequences.select("sid", F.col("seq").alias("t_all")), "sid").join(queries.select(F.col("sid").alias("q_sid"), F.col("seq").alias("q_all")), "q_sid")
+        part = F.upper(dna.subsequence("t_all", "t_bgn", "t_end"))
+        rows = met.select(*by, "pos", "orientation", "t_bgn", "t_end", F.when(turned, dna.reverse_complement(part)).otherwise(part).alias("t_seq"), F.upper(F.expr("substring(q_all, left_bgn + 1, right_end - left_bgn)")).alias("q_seq"), (F.col("pos") - F.col("left_bgn")).cast("int").alias("at"))
+        found = A.projected(rows, [*by, "pos", "orientation", "t_bgn", "t_end"])
+        return found.select(*by, "pos", F.when(turned, F.col("t_end") - 1 - F.col("t_at")).otherwise(F.col("t_bgn") + F.col("t_at")).alias("t_pos"), "orientation", "same")
+
     # -------------------------------------------------- graph and bundles
 
     def adjacency(self, least: int = 0, keeps: list[int] | None = None) -> DataFrame:

@@ -81,6 +81,21 @@ def test_collection(spark, tmp_path):
     assert spark.sql("SELECT sid, m.* FROM seqs, LATERAL shimmer_marks(seq, 20, 15, 1, 4, true) m").count() == p.marks.count()
 
 
+def test_bases_are_mapped_on_both_strands(spark):
+    import random
+
+    rnd = random.Random(4)
+    base = "".join(rnd.choice("ACGT") for _ in range(3000))
+    other = base[:800] + "ACG" + base[800:1500] + base[1502:]
+    back = other.translate(str.maketrans("ACGT", "TGCA"))[::-1]
+    p = Pangenome.from_list(spark, [("other", other), ("back", back)], spec=ShimmerSpec(20, 15, 1, 4, True))
+    q = spark.createDataFrame([(9, base)], "sid int, seq string")
+    asked = [100, 790, 900, 1400, 1600, 2500]
+    got = p.map_bases(q, spark.createDataFrame([(9, x) for x in asked], "q_sid int, pos int")).collect()
+    place = lambda x: x + (3 if x >= 800 else 0) - (2 if x >= 1502 else 0)
+    assert {(r.sid, r.pos): (r.t_pos, r.orientation, r.same) for r in got} == {(s, x): (place(x) if s == 0 else len(other) - 1 - place(x), s, True) for s in (0, 1) for x in asked}
+
+
 def test_command_line(spark, tmp_path):
     import random
 
