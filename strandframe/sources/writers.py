@@ -112,6 +112,56 @@ def alnmap_lines(records: DataFrame, ends: DataFrame) -> DataFrame:
     return inner.union(outer)
 
 
+def dendrogram_lines(names: list[str], merges: list[tuple[int, int, float, int]]) -> list[str]:
+    """The lines of a drawn tree of drawing size: its leaves L in the order of the tree, its inner nodes I, and the place P of each.
+
+    ``merges`` are those of ``average_linkage``: (left, right, height, size), inner nodes counted on from the leaves. Leaves lie side by
+    side, an inner node at the mean place of its leaves.
+    """
+    n = len(names)
+    below: list[list[int]] = [[i] for i in range(n)]
+    for left, right, _, _ in merges:
+        below.append(below[left] + below[right])
+    order = below[-1] if merges else list(range(n))
+    place = {leaf: float(i) for i, leaf in enumerate(order)}
+    lines = [f"L\t{leaf}\t{names[leaf]}" for leaf in order]
+    lines += [f"I\t{n + i}\t{left}\t{right}\t{size}\t{height}" for i, (left, right, height, size) in enumerate(merges)]
+    height = [0.0] * n + [h for _, _, h, _ in merges]
+    return lines + [f"P\t{i}\t{sum(place[x] for x in own) / len(own)}\t{height[i]}\t{len(own)}" for i, own in enumerate(below)]
+
+
+def bundle_order(ordered: DataFrame, path: str) -> None:
+    """Contigs with their vectors of counts, as ``bundle_count_order`` gives them."""
+    tsv(ordered.sort("ord").select("ctg", F.array_join(F.col("counts").cast("array<string>"), ",").alias("counts")), path)
+
+
+def offsets(shifts: DataFrame, path: str) -> None:
+    """Contigs with their offsets; 0 where nothing aligns."""
+    tsv(shifts.select("ctg", F.coalesce("offset", F.lit(0)).alias("offset")), path)
+
+
+def contig_map_lines(ends: DataFrame) -> DataFrame:
+    """(value): a row of each block: its place on the target, and place, length, orientations and tags on the query.
+
+    ``ends`` has t_name, ts, te, q_name, qs, qe, q_len, orientation, ctg_orientation, t_dup, t_ovlp, q_dup and q_ovlp.
+    """
+    info = F.concat_ws(":", *(F.col(c).cast("string") for c in ("q_name", "qs", "qe", "q_len", "orientation", "ctg_orientation", "t_dup", "t_ovlp", "q_dup", "q_ovlp")))
+    return ends.select(F.concat_ws("\t", "t_name", F.col("ts").cast("string"), F.col("te").cast("string"), info).alias("value"))
+
+
+def tile_lines(tiles: DataFrame, side: str, target: str = "t_name") -> DataFrame:
+    """(value): gaps, overlaps and duplicates along the targets (``side`` T) or the queries (Q), as ``tiling`` gives them."""
+    note = F.concat_ws(":", F.concat(F.lit(side), "kind"), F.coalesce(F.col("block_id").cast("string"), F.lit("END")))
+    return tiles.select(F.concat_ws("\t", F.col(target).cast("string"), F.col("bgn").cast("string"), F.col("end_pos").cast("string"), note).alias("value"))
+
+
+def lengths_json(catalog: DataFrame, path: str) -> None:
+    """Lengths as one JSON list of [sid, name, length]; a catalog of contigs, without bases."""
+    entry = F.concat(F.lit("["), F.col("sid").cast("string"), F.lit(","), F.to_json(F.array("name")).substr(F.lit(2), F.length(F.to_json(F.array("name"))) - 2), F.lit(","), F.col("len").cast("string"), F.lit("]"))
+    all_ = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("sid", entry.alias("e")))), lambda x: x["e"]), ",")
+    catalog.agg(F.concat(F.lit("["), all_, F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+
+
 def plot_layout(runs: DataFrame, scale: float = 0.01) -> DataFrame:
     """(ctg, x, width, hue_a, hue_b, dir): the boxes of a plot of stretches; drawing them is left to any renderer."""
     from strandframe.functions.dna import hue

@@ -5,6 +5,7 @@ from __future__ import annotations
 import gzip
 import struct
 
+import pytest
 from helpers import rows
 from pyspark.sql import functions as F
 
@@ -81,6 +82,28 @@ def test_collection(spark, tmp_path):
     assert spark.sql("SELECT sid, m.* FROM seqs, LATERAL shimmer_marks(seq, 20, 15, 1, 4, true) m").count() == p.marks.count()
 
 
+def test_trees_maps_and_lengths(spark, tmp_path):
+    import json
+
+    from strandframe.operators.bundles import average_linkage
+    from strandframe.operators.overlap import tiling
+
+    merges, _ = average_linkage(["a", "b", "c"], {("a", "b"): 0.5, ("a", "c"): 0.2, ("b", "c"): 0.9})
+    (tmp_path / "t.ddg").write_text("\n".join(W.dendrogram_lines(["a", "b", "c"], merges)) + "\n")
+    tree = R.dendrogram(spark, str(tmp_path / "t.ddg"))
+    assert rows(tree.where("kind = 'I'"), "node", "left", "right", "size", "height") == [(3, 0, 2, 2, 0.2), (4, *sorted((1, 3)), 3, pytest.approx(0.7))]
+    places = {r.node: r.x for r in tree.where("kind = 'P'").collect()}
+    assert sorted(places[i] for i in range(3)) == [0, 1, 2] and places[4] == 1.0 and places[3] == (places[0] + places[2]) / 2
+    assert {r.name for r in tree.where("kind = 'L'").collect()} == {"a", "b", "c"}
+    cat = spark.createDataFrame([(1, 'x"y', 5), (0, "z", 7)], "sid int, name string, len int")
+    W.lengths_json(cat, str(tmp_path / "len"))
+    assert json.loads("".join(r.value for r in spark.read.text(str(tmp_path / "len")).collect())) == [[0, "z", 7], [1, 'x"y', 5]]
+    e = spark.createDataFrame([("t", 1, 5, "q", 2, 6, 9, 0, 1, False, True, False, False)], "t_name string, ts int, te int, q_name string, qs int, qe int, q_len int, orientation int, ctg_orientation int, t_dup boolean, t_ovlp boolean, q_dup boolean, q_ovlp boolean")
+    assert W.contig_map_lines(e).first().value == "t\t1\t5\tq:2:6:9:0:1:false:true:false:false"
+    tiles = tiling(spark.createDataFrame([("t", 3, 9, 7)], "t_name string, ts int, te int, block_id int"), lengths=spark.createDataFrame([("t", 12)], "t_name string, len int"))
+    assert rows(W.tile_lines(tiles, "T")) == [("t\t0\t3\tTG:7",), ("t\t9\t12\tTG:END",)]
+
+
 def test_bases_are_mapped_on_both_strands(spark):
     import random
 
