@@ -134,11 +134,12 @@ def _filler(messages: DataFrame, shelf: Shelf) -> DataFrame:
 
     ``messages`` has (key, nth, form) and whether the document has a seed word (seeded). All words of all documents are counted.
     """
-    word = F.explode(F.split(F.translate("form", ".,:;!?", ""), " ")).alias("word")
-    seen = messages.select("seeded", word).groupBy("word").agg(F.count("*").alias("n"), F.count_if("seeded").alias("s"))
-    learned = seen.where((F.col("n") >= COMPANY_LEAST) & (F.col("s") >= COMPANY * F.col("n"))).where("length(word) > 1 AND word rlike '^[a-zà-ÿ]+$'").select("word")
-    standard = messages.sparkSession.createDataFrame([(w,) for w in sorted(STANDARD | TYPED)], "word string")
-    lexicon = shelf.put(learned.unionByName(standard).distinct())
+    word = F.explode(F.split("form", " ")).alias("word")
+    # marks beside the words are taken off where each word is one row, not where it stands
+    vocabulary = shelf.put(messages.select("seeded", word).groupBy("word").agg(F.count("*").alias("n"), F.count_if("seeded").alias("s")).withColumn("bare", F.btrim("word", F.lit(".,:;!?"))))
+    learned = vocabulary.groupBy("bare").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).where((F.col("n") >= COMPANY_LEAST) & (F.col("s") >= COMPANY * F.col("n"))).where("length(bare) > 1 AND bare rlike '^[a-zà-ÿ]+$'").select("bare")
+    standard = messages.sparkSession.createDataFrame([(w,) for w in sorted(STANDARD | TYPED)], "bare string")
+    lexicon = shelf.put(vocabulary.join(learned.unionByName(standard).distinct(), "bare", "left_semi").select("word"))
     words = F.length("form") - F.length(F.replace("form", F.lit(" "), F.lit(""))) + 1
     met = messages.select("key", "nth", "form", words.alias("words")).select("key", "nth", "words", word).join(lexicon, "word").groupBy("key", "nth", "words").agg(F.count("*").alias("n"))
     return met.where((F.col("words") >= FILLER_WORDS) & (F.col("n") >= FILLER_SHARE * F.col("words"))).select("key", "nth")
