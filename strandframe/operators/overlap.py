@@ -60,7 +60,8 @@ def merge_regions(df: DataFrame, by: list[str], tolerance: int, *more: Column) -
     fresh = F.when(reach.isNull() | (F.col("bgn") - reach >= tolerance), 1).otherwise(0)
     island = df.withColumn("fresh", fresh).withColumn("island", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     out = island.groupBy(*by, "island").agg(F.min("bgn").alias("bgn"), F.max("end_pos").alias("end_pos"), F.count("*").alias("n"), *more)
-    return out.drop("island").withColumn("length", F.col("end_pos") - F.col("bgn"))
+    rest = out.columns[len(by) + 4 :]
+    return out.select(*by, "bgn", "end_pos", (F.col("end_pos") - F.col("bgn")).alias("length"), "n", *rest)
 
 
 def merge_regions_summed(df: DataFrame, by: list[str], tolerance: int) -> DataFrame:
