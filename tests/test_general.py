@@ -6,9 +6,11 @@ import random
 import re
 
 from helpers import rows
+import duckdb
 import pytest
 from hypothesis import given, settings, strategies as st
 from strandframe.operators import hierarchy as H, packed as P, rejects as R
+from strandframe.plans import general as G
 
 
 def slow_hierarchy(nodes, links):
@@ -184,6 +186,26 @@ def test_split_packed_with_dirty_rows(spark):
     assert P.split_packed(df.where("false"), "rec_id", "attributes").count() == 0
 
 
+def test_p4_found_learns_nothing_and_is_what_its_sql_gives(spark, tmp_path, monkeypatch):
+    def write(name, *texts):
+        spark.createDataFrame(list(enumerate(texts)), "rec_id long, attributes string").write.parquet(f"{tmp_path / name}/gff_records.parquet")
+        return str(tmp_path / name)
+
+    def of_sql(base):
+        with duckdb.connect() as db:
+            db.execute(f"CREATE VIEW gff_records AS FROM read_parquet('{base}/gff_records.parquet/*.parquet')")
+            return sorted(db.execute(G.ORACLES["p4_found"]).fetchall())
+
+    base = write("odd", 'N="a;b","c ""d"" | e"', "N=a;b,c", 'x;N "a;b" , "a;b"', 'N="a;b', 'N=x"a;b";"a;b"', ' = "a|b";=c;;N=,|;', None, "", '"a;b"=c;ID=1,2;ID=3')
+    with monkeypatch.context() as m:
+        m.setattr(type(spark.range(1)), "collect", lambda _: pytest.fail("rows were collected before the query ran"))
+        got = G.p4_found(spark, base)
+    assert rows(got) == of_sql(base) and got.count() == 14
+    # learning the quoted values ended the JVM at 5,000 letters
+    base = write("long", 'N="a;' + "x" * 200_000 + '",y')
+    assert rows(G.p4_found(spark, base)) == of_sql(base) == [(0, "N", 1, "a;" + "x" * 200_000), (0, "N", 2, "y")]
+
+
 GOOD = "c\ts\tgene\t1\t5\t.\t+\t0\tID=1"
 
 
