@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 
 import numpy as np
 import pytest
@@ -307,6 +308,24 @@ def test_distances_of_many_and_of_queries_to_all(spark):
     assert B.bundle_distances(seg, seg.select("ctg")).count() == 60 * 61 // 2
 
 
+def test_distances_of_long_lists_pair_by_pair_of_blocks(spark, monkeypatch):
+    rnd = random.Random(8)
+    lists = [[(p * 100, p * 100 + rnd.randint(1, 90), rnd.randint(1, 9), 0) for p in range(rnd.randint(100, 130))] for _ in range(48)]
+    began = time.process_time()
+    got = B.block_distances(lists, lists)
+    assert time.process_time() - began < 25  # 3 s; 109 s when each query met its targets alone
+    assert all(got[i, j] == max(B.align_bundles(lists[i], lists[j])[0], B.align_bundles(lists[j], lists[i])[0]) for i, j in ((0, 1), (5, 40)))
+    monkeypatch.setattr(B, "BLOCK", 500)  # stretches: about four contigs a block
+    seg = spark.createDataFrame([(f"c{k}", *x) for k, own in enumerate(lists) for x in own], "ctg string, bgn int, end_pos int, b_id int, b_direction int")
+    found = B.bundle_distances(seg, seg.select("ctg")).collect()
+    assert len(found) == 48 * 49 // 2 and all(r.a <= r.b and r.distance == got[int(r.a[1:]), int(r.b[1:])] for r in found)
+
+
+def test_distances_of_contigs_longer_than_32_bits():
+    lists = [[(0, 1 << 30, 1, 0), (0, 1 << 31, 2, 0)], [(0, (1 << 31) - 9, 2, 0)]]
+    assert B.block_distances(lists, lists)[0, 1] == max(B.align_bundles(*lists)[0], B.align_bundles(*lists[::-1])[0])
+
+
 def test_consensus_repairs_reads():
     true = bases(1200, 31)
     rnd = random.Random(5)
