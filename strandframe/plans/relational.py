@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from strandframe.functions import dna
-from strandframe.operators import bundles as B, chains as H, overlap as V, pairs as P
+from strandframe.operators import bundles as B, chains as H, kmers as N, overlap as V, pairs as P
 from strandframe.plans import catalog as C
+from strandframe.session import stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -60,8 +61,7 @@ def seq_fetch(spark, base):
 
 @query(f"WITH {_SEQS}, k AS (SELECT substr(upper(seq), CAST(i AS INTEGER), 12) AS kmer FROM seqs, LATERAL (SELECT unnest(range(1, length(seqs.seq) - 10)) AS i)) SELECT kmer, count(*) AS n FROM k GROUP BY kmer")
 def kmer_count(spark, base):
-    kmers = C.sequences(spark, base).select(F.explode(dna.kmers(F.upper("seq"), 12)).alias("kmer"))
-    return kmers.groupBy("kmer").agg(F.count("*").alias("n"))
+    return N.kmer_counts(C.sequences(spark, base).select("sid", F.upper("seq").alias("seq")), 12)
 
 
 @query(f"WITH {_SEQS}, b AS (SELECT translate(upper(seq), 'ACGT', '0101') AS low, translate(upper(seq), 'ACGT', '0011') AS high, sid FROM seqs) SELECT sid, low, high FROM b")
@@ -194,9 +194,10 @@ def probe_match(spark, base):
 @query(f"WITH {_SEQS}, k AS (SELECT DISTINCT sid, substr(upper(seq), CAST(i AS INTEGER), 31) AS kmer FROM seqs, LATERAL (SELECT unnest(range(1, length(seqs.seq) - 29)) AS i)), r AS (SELECT sid, kmer FROM k WHERE sid % 50 = 0 UNION SELECT sid, reverse(translate(kmer, 'ACGT', 'TGCA')) FROM k WHERE sid % 50 = 0) SELECT r.sid AS ref_sid, k.sid, count(*) AS n FROM r JOIN k USING (kmer) GROUP BY r.sid, k.sid HAVING count(*) >= 4")
 def multi_filter(spark, base):
     """Reads that share k-mers with a reference on either strand."""
-    kmers = C.sequences(spark, base).select("sid", F.explode(dna.kmers(F.upper("seq"), 31)).alias("kmer"))
-    own = kmers.where("sid % 50 = 0")
-    return P.shared_kmers(own.union(own.select("sid", dna.reverse_complement("kmer"))), kmers, 4)
+    seqs = C.sequences(spark, base).select("sid", F.upper("seq").alias("seq"))
+    own = seqs.where("sid % 50 = 0")
+    references = stored(N.distinct_kmers(own.union(own.select("sid", dna.reverse_complement("seq"))), 31))
+    return P.shared_kmers(references, N.distinct_kmers(seqs, 31, N.kmer_filter(references)), 4)
 
 
 # ------------------------------------------------------------------ graph

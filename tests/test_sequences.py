@@ -360,3 +360,44 @@ def test_assembly_records_and_genotypes(spark):
     v = spark.createDataFrame([("t", 10, 1, 0, "A", "C"), ("t", 10, 1, 1, "A", "G"), ("t", 20, 3, 0, "ACG", "A"), ("t", 21, 1, 1, "C", "T")], "t_name string, ts int, tl int, hap int, t_str string, q_str string")
     cover = spark.createDataFrame([("t", 0, 0, 100), ("t", 1, 0, 15)], "t_name string, hap int, b_bgn int, b_end int")
     assert rows(X.genotypes(v, cover)) == [("t", 11, "A", "C,G", "1|2"), ("t", 21, "ACG", "A,ATG", "1|.")]
+
+
+def _write_sequences(spark, where, seqs: list[str]) -> str:
+    form = "sid int, name string, source string, seq string"
+    spark.createDataFrame([(k, f"n{k}", "s", s) for k, s in enumerate(seqs)] * 2, form).write.parquet(f"{where}/sequences.parquet")
+    return str(where)
+
+
+ODD = ["", "ACG", None, "acgtNNNNacgtacgtACGTNacgt" * 3, "N" * 90, "ACGTRYKM" * 9, bases(300, 4), bases(300, 4)[50:] + "N" + bases(99, 6), back(bases(300, 4)), "ACGTÄ" + bases(80, 5) + "ß" + bases(80, 5), bases(11, 9), bases(12, 9)]
+
+
+def test_kmer_counts_of_odd_and_of_many_sequences(spark, tmp_path):
+    from collections import Counter
+
+    from strandframe.plans.relational import kmer_count
+
+    upper = [s and spark.createDataFrame([(s,)], "s string").select(F.upper("s")).first()[0] for s in ODD]
+    slow = Counter(s[i : i + 12] for s in upper if s for i in range(len(s) - 11))
+    assert rows(kmer_count(spark, _write_sequences(spark, tmp_path / "odd", ODD)), "kmer", "n") == sorted(slow.items())
+    many = _write_sequences(spark, tmp_path / "many", [bases(3000, k) for k in range(2000)])
+    began = time.monotonic()
+    assert kmer_count(spark, many).agg(F.sum("n")).first()[0] == 2000 * 2989
+    assert time.monotonic() - began < 25  # the whole test takes 16 s, and took 54 s with a string for each k-mer
+
+
+def test_multi_filter_of_odd_and_of_many_sequences(spark, tmp_path):
+    from strandframe.plans.relational import multi_filter
+
+    # ids divisible by 50 are references: every odd sequence is one once, and once a read
+    seqs = [None] * (50 * len(ODD))
+    for k, s in enumerate(ODD):
+        seqs[50 * k], seqs[50 * k + 1] = s, s
+    upper = [s and spark.createDataFrame([(s,)], "s string").select(F.upper("s")).first()[0] for s in seqs[: 50 * len(ODD) : 50]]
+    mers = [{s[i : i + 31] for i in range(len(s) - 30)} if s else set() for s in upper]
+    both = [m | {back(x) for x in m} for m in mers]
+    slow = [(50 * a, 50 * b + r, len(both[a] & mers[b])) for a in range(len(ODD)) for b in range(len(ODD)) for r in (0, 1) if len(both[a] & mers[b]) >= 4]
+    assert rows(multi_filter(spark, _write_sequences(spark, tmp_path / "odd", seqs)), "ref_sid", "sid", "n") == sorted(slow)
+    many = _write_sequences(spark, tmp_path / "many", [bases(3000, k) for k in range(2000)])
+    began = time.monotonic()
+    assert multi_filter(spark, many).count() == 40  # each reference with itself
+    assert time.monotonic() - began < 25  # the whole test takes 8 s; this part took 49 s with a string for each k-mer
