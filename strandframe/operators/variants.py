@@ -8,6 +8,7 @@ from strandframe.functions.dna import reverse_complement
 from strandframe.operators import align as A, chains as H, overlap as V, pairs as P
 from strandframe.operators.chains import forward_steps
 from strandframe.operators.grouped import grouped_scan
+from strandframe.session import stored
 
 ENDS, SHORT, LONG_DIFF = 16, 16, 128
 
@@ -61,10 +62,10 @@ def alignment_records(segments: DataFrame, reference: DataFrame, queries: DataFr
     q = queries.select(F.col("sid").alias("q_sid"), F.col("seq").alias("q_all"))
     part = F.expr("substring(q_all, qs + 1, qe - qs)")
     seqs = segments.join(t, "sid").join(q, "q_sid").withColumn("t_seq", F.expr("substring(t_all, ts + 1, te - ts)")).withColumn("q_seq", F.when(F.col("orientation") == 0, part).otherwise(reverse_complement(part))).drop("t_all", "q_all")
-    seqs = seqs.withColumn("diff_type", segment_class())
+    seqs = stored(seqs.withColumn("diff_type", segment_class()))  # read by two branches below, the alignments by three
     keys = ["q_sid", "sid", "chain", "ord", "ts", "te", "qs", "qe", "orientation", "ctg_orientation"]
     none = [F.lit(None).cast("int").alias("td"), F.lit(None).cast("int").alias("qd"), *(F.lit(None).cast("string").alias(c) for c in ("vt", "t_str", "q_str"))]
-    out = A.aligned(seqs.where("diff_type IS NULL").select(*keys, "t_seq", "q_seq"))
+    out = stored(A.aligned(seqs.where("diff_type IS NULL").select(*keys, "t_seq", "q_seq")))
     same = out.where("cost = 0").select(*keys, F.lit("M").alias("rec_type"), F.lit(None).cast("string").alias("diff_type"), *none)
     failed = out.where("cost IS NULL").select(*keys, F.lit("S").alias("rec_type"), F.lit("A").alias("diff_type"), *none)
     found = A.variant_rows(out.where("cost > 0"), keys).select(*keys, F.lit("V").alias("rec_type"), F.lit(None).cast("string").alias("diff_type"), F.col("t_pos").alias("td"), F.col("q_pos").alias("qd"), F.col("kind").alias("vt"), "t_str", "q_str")

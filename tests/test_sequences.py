@@ -401,3 +401,27 @@ def test_multi_filter_of_odd_and_of_many_sequences(spark, tmp_path):
     began = time.monotonic()
     assert multi_filter(spark, many).count() == 40  # each reference with itself
     assert time.monotonic() - began < 25  # the whole test takes 8 s; this part took 49 s with a string for each k-mer
+
+
+def test_alignments_of_many_pairs_are_those_of_each():
+    rnd = random.Random(1)
+
+    def changed(s: str, rate: float) -> str:
+        return "".join("" if rnd.random() < rate else rnd.choice("ACGT") if rnd.random() < rate else c + rnd.choice("ACGT") * (rnd.random() < rate) for c in s)
+
+    pairs = [(t, changed(t, rate)) for n in (0, 1, 2, 3, 5, 8, 13, 30, 60) for k in range(20) for t in ["".join(rnd.choice("AC" if k % 2 else "ACGT") for _ in range(n))] for rate in (0, 0.02, 0.2)]
+    pairs += [("", "ACG"), ("ACG", ""), ("", "")]
+    for left, one in ((True, A.align_left), (False, A.affine_align)):
+        for most in (None, 5, 384):
+            assert A.affine_many(pairs, most=most, left=left) == [one(t, q, most=most) for t, q in pairs]
+
+
+def test_records_align_each_segment_once(spark):
+    many = [(t, t[:90] + "A" + t[90:]) for t in (bases(180, k) for k in range(2000))]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(many)], "k int, t_seq string, q_seq string").repartition(1)
+    began = time.monotonic()
+    assert A.aligned(df).agg(F.max("cost")).first()[0] == 4
+    took = time.monotonic() - began
+    assert took < 5, took
+
+
