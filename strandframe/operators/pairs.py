@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from strandframe.session import stored
+
 KEY = ["h0", "h1"]
 
 
@@ -56,10 +58,33 @@ def supported(pairs: DataFrame, least: int, keeps: list[int] | None = None) -> D
     return pairs.join(enough, KEY, "left").where(keep).drop("enough")
 
 
+#: Hits that one share of a repeat's places gives, and most shuffle partitions of a join of hits.
+SHARE, MOST_PARTS = 500_000, 4096
+
+
 def hits(query: DataFrame, index: DataFrame) -> DataFrame:
-    """Places of each query pair in the index; query pairs without any keep a row of nulls. Query columns are prefixed q_."""
-    q = query.select(*KEY, F.col("sid").alias("q_sid"), F.col("bgn").alias("q_bgn"), F.col("end_pos").alias("q_end"), F.col("orientation").alias("q_orientation"))
-    return q.join(index.select(*KEY, "sid", "bgn", "end_pos", "orientation"), KEY, "left")
+    """Places of each query pair in the index; query pairs without any keep a row of nulls. Query columns are prefixed q_.
+
+    The places of a repeat are dealt out to shares, each of which meets all of its query places in a partition of its own; a
+    pair of a repeat gives the product of both, which one task can't do. The partitions are as many as the hits need.
+    """
+    spark = query.sparkSession
+    q = stored(query.select(*KEY, F.col("sid").alias("q_sid"), F.col("bgn").alias("q_bgn"), F.col("end_pos").alias("q_end"), F.col("orientation").alias("q_orientation")))
+    asked = q.groupBy(*KEY).agg(F.count("*").alias("asked"))
+    places = stored(index.select(*KEY, "sid", "bgn", "end_pos", "orientation").join(asked.select(*KEY), KEY, "left_semi"))
+    found = F.col("asked").cast("double") * F.col("held")
+    weighed = asked.join(places.groupBy(*KEY).agg(F.count("*").alias("held")), KEY)
+    repeats = stored(weighed.select(*KEY, F.least(F.ceil(found / SHARE), "held").cast("int").alias("shares"), found.alias("hits")))
+    whole = repeats.agg(F.sum("hits")).first()[0] or 0
+    parts = int(min(MOST_PARTS, max(spark.sparkContext.defaultParallelism, -(-whole // (4 * SHARE)))))
+    repeats = repeats.where("shares > 1").select(*KEY, "shares")
+    one = F.coalesce("shares", F.lit(1))
+    deal = F.pmod(F.xxhash64("sid", "bgn", "end_pos", "orientation"), one).cast("int")
+    left = q.join(repeats, KEY, "left").withColumn("share", F.explode(F.sequence(F.lit(0), one - 1))).repartition(parts, *KEY, "share")
+    right = places.join(repeats, KEY, "left").withColumn("share", deal).drop("shares").withColumn("there", F.lit(True)).repartition(parts, *KEY, "share")
+    # a share without a place isn't a query pair without any
+    met = left.join(right, [*KEY, "share"], "left").where("there OR shares IS NULL")
+    return met.select(*KEY, "q_sid", "q_bgn", "q_end", "q_orientation", "sid", "bgn", "end_pos", "orientation")
 
 
 def hit_counts(query: DataFrame, index: DataFrame) -> DataFrame:

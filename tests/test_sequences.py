@@ -425,3 +425,14 @@ def test_records_align_each_segment_once(spark):
     assert took < 5, took
 
 
+def test_hits_of_a_repeat_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(P, "SHARE", 1000, raising=False)
+    form = "h0 long, h1 long, sid int, bgn int, end_pos int, orientation int"
+    index = [(1, 1, k, k, k + 5, 0) for k in range(300)] + [(2, 2, 0, 7, 9, 1)] + [(3, 3, 1, k, k, 0) for k in range(3)]
+    asked = [(1, 1, k, 0, 1, 0) for k in range(90)] + [(2, 2, k, 0, 1, 0) for k in range(3000)] + [(3, 3, 5, 0, 1, 0), (4, 4, 6, 0, 1, 1)]
+    got = P.hits(spark.createDataFrame(asked, form), spark.createDataFrame(index, form))
+    want = [(*q[:3], *(x[2:4] if x else (None, None))) for q in asked for x in [i for i in index if i[:2] == q[:2]] or [None]]
+    key = lambda r: [(x is not None, x or 0) for x in r]
+    assert rows(got, "h0", "h1", "q_sid", "sid", "bgn") == sorted(want, key=key)
+    # the 27,000 hits of the first pair came from one partition
+    assert got.where("h0 = 1").select(F.spark_partition_id().alias("p")).distinct().count() > 1
